@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report"]
+FAMILIES = ["report", "browse"]
 
 
 def load() -> None:
