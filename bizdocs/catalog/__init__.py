@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse"]
+FAMILIES = ["report", "browse", "functions"]
 
 
 def load() -> None:

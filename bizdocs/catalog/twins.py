@@ -67,7 +67,7 @@ LNS0 = """lns0 AS (
   CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(18,2)) AS sup
  FROM lineitem)"""
 
-_LNS_COLS = """l_orderkey AS document_id, l_linenumber AS line_no,
+_LNS_COLS = """l_orderkey AS document_id, CAST(l_linenumber AS BIGINT) AS line_no,
   (CAST(l_linenumber AS BIGINT) * 576460752303423488) + (l_partkey * 16777216) + CAST(ext * 100 AS BIGINT) AS line_index,
   l_partkey AS part_key, l_suppkey AS supp_key,
   CASE WHEN NOT (tx = 0.08 AND l_returnflag = 'N') THEN CAST(l_quantity AS DECIMAL(18,2)) END AS quantity,

@@ -83,6 +83,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Bind a subexpression once; inside lambdas Spark does not share common parts."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(col) -> Column:
     return F.nullif(F.trim(_c(col)), F.lit(""))
 
@@ -153,7 +158,7 @@ def normalize_category(col) -> Column:
     t = F.regexp_replace(F.lower(F.trim(_c(col))), r"[\s/\-]+", "_")
     t = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9_]+", ""), "_+", "_")
     t = F.nullif(F.regexp_replace(t, "^_|_$", ""), F.lit(""))
-    return F.coalesce(F.try_element_at(_lookup(CATEGORY_ALIASES), t), t)
+    return let(t, lambda k: F.coalesce(F.try_element_at(_lookup(CATEGORY_ALIASES), k), k))
 
 
 def category_leaf(col) -> Column:
@@ -179,11 +184,10 @@ def clean_tags(tags, category, profile, document_type, key_dates=None, follow_up
         timed = timed | _c(follow_up)
     if urgency is not None:
         timed = timed | F.lower(_c(urgency)).isin("medium", "high")
-    kept = F.filter(cleaned, lambda t: ~F.array_contains(blocked, t))
-    kept = F.when(F.coalesce(timed, F.lit(False)), kept).otherwise(F.array_remove(kept, "time_sensitive"))
     broad = normalize_category(document_type)
-    add = broad.isin(list(ROOT_LABELS)) & ~F.array_contains(kept, broad)
-    return F.when(F.coalesce(add, F.lit(False)), F.array_prepend(kept, broad)).otherwise(kept)
+    kept = F.filter(cleaned, lambda t: ~F.array_contains(blocked, t) & ((t != "time_sensitive") | F.coalesce(timed, F.lit(False))))
+    add = lambda k: F.coalesce(broad.isin(list(ROOT_LABELS)) & ~F.array_contains(k, broad), F.lit(False))
+    return let(kept, lambda k: F.when(add(k), F.array_prepend(k, broad)).otherwise(k))
 
 
 def parse_bool(col) -> Column:
@@ -199,7 +203,7 @@ def parse_bool_search(col) -> Column:
 
 
 def split_aliases(col) -> Column:
-    return F.filter(F.transform(F.split(_c(col), "[|;,]"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(_c(col), "[|;,]"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def thickness(col) -> Column:
