@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions"]
+FAMILIES = ["report", "browse", "functions", "lines"]
 
 
 def load() -> None:
