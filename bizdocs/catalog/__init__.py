@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions", "lines"]
+FAMILIES = ["report", "browse", "functions", "lines", "quality"]
 
 
 def load() -> None:
