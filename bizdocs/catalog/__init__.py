@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions", "lines", "quality"]
+FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching"]
 
 
 def load() -> None:
