@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching"]
+FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching", "evaluation"]
 
 
 def load() -> None:
