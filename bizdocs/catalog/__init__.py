@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching", "evaluation"]
+FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching", "evaluation", "texts"]
 
 
 def load() -> None:

@@ -132,7 +132,7 @@ SLIPS = """slips AS (
    '세액 ' || CAST(tax_amount AS VARCHAR),
    '합계 ' || coalesce(CAST(line_total AS VARCHAR), '-'),
    CASE WHEN note IS NOT NULL THEN '비고: ' || note || ' / computed 합계 1.00' END) AS text,
-  document_id || '/' || line_no || '/' || part_key || '/' || supp_key AS slip_id
+  document_id || '/' || line_index AS slip_id
  FROM lnp p JOIN docs h USING (document_id))"""
 
 # The report base: resolved columns per document.

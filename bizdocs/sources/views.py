@@ -221,5 +221,5 @@ def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(spark, sf_dir, with_part=True)
         .join(header, "document_id", "inner")
         .selectExpr("*", f"{text} AS text",
-                    "concat(document_id, '/', line_no, '/', part_key, '/', supp_key) AS slip_id")
+                    "concat(document_id, '/', line_index) AS slip_id")
     )
