@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching", "evaluation", "texts"]
+FAMILIES = ["report", "browse", "functions", "lines", "quality", "matching", "evaluation", "texts", "intake"]
 
 
 def load() -> None:

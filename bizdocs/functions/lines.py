@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from bizdocs.functions.text import is_noisy_line
+from bizdocs.functions.text import is_noisy_line, let
 
 AMOUNT_PATTERN = r"\b\d{1,6}(?:,\d{3})*\.\d{2}\b"
 
@@ -25,13 +25,14 @@ def count_where(lines: Column, test) -> Column:
 
 def line_stats(col) -> Column:
     """Line count, structured density, amount patterns and noise ratio of one text."""
-    t = _c(col)
-    lines = text_lines(t)
-    n = F.size(lines)
-    structured = count_where(lines, lambda v: v.contains("|") | v.contains(":") | v.rlike(r"\d+\.\d{2}"))
-    noisy = count_where(lines, is_noisy_line)
-    share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
-    return F.struct(
-        n.alias("line_count"), share(structured).alias("structured_density"),
-        F.regexp_count(F.coalesce(t, F.lit("")), F.lit(AMOUNT_PATTERN)).alias("amount_pattern_count"),
-        share(noisy).alias("noise_ratio"))
+    t = F.coalesce(_c(col), F.lit(""))
+
+    def stats(lines):
+        n = F.size(lines)
+        structured = count_where(lines, lambda v: v.contains("|") | v.contains(":") | v.rlike(r"\d+\.\d{2}"))
+        noisy = count_where(lines, is_noisy_line)
+        share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
+        return F.struct(n.alias("line_count"), share(structured).alias("structured_density"),
+                        F.regexp_count(t, F.lit(AMOUNT_PATTERN)).alias("amount_pattern_count"), share(noisy).alias("noise_ratio"))
+
+    return let(text_lines(t), stats)

@@ -225,8 +225,8 @@ def real_code(col) -> Column:
 
 
 def keyword_hits(col, words: list[str], n: int) -> Column:
-    lowered = F.lower(F.coalesce(_c(col), F.lit("")))
-    return F.slice(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: lowered.contains(w)), 1, n)
+    hits = lambda lowered: F.slice(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: lowered.contains(w)), 1, n)
+    return let(F.lower(F.coalesce(_c(col), F.lit(""))), hits)
 
 
 def contact_links(col) -> Column:
@@ -261,8 +261,8 @@ def merge_flags(*cols, ignore_case: bool = False) -> Column:
     if not ignore_case:
         return F.array_distinct(merged)
     cleaned = F.filter(F.transform(merged, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
-    keys = F.transform(cleaned, F.lower)
-    return F.filter(cleaned, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    both = let(cleaned, lambda c: F.struct(c.alias("c"), F.transform(c, lambda v: F.lower(v)).alias("keys")))
+    return let(both, lambda b: F.filter(b["c"], lambda v, i: F.array_position(b["keys"], F.lower(v)) == i + 1))
 
 
 def has_profile(col, *profiles: str) -> Column:

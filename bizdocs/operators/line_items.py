@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bizdocs.functions import numbers as N
-from bizdocs.functions.text import has_profile, item_key
+from bizdocs.functions.text import has_profile, item_key, let
 from bizdocs.operators.ordering import first_per
 from bizdocs.session import cut
 
@@ -124,9 +124,8 @@ def dedupe_lines(lines: DataFrame) -> DataFrame:
 
 def looks_like_header(col) -> Column:
     text = F.trim(F.regexp_replace(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), r"\s+", " "))
-    compact = F.lower(F.regexp_replace(text, r"[\s_./|:-]+", ""))
-    hits = F.size(F.filter(F.array(*[F.lit(t) for t in HEADER_TERMS]), lambda t: compact.contains(t)))
-    return (hits >= 3) & ~text.rlike(ITEM_SIGNAL)
+    hits = lambda compact: F.size(F.filter(F.array(*[F.lit(t) for t in HEADER_TERMS]), lambda t: compact.contains(t)))
+    return (let(F.lower(F.regexp_replace(text, r"[\s_./|:-]+", "")), hits) >= 3) & ~text.rlike(ITEM_SIGNAL)
 
 
 def dedupe_parsed_lines(lines: DataFrame) -> DataFrame:

@@ -226,17 +226,17 @@ def html_text(col) -> Column:
 
 def flatten_json(df: DataFrame, key: str, col: str, levels: int = 4) -> DataFrame:
     """``a.b[0]: value`` rows of a JSON text, expanded level by level; ``_`` reads as a space."""
-    rows = df.select(key, F.lit("").alias("path"), F.col(col).alias("value"))
+    rows = df.select(key, F.lit("").alias("_path"), F.col(col).alias("value"))
     done: list[DataFrame] = []
     for _ in range(levels):
         is_map, is_list = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"^\s*\[")
         done.append(rows.filter(~F.coalesce(is_map | is_list, F.lit(False))))
-        maps = rows.filter(is_map).select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        maps = maps.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value")
-        lists = rows.filter(is_list).select(key, "path", F.posexplode(F.from_json("value", "array<string>")).alias("i", "value"))
-        rows = maps.unionByName(lists.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "value"))
+        maps = rows.filter(is_map).select(key, "_path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
+        maps = maps.select(key, F.concat_ws(".", F.nullif("_path", F.lit("")), "k").alias("_path"), "value")
+        lists = rows.filter(is_list).select(key, "_path", F.posexplode(F.from_json("value", "array<string>")).alias("i", "value"))
+        rows = maps.unionByName(lists.select(key, F.concat("_path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("_path"), "value"))
     out = reduce(lambda a, b: a.unionByName(b), done + [rows])
-    label = F.replace(F.coalesce(F.nullif("path", F.lit("")), F.lit("value")), F.lit("_"), F.lit(" "))
+    label = F.replace(F.coalesce(F.nullif("_path", F.lit("")), F.lit("value")), F.lit("_"), F.lit(" "))
     return out.select(key, F.concat(label, F.lit(": "), F.coalesce("value", F.lit("None"))).alias("line"))
 
 
@@ -377,34 +377,41 @@ def mapping_confidence(n_lines) -> Column:
 
 def classify_profile(col) -> Column:
     """Profile with the most signatures; none when a formal title is present; ties go alphabetically."""
-    t = F.trim(F.regexp_replace(_c(col), r"\s+", " "))
-    scored = _lits([]) if not PROFILE_SIGNATURES else F.array(*[
-        F.struct((-_total([_when(t.rlike("(?i)" + p), 1) for p in ps])).alias("s"), F.lit(name).alias("p")) for name, ps in PROFILE_SIGNATURES.items()])
-    best = F.array_min(scored)
-    formal = t.rlike(FORMAL_TITLE) & ~t.rlike(RECEIPT_SIGNAL)
-    return F.when(~formal & (best["s"] < 0) & ~((best["p"] == "internal_transfer") & (best["s"] > -2)), best["p"])
+    def score(t):
+        scored = F.array(*[F.struct((-_total([_when(t.rlike("(?i)" + p), 1) for p in ps])).alias("s"), F.lit(name).alias("p")) for name, ps in PROFILE_SIGNATURES.items()])
+        formal = t.rlike(FORMAL_TITLE) & ~t.rlike(RECEIPT_SIGNAL)
+        enough = lambda best: F.when((best["s"] < 0) & ~((best["p"] == "internal_transfer") & (best["s"] > -2)), best["p"])
+        return F.when(~formal, let(F.array_min(scored), enough))
+
+    return let(F.trim(F.regexp_replace(_c(col), r"\s+", " ")), score)
 
 
 def classify_type(col) -> Column:
     """Type by profile, return wording, handwritten forms, keyword scores, number patterns, then plain words."""
     t = F.coalesce(_c(col), F.lit(""))
-    low, squeezed = F.lower(t), F.regexp_replace(F.lower(t), r"\s+", "")
-    head = F.lower(F.array_join(F.slice(F.split(t, r"\n"), 1, 6), "\n"))
-    profile = classify_profile(t)
+    parts = F.struct(
+        t.alias("t"), F.lower(t).alias("low"), F.regexp_replace(F.lower(t), r"\s+", "").alias("squeezed"), classify_profile(t).alias("profile"),
+        F.lower(F.array_join(F.slice(F.split(t, r"\n"), 1, 6), "\n")).alias("head"))
+    return let(parts, _type_rules)
+
+
+def _type_rules(x: Column) -> Column:
+    t, low, squeezed, head, profile = (x[n] for n in ("t", "low", "squeezed", "head", "profile"))
     scores = F.array(*[
         F.struct((_contained(head, [w.lower() for w in words]) * 6 + _contained(low, [w.lower() for w in words]) + _when(t.rlike(pattern), bonus)).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t"))
         for i, (name, words, pattern, bonus) in enumerate(TYPE_WORDS)])
-    best = F.array_max(scores)
+    winner = let(F.array_max(scores), lambda best: F.when(best["s"] >= 7, best["t"]))
     out = F.when(profile == "purchase_memo", "memo").when(profile == "receipt", "receipt").when(profile.isNotNull(), "general_document")
     out = out.when(t.rlike(r"(?i)\b(?:RTN|RCM)[-_ ]?\d{4}|credit\s+(?:note|memo)|return\s+note"), "general_document")
     for name, pattern in HANDWRITTEN_TYPES:
         out = out.when(squeezed.rlike(pattern), name)
-    out = out.when(best["s"] >= 7, best["t"])
-    for name, pattern in NUMBERED_TYPES:
-        out = out.when(low.rlike(pattern), name)
-    for name, need, words in FALLBACK_WORDS:
-        out = out.when(_contained(low, words) >= need, name)
-    return out.when(F.length(t) > 250, "general_document").otherwise("other")
+    rest = F.lit(None).cast("string")
+    for name, need, words in reversed(FALLBACK_WORDS):
+        rest = F.when(_contained(low, words) >= need, name).otherwise(rest)
+    for name, pattern in reversed(NUMBERED_TYPES):
+        rest = F.when(low.rlike(pattern), name).otherwise(rest)
+    plain = F.when(F.length(t) > 250, "general_document").otherwise("other")
+    return out.otherwise(F.coalesce(winner, rest, plain))
 
 
 def taxonomy(text, document_type) -> Column:
@@ -457,7 +464,11 @@ def semantic_category(candidates, fallback) -> Column:
 def classify_category(col) -> Column:
     """Profile, return and transfer wording, explicit titles, then 100 per keyword (a lone contained keyword is enough)."""
     t = F.coalesce(_c(col), F.lit(""))
-    low, profile = F.lower(t), classify_profile(t)
+    return let(F.struct(t.alias("t"), F.lower(t).alias("low"), classify_profile(t).alias("profile")), _category_rules)
+
+
+def _category_rules(x: Column) -> Column:
+    t, low, profile = x["t"], x["low"], x["profile"]
     out = F.when(profile.isNotNull(), profile).when(t.rlike(RETURN_WORDS), F.when(t.rlike(r"(?i)차감|크레딧|credit\s+(?:note|memo)"), "credit_note").otherwise("return_note")).when(t.rlike(TRANSFER_WORDS), "internal_transfer")
     for name, words in CATEGORY_RULES:
         out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name)
@@ -467,12 +478,16 @@ def classify_category(col) -> Column:
 
 def spend_context(col, mode: str = "") -> Column:
     """Keyword family with the most whole-word hits (five count at most); medium confidence from two hits."""
-    low = F.lower(F.coalesce(_c(col), F.lit("")))
-    best = F.array_max(F.array(*[
-        F.struct(F.least(F.lit(5), _total([_when(low.rlike(rf"\b{re.escape(w)}\b"), 1) for w in ws])).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("c"))
-        for i, (n, ws) in enumerate(SPEND_WORDS.items())]))
-    sure = (best["s"] >= 2) | F.lit(mode in SPEND_MODES)
-    return F.struct(F.when(best["s"] > 0, best["c"]).alias("subtype"), F.when((best["s"] > 0) & sure, "medium").otherwise("low").alias("confidence"))
+    def best(low):
+        return F.array_max(F.array(*[
+            F.struct(F.least(F.lit(5), _total([_when(low.rlike(rf"\b{re.escape(w)}\b"), 1) for w in ws])).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("c"))
+            for i, (n, ws) in enumerate(SPEND_WORDS.items())]))
+
+    def verdict(b):
+        sure = (b["s"] >= 2) | F.lit(mode in SPEND_MODES)
+        return F.struct(F.when(b["s"] > 0, b["c"]).alias("subtype"), F.when((b["s"] > 0) & sure, "medium").otherwise("low").alias("confidence"))
+
+    return let(let(F.lower(F.coalesce(_c(col), F.lit(""))), best), verdict)
 
 
 # --- numbers, amounts, dates ----------------------------------------------------------
@@ -504,25 +519,25 @@ def _amount_value(token: Column) -> Column:
 
 def labelled_amount(col, labels: list[str]) -> Column:
     """Last value after any label on its line, else on the next line when the label stands alone; computed and note lines are skipped."""
-    lines = text_lines(col)
     word = _either(labels)
     value = rf"(?i)(?:^|\s)(?:{word})\s*(?:KRW|USD|₩|원|\$)?\s*[:：]?\s*(?:KRW|USD|₩|원|\$)?\s*([-+]?\d[\d,]*(?:\.\d+)?[A-Za-z]?)\s*(?:원|KRW|USD)?"
     alone = [re.sub(r"[\s:：]+", "", w.lower()) for w in labels]
     key = lambda v: F.regexp_replace(F.regexp_replace(F.lower(v), r"[\s:：]+", ""), r"(?:krw|usd|₩|원|\$)$", "")
 
-    def read(v, i):
-        direct = F.nullif(F.regexp_extract(v, value, 1), F.lit(""))
-        ahead = F.nullif(F.regexp_extract(F.coalesce(F.get(lines, i + 1), F.lit("")), r"[-+]?\d[\d,]*(?:\.\d+)?[A-Za-z]?", 0), F.lit(""))
-        token = F.coalesce(direct, F.when(key(v).isin(alone), ahead))
-        return F.when(~v.rlike(COMPUTED_NOTE), _amount_value(token))
+    def last(lines):
+        def read(v, i):
+            direct = F.nullif(F.regexp_extract(v, value, 1), F.lit(""))
+            ahead = F.nullif(F.regexp_extract(F.coalesce(F.get(lines, i + 1), F.lit("")), r"[-+]?\d[\d,]*(?:\.\d+)?[A-Za-z]?", 0), F.lit(""))
+            token = F.coalesce(direct, F.when(key(v).isin(alone), ahead))
+            return F.when(~v.rlike(COMPUTED_NOTE), let(token, _amount_value))
 
-    return F.try_element_at(F.filter(F.transform(lines, read), lambda v: v.isNotNull()), F.lit(-1))
+        return F.try_element_at(F.filter(F.transform(lines, read), lambda v: v.isNotNull()), F.lit(-1))
+
+    return let(text_lines(col), last)
 
 
 def amount_triples(col) -> Column:
     """(supply, tax, total) found in a seven-line window with 10 % tax and a matching sum; the largest total of at least 1000."""
-    lines = text_lines(col)
-    starts = F.filter(F.transform(lines, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda r: r["v"].rlike(AMOUNT_LABEL) & ~looks_like_header(r["v"]))
     is_total = lambda v: v.rlike(TOTAL_LABEL) & ~v.rlike(OPTION_WORDS) & ~looks_like_header(v)
     values_of = lambda ws: F.filter(F.flatten(F.transform(ws, lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"\d[\d,]*(?:\.\d+)?[A-Za-z]?"), F.lit(0)), _amount_value))), lambda x: x > 0)
     tenth, two = F.lit("0.1").cast("decimal(2,1)"), F.lit("0.02").cast("decimal(3,2)")
@@ -537,8 +552,12 @@ def amount_triples(col) -> Column:
         ok = lambda r: (F.abs(r["tax"] - r["supply"] * tenth) <= F.greatest(F.lit(1).cast(N.LOOSE), r["supply"] * two)) & (F.abs(r["total"] - r["supply"] - r["tax"]) <= F.greatest(F.lit(1).cast(N.LOOSE), r["total"] * two)) & (r["total"] >= 1000)
         return F.filter(F.flatten(F.transform(vs, at_i)), ok)
 
-    windows = F.filter(F.transform(starts, lambda r: F.slice(lines, r["i"] + 1, 7)), lambda ws: F.exists(ws, is_total))
-    return F.array_max(F.flatten(F.transform(windows, lambda ws: let(values_of(ws), triples))))
+    def best(lines):
+        starts = F.filter(F.transform(lines, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda r: r["v"].rlike(AMOUNT_LABEL) & ~looks_like_header(r["v"]))
+        windows = F.filter(F.transform(starts, lambda r: F.slice(lines, r["i"] + 1, 7)), lambda ws: F.exists(ws, is_total))
+        return F.array_max(F.flatten(F.transform(windows, lambda ws: let(values_of(ws), triples))))
+
+    return let(text_lines(col), best)
 
 
 def _labelled_date(text: Column, labels: list[str]) -> Column:
@@ -578,14 +597,22 @@ def raw_lines(col) -> Column:
 def table_of(col) -> Column:
     """First delimited table: (headers, rows of cells). The header has three or more mapped cells; rows end
     at a line with fewer than three cells or another header."""
-    lines = F.transform(raw_lines(col), split_cells)
-    mapped = lambda cells: F.size(F.filter(cells, lambda c: line_field(c).isNotNull()))
-    flags = F.transform(lines, lambda cells: (F.size(cells) >= 3) & (mapped(cells) >= 3))
-    at = F.array_position(flags, F.lit(True))
-    rest = F.slice(lines, at.cast("int") + 1, F.size(lines))
-    stop = F.array_position(F.transform(rest, lambda cells: (F.size(cells) < 3) | (mapped(cells) >= 3)), F.lit(True))
-    rows = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
-    return F.when(at > 0, F.struct(F.element_at(lines, at.cast("int")).alias("headers"), rows.alias("rows")))
+    def kind(cells):  # 2 header, 1 row, 0 neither
+        mapped = F.size(F.filter(cells, lambda c: line_field(c).isNotNull()))
+        return F.struct(cells.alias("cells"), F.when(F.size(cells) < 3, 0).when(mapped >= 3, 2).otherwise(1).alias("kind"))
+
+    def cut(lines):
+        at = F.array_position(F.transform(lines, lambda r: r["kind"]), 2).cast("int")
+        rest = lambda i: F.slice(lines, i + 1, F.greatest(F.size(lines) - i, F.lit(0)))
+
+        def upto(body):
+            stop = F.array_position(F.transform(body, lambda r: r["kind"] != 1), F.lit(True)).cast("int")
+            return let(stop, lambda n: F.when(n > 0, F.slice(body, F.lit(1), n - 1)).otherwise(body))
+
+        made = lambda i: F.when(i > 0, F.struct(F.get(lines, i - 1)["cells"].alias("headers"), F.transform(let(rest(i), upto), lambda r: r["cells"]).alias("rows")))
+        return let(at, made)
+
+    return let(F.transform(F.transform(raw_lines(col), split_cells), kind), cut)
 
 
 def table_items(df: DataFrame, key: str, col: str = "text") -> DataFrame:
@@ -743,20 +770,16 @@ def title_score(v: Column, i: Column) -> Column:
 def best_title(col) -> Column:
     """Best-scored line of the whole text, the earliest on ties."""
     ranked = F.transform(text_lines(col), lambda v, i: F.struct(title_score(v, i).alias("s"), (-i).alias("o"), v.alias("v")))
-    best = F.array_max(ranked)
-    return F.struct(best["v"].alias("title"), best["s"].alias("score"))
+    return let(F.array_max(ranked), lambda best: F.struct(best["v"].alias("title"), best["s"].alias("score")))
 
 
 def unique_lines(col) -> Column:
-    lines = text_lines(col)
-    keys = F.transform(lines, lambda v: F.lower(v))
-    return F.filter(lines, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    both = let(text_lines(col), lambda ls: F.struct(ls.alias("ls"), F.transform(ls, lambda v: F.lower(v)).alias("keys")))
+    return let(both, lambda b: F.filter(b["ls"], lambda v, i: F.array_position(b["keys"], F.lower(v)) == i + 1))
 
 
 def important_lines(col) -> Column:
     """The six best of the first 40 distinct lines with a score above 6, by score, then by length."""
-    top = F.slice(unique_lines(col), 1, 40)
-
     def score(v, i):
         low = F.lower(v)
         body = ((_words(v) >= 10) & low.rlike(BODY_VERBS)) | low.rlike(r"^(course description|overview|summary|introduction|objectives?)\s*:")
@@ -766,20 +789,16 @@ def important_lines(col) -> Column:
             + _when(v.rlike(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"), 8) + _when(v.rlike(r"\b\d{1,6}(?:,\d{3})*\.\d{2}\b"), 10) + F.greatest(F.lit(8) - i, F.lit(0))
             - _when(body, 24) - _when(F.length(v) > 140, 20) - _when(policy, 10))
 
-    scored = F.transform(top, lambda v, i: F.struct((-score(v, i)).alias("neg"), F.length(v).alias("len"), i.alias("i"), v.alias("v")))
+    scored = F.transform(F.slice(unique_lines(col), 1, 40), lambda v, i: F.struct((-score(v, i)).alias("neg"), F.length(v).alias("len"), i.alias("i"), v.alias("v")))
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda r: (r["neg"] < -6) & (r["len"] >= 4))), 1, 6), lambda r: r["v"])
 
 
 def compact_text(col, budget: int, terms: list[str] = ()) -> Column:
     """Text within a character budget: fixed anchors and scored lines walk in document order, and a line
     that would overflow is skipped, not cut. The walk is a fold, so it is exact."""
-    t = F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\r\n?", "\n"))
-    lines = text_lines(t)
-    n = F.size(lines)
-    mid = F.floor(n / 2)
     clean = lambda v: F.regexp_replace(v, r"^[\s\-–—|]+|[\s\-–—|]+$", "")
 
-    def score(v, i):
+    def score(v, i, n):
         low = F.lower(v)
         base = (
             _when(i < 40, 18) + _when(i >= F.greatest(F.lit(0), n - 25), 6) + _when((F.length(v) <= 90) & v.rlike(r"^[A-Z0-9][A-Za-z0-9&,:;()/'’ -]{2,}$"), 18) + _when(low.rlike(COMPACT_HEADINGS), 28)
@@ -787,15 +806,21 @@ def compact_text(col, budget: int, terms: list[str] = ()) -> Column:
             + _when(low.rlike(COMPACT_WORDS), 14) - _when(F.length(v) > 220, 10) - _when(low.rlike(r"^(page|slide)\s+\d+$"), 18))
         return base + (_contained(low, list(terms)) * 16 if terms else 0)
 
-    rows = F.transform(lines, lambda v, i: F.struct(clean(v).alias("v"), i.alias("i")))
-    anchor = lambda i: (i < 24) | ((i >= mid - 8) & (i < mid + 8)) | (i >= n - 18)
-    usable = F.filter(rows, lambda r: (F.length(r["v"]) >= 3) & ~r["v"].rlike(r"^[\W_]+$") & (anchor(r["i"]) | (score(r["v"], r["i"]) > 0)))
-    init = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, r):
-        add = F.length(r["v"]) + 1
-        take = (acc["used"] + add <= budget) & ~F.array_contains(acc["keys"], F.lower(r["v"]))
-        return F.struct(F.when(take, acc["used"] + add).otherwise(acc["used"]).alias("used"), F.when(take, F.array_append(acc["keys"], F.lower(r["v"]))).otherwise(acc["keys"]).alias("keys"),
-                        F.when(take, F.array_append(acc["out"], r["v"])).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.length(t) <= budget, t).otherwise(F.array_join(F.aggregate(usable, init, step, lambda acc: acc["out"]), "\n"))
+    def step(acc, v):
+        add = F.length(v) + 1
+        take = (acc["used"] + add <= budget) & ~F.array_contains(acc["keys"], F.lower(v))
+        return F.struct(F.when(take, acc["used"] + add).otherwise(acc["used"]).alias("used"), F.when(take, F.array_append(acc["keys"], F.lower(v))).otherwise(acc["keys"]).alias("keys"),
+                        F.when(take, F.array_append(acc["out"], v)).otherwise(acc["out"]).alias("out"))
+
+    def pick(b):
+        lines, n, mid = b["ls"], b["n"], b["mid"]
+        anchor = lambda i: (i < 24) | ((i >= mid - 8) & (i < mid + 8)) | (i >= n - 18)
+        usable = lambda v, i: (F.length(v) >= 3) & ~v.rlike(r"^[\W_]+$") & (anchor(i) | (score(v, i, n) > 0))
+        init = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(F.filter(lines, usable), init, step, lambda acc: acc["out"]), "\n")
+
+    def within(t):
+        made = let(F.transform(text_lines(t), clean), lambda ls: F.struct(ls.alias("ls"), F.size(ls).alias("n"), F.floor(F.size(ls) / 2).alias("mid")))
+        return F.when(F.length(t) <= budget, t).otherwise(let(made, pick))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\r\n?", "\n")), within)
