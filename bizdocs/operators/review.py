@@ -13,6 +13,7 @@ from bizdocs.functions.text import has_profile
 from bizdocs.operators import line_items as L
 from bizdocs.operators.ordering import first_per, last_per
 from bizdocs.operators.resolve import present
+from bizdocs.session import cut
 
 # --- fixed values -------------------------------------------------------------
 CRITICAL = [
@@ -127,6 +128,7 @@ def dedupe_reasons(issues: DataFrame, by_message: bool = False) -> DataFrame:
 def collapse_issues(issues: DataFrame, at_least: int = 4) -> DataFrame:
     """Four or more item-level issues of a collapsible code become one row at the first place."""
     per_item = F.col("code").isin(list(COLLAPSIBLE)) & F.col("item_index").isNotNull()
+    issues = cut(issues)  # read by three branches
     groups = issues.filter(per_item).groupBy("document_id", "code").agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).filter(F.col("_n") >= at_least)
     kept = issues.filter(~per_item).unionByName(issues.filter(per_item).join(groups.select("document_id", "code"), ["document_id", "code"], "left_anti"))
     pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in COLLAPSIBLE.items() for x in (k, v[i])]), F.col("code"))

@@ -25,7 +25,7 @@ def _case(column: str, pairs: dict, pick) -> str:
     return f"CASE {column} {arms} END"
 
 
-SPREAD_FROM, SPREAD_TO = 4 << 20, 128 << 20  # bytes
+SPREAD_FROM, SPREAD_TO = 1 << 20, 128 << 20  # bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
