@@ -199,10 +199,11 @@ def ocr_metrics(df: DataFrame) -> DataFrame:
 
 
 def master_stats(master: DataFrame, alias: DataFrame) -> DataFrame:
-    a = alias.agg(F.count_if("active").alias("alias_count"))
-    return master.agg(
-        F.count("*").alias("total_items"), F.count_if("active").alias("active_items"), F.count_if(~F.col("active")).alias("inactive_items"),
-    ).crossJoin(a)  # two one-row aggregates
+    rows = master.select(F.lit(True).alias("item"), "active").unionByName(alias.select(F.lit(False).alias("item"), "active"))
+    item, live = F.col("item"), F.col("active")
+    return rows.agg(
+        F.count_if(item).alias("total_items"), F.count_if(item & live).alias("active_items"), F.count_if(item & ~live).alias("inactive_items"),
+        F.count_if(~item & live).alias("alias_count"))
 
 
 def dictionary_stats(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from bizdocs.functions.text import has_profile
 from bizdocs.operators import line_items as L
 from bizdocs.operators.ordering import number_rows
 from bizdocs.operators.resolve import present
+from bizdocs.session import cut
 
 UNSORTED_PARTY = "미분류"
 
@@ -87,7 +88,7 @@ def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True) -> Dat
     """One row per exportable line; a document without one still emits a row."""
     items = exportable_items(docs, lines)
     if renumber:
-        items = number_rows(items, "document_id", "line_index", "export_index")
+        items = number_rows(cut(items), "document_id", "line_index", "export_index")  # numbering reads it three times
     else:
         items = items.withColumn("export_index", F.col("line_index"))
     m = lambda f: F.when(export_mapping(), present(f"mapping.fields.{f}"))
