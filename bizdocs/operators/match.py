@@ -103,32 +103,37 @@ def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: Dat
         .unionByName(aliases.select("item_id", normalize_item_text("name").alias("name"), F.col("spec").alias("alias_spec"), F.lit(True).alias("is_alias")))
         .filter("name <> ''").distinct()
     )
-    src = p.withColumn("name", normalize_item_text("item_name"))
-    pairs = blocked_name_pairs(src.select("name").filter("name <> ''").distinct(), names.select("name").distinct())
-    wanted = src.join(pairs, src["name"] == pairs["a"]).select("probe_id", "a", "b")
-    hits = wanted.join(names, wanted["b"] == names["name"]).select("probe_id", "a", "b", "item_id", "alias_spec", "is_alias")
+    src = p.withColumns({"a": normalize_item_text("item_name"), "source_spec": normalize_spec("specification")})
+    texts = cut(src.select("a", "source_spec").distinct())  # prices and codes do not matter for names and specs
+    pairs = blocked_name_pairs(texts.select(F.col("a").alias("name")).filter("name <> ''").distinct(), names.select("name").distinct())
+    hits = texts.join(pairs, "a").join(names.withColumnRenamed("name", "b"), "b").select("a", "source_spec", "b", "item_id", "alias_spec", "is_alias", F.lit(True).alias("by_name"))
     if prefix is not None:  # prefix hits are candidates whatever their names
-        more = prefix.select("probe_id", "item_id").join(src.select("probe_id", F.col("name").alias("a")), "probe_id").join(
-            names.withColumnRenamed("name", "b"), "item_id").select("probe_id", "a", "b", "item_id", "alias_spec", "is_alias")
-        hits = hits.unionByName(more).distinct()
+        extra = prefix.select("probe_id", "item_id").join(src.select("probe_id", "a", "source_spec"), "probe_id").select("a", "source_spec", "item_id").distinct()
+        more = extra.join(names.withColumnRenamed("name", "b"), "item_id").select("a", "source_spec", "b", "item_id", "alias_spec", "is_alias", F.lit(False).alias("by_name"))
+        hits = hits.unionByName(more)
     hits = cut(hits)
     scored_names = hits.select("a", "b").distinct().withColumn("sim", similarity("a", "b"))
-    hits = hits.join(scored_names, ["a", "b"]).join(src.select("probe_id", normalize_spec("specification").alias("source_spec")), "probe_id")
-    hits = hits.withColumn("target_spec", normalize_spec("alias_spec"))
+    hits = hits.join(scored_names, ["a", "b"]).withColumn("target_spec", normalize_spec("alias_spec"))
     alias_specs = spec_scores(hits.filter("alias_spec IS NOT NULL AND alias_spec <> ''").select("source_spec", "target_spec").distinct())
     hits = hits.join(alias_specs, ["source_spec", "target_spec"], "left")
     value = F.when(F.col("is_alias") & F.col("spec_score").isNotNull(), F.col("sim") * 0.82 + F.col("spec_score") * 0.18).otherwise(F.col("sim"))
-    best = hits.groupBy("probe_id", "item_id").agg(
-        F.max(value).alias("name_score"), F.coalesce(F.max(F.when(F.col("is_alias"), value)), F.lit(0.0)).alias("alias_score"))
+    named = F.col("by_name")
+    best = hits.groupBy("a", "source_spec", "item_id").agg(
+        F.bool_or(named).alias("by_name"), F.max(F.when(named, value)).alias("named_score"), F.max(F.when(named & F.col("is_alias"), value)).alias("named_alias"),
+        F.max(value).alias("any_score"), F.max(F.when(F.col("is_alias"), value)).alias("any_alias"))
+    best = cut(best)  # the similarity UDF must not run once per branch
     m_cols = m.select("item_id", "internal_item_code", F.col("item_name").alias("master_name"), F.col("spec").alias("master_spec"),
                       F.col("unit").alias("master_unit"), "standard_price", normalize_spec("spec").alias("target_spec"))
     best = cut(best)  # the similarity UDF must not run once per branch
-    full = best.join(p, "probe_id").join(m_cols, "item_id").withColumn("source_spec", normalize_spec("specification"))
-    full = full.join(spec_scores(full.select("source_spec", "target_spec").distinct()), ["source_spec", "target_spec"])
+    full = best.join(m_cols, "item_id")
+    full = full.join(spec_scores(full.select("source_spec", "target_spec").distinct()), ["source_spec", "target_spec"]).join(src, ["a", "source_spec"])
     if prefix is not None:
-        full = full.join(prefix.select("probe_id", "item_id", "floor"), ["probe_id", "item_id"], "left")
+        full = full.join(prefix.select("probe_id", "item_id", "floor"), ["probe_id", "item_id"], "left").filter(F.col("by_name") | F.col("floor").isNotNull())
     else:
         full = full.withColumn("floor", F.lit(None).cast("double"))
+    # a prefix hit is scored on all names of its master, another candidate on the names it met
+    pick = lambda kind: F.when(F.col("floor").isNotNull(), F.col(f"any_{kind}")).otherwise(F.col(f"named_{kind}"))
+    full = full.withColumns({"name_score": pick("score"), "alias_score": F.coalesce(pick("alias"), F.lit(0.0))})
     price = F.col("unit_price") if not N.is_text(p, "unit_price") else N.strict_decimal("unit_price")
     raw = F.col("name_score") * 0.55 + F.col("spec_score") * 0.20 + N.unit_score("unit", "master_unit") * 0.15 + N.price_score(price, "standard_price") * 0.10
     out = full.withColumn("score", F.round(F.greatest(raw, F.coalesce("floor", F.lit(0.0))), 3)).filter(F.col("score") >= FLOOR)
