@@ -267,20 +267,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     sets = staged(per_batch(texts.join(needed, "doc_id", "left_semi"), make, "doc_id long, grams binary"))
     links = staged(verified(pairs, sets, percent))
 
-    known = components(links)
+    known = staged(components(links))
     # classes that fell apart: pairs between their parts
     parts = entries.join(known, "vertex", "left").withColumn("part", F.coalesce("component", "vertex")).drop("component")
     split = staged(parts.groupBy("class").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("class"))
+    of = staged(meta.join(verts.select("digest", "vertex"), "digest", "left"))
+    several = of.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("hi")).filter("a <> hi").select("doc_id", "a")
+    added = of.join(several, "doc_id").filter(F.col("a") != F.col("vertex")).select("a", F.col("vertex").alias("b"))
     if not split.isEmpty():
         more = apart_pairs(staged(parts.join(split, "class")), ["token", "class"], "part", percent)
         rest = staged(may_overlap(more, narrow, percent).select("a", "b"))
         if not rest.isEmpty():
-            links = links.unionByName(verified(rest, sets, percent))
-
-    of = staged(meta.join(verts.select("digest", "vertex"), "digest", "left"))
-    several = of.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("hi")).filter("a <> hi").select("doc_id", "a")
-    links = links.unionByName(of.join(several, "doc_id").filter(F.col("a") != F.col("vertex")).select("a", F.col("vertex").alias("b")).distinct())
-    found = staged(components(links))
+            added = added.unionByName(verified(rest, sets, percent))
+    added = staged(added)
+    found = known if added.isEmpty() else staged(components(links.unionByName(added)))
     return of.join(found, "vertex", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "vertex", "doc_id")).alias("component_id")
     )

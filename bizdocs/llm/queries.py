@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, ngram_join, packing
+from . import decontaminate, language_id, ngram_join, packing, quality_rules
 from .common import read
 from .registry import query
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, read(spark, sf_dir, "labels"))
+    stats = quality_rules.text_stats(docs, ["doc_id"])
+    return quality_rules.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
