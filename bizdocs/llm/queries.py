@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, quality_rules
+from . import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_count, toxicity, url_filter
 from .common import read
 from .registry import query
 
@@ -18,12 +18,107 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _normal_sql(column: str) -> str:
+    out = f"trim(regexp_replace(lower(regexp_replace({column}, '{license_scan.COPYRIGHT}', '', 'g')), '{license_scan.PUNCTUATION}', ' ', 'g'))"
+    for pattern, to in license_scan.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return out
+
+
+def _known_sql() -> str:
+    rows = [(i, n.format(x)) for i, names in license_scan.NAMES.items() for x in names for n in license_scan.NOTICES] + list(license_scan.TEXTS.items())
+    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in rows)
+    return f"SELECT form, min(license_id) AS license_id FROM (SELECT license_id, {_normal_sql('text')} AS form FROM (VALUES {values}) k(license_id, text)) GROUP BY form"
+
+
+OP2_SQL = f"""
+WITH known AS ({_known_sql()}),
+lines AS (SELECT doc_id, {_normal_sql('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+notices AS (SELECT doc_id, string_agg(DISTINCT license_id, '|' ORDER BY license_id) AS notices FROM lines JOIN known USING (form) GROUP BY doc_id),
+whole AS (SELECT doc_id, {_normal_sql('text')} AS form FROM documents)
+SELECT doc_id, sha256(whole.form) AS digest, license_id, coalesce(notices, '') AS notices FROM whole LEFT JOIN known USING (form) LEFT JOIN notices USING (doc_id)"""
+
+
+@query("op2_license_scan", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents"), license_scan.known_texts(spark))
+    return found.withColumn("notices", F.array_join("notices", "|"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+URL_RULES = [url_filter.Rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def _rule_sql(host: str, path: str, pick: str) -> str:
+    rules = sorted(URL_RULES, key=lambda r: -len(r.pattern))
+    arms = " ".join(f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{getattr(r, pick)}'" for r in rules)
+    return f"CASE {arms} END"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP4_SQL = f"""
+WITH RECURSIVE u AS (SELECT page_id, html, regexp_extract(url, {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM pages),
+p AS (SELECT page_id, html, coalesce(translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(x.p, '') AS path, x.q AS query FROM u),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p),
+t AS (SELECT node, host, path, unnest(regexp_extract_all(html, {_quoted(url_filter.TAGS)})) AS tag FROM n),
+l AS (SELECT node, host, path, replace(CASE WHEN regexp_matches(tag, {_quoted(url_filter.CANONICAL)}) THEN regexp_extract(tag, {_quoted(url_filter.HREF)}, 1)
+      WHEN regexp_matches(tag, {_quoted(url_filter.REFRESH)}) THEN regexp_extract(tag, {_quoted(url_filter.TARGET)}, 1) END, '&amp;', '&') AS dst FROM t),
+w AS (SELECT node AS a, regexp_extract(CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst WHEN starts_with(dst, '//') THEN 'http:' || dst
+      WHEN starts_with(dst, '/') THEN 'http://' || host || dst ELSE 'http://' || host || regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^(.*/)?[^/]*$', 1) || dst END,
+      {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM l WHERE dst <> ''),
+e AS (SELECT a, translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}') || CASE WHEN x.p = '' THEN '/' ELSE x.p END || x.q AS b FROM w WHERE x.h <> ''),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS v, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v),
+v AS (SELECT c, max(CASE verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS best FROM
+      (SELECT c, {_rule_sql("regexp_extract(v, '^[^/]*')", "regexp_extract(v, '^[^/]*([^?]*)', 1)", 'verdict')} AS verdict FROM r) GROUP BY c)
+SELECT page_id, host, path, {_rule_sql('host', 'path', 'pattern')} AS rule,
+       coalesce({_rule_sql('host', 'path', 'verdict')}, CASE best WHEN 2 THEN 'allow' WHEN 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM n LEFT JOIN v ON v.c = n.node"""
+
+
+@query("op4_url_filter", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_count.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count.count_tokens(read(spark, sf_dir, "documents"), scores)
+
+
+OP6_SQL = f"""
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
+v AS (SELECT s.conv_id, perspective, CAST(greatest(coalesce(floor(turn / 64), 0), 0) AS BIGINT) AS block, turn, role, text,
+      '{chat_format.START}' || CASE WHEN role = 'system' THEN role WHEN role = perspective THEN 'assistant' ELSE 'user name=' || replace(role, '<|', '< |') END || chr(10) AS head,
+      replace(text, '<|', '< |') || '{chat_format.END}' AS body FROM s JOIN m USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, role, text) - length(body) - 1 AS pos FROM v)
+SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CASE WHEN role = perspective THEN CAST(pos AS BIGINT) || '-' || CAST(pos + length(body) AS BIGINT) END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask
+FROM o GROUP BY conv_id, perspective, block"""
+
+
+@query("op6_chat_perspectives", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_format.perspectives(read(spark, sf_dir, "conversations"))
+    return views.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
