@@ -28,7 +28,23 @@ from .common import Remember, per_batch, staged, text_bytes
 from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BITS = 1024  # of a parity bitmap
+LEAST_BITS = 512  # of a parity bitmap
+
+
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parity of the set's elements per bucket; twice as many buckets as elements, rounded up to a power of two."""
+    n = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) & (n - 1), minlength=n) & 1).astype(np.uint8)).tobytes()
+
+
+def bitmap_distance(x: bytes, y: bytes) -> int:
+    """Places in which two bitmaps differ, at most the sets' symmetric difference; the longer one is folded."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 class Shingler:
@@ -145,9 +161,8 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: list[tuple[int
                     if not n or doc_id is None:
                         continue
                     first, cold = ordered(s, n - -(-percent * n // 100) + 1)
-                    bits = np.packbits((np.bincount((s >> np.uint64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
                     own = np.sort(first)
-                    row = (hashlib.blake2b(s, digest_size=16).digest(), doc_id, n, (first >> np.uint64(24)).astype(np.int64), hashlib.blake2b(own, digest_size=16).digest(), cold, bits.tobytes())
+                    row = (hashlib.blake2b(s, digest_size=16).digest(), doc_id, n, (first >> np.uint64(24)).astype(np.int64), hashlib.blake2b(own, digest_size=16).digest(), cold, parity_bitmap(s))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             types = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
@@ -171,8 +186,7 @@ def may_overlap(pairs: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            apart = np.array([bitmap_distance(x.as_py(), y.as_py()) for x, y in zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)], np.int64)
             sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             ok = (100 + percent) * apart <= (100 - percent) * sizes
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(apart[ok])], ["a", "b", "apart"])
@@ -195,7 +209,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    # b first: it is the member of a pivot pair, and each has one pivot
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def apart_pairs(entries: DataFrame, keys: list[str], label: str, percent: int) -> DataFrame:
@@ -284,3 +299,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     return of.join(found, "vertex", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "vertex", "doc_id")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class of near duplicates: that with the smallest doc_id; all columns stay.
+
+    Of rows that share that doc_id the one with the least text (null first) stays. Rows with a null doc_id are all
+    kept, since they link with nothing.
+    """
+    found = near_duplicates(docs, width, percent)
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("_row"))
+    kept = kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
