@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: Centroids, keep: list[str] | None = None) ->
     those three names are replaced. Repeated rows each get their row; ties go to the first language by name.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
-    base = docs.select(*names, F.when(F.col("text").rlike("\\p{L}"), F.col("text").cast("binary")).alias("_bytes"))
+    base = docs.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("text").rlike("\\p{L}"), F.col("text").cast("binary")).alias("_bytes"))
     schema = base.drop("_bytes").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     dims = model.vectors.shape[1]
 
@@ -131,3 +131,10 @@ def predict(docs: DataFrame, model: Centroids, keep: list[str] | None = None) ->
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(far)], [*names, "lang_pred", "score", "rejected"])
 
     return base.mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows of ``docs`` (all columns, whatever their names) whose language is known: neither ``und`` nor rejected."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    found = predict(docs.select(row, "text"), model, ["_row"]).filter(~F.col("rejected"))
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

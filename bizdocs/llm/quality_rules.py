@@ -215,4 +215,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     names = docs.columns
     rules = learn(docs, labels, **options)
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    return judge(text_stats(wrapped, ["_row"]), rules).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in names])
+    # the row number keeps the optimizer from pushing the filter, with a copy of every statistic, below the projections
+    judged = judge(text_stats(wrapped, ["_row"]), rules).withColumn("_at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select(*[F.col("_row").getField(c).alias(c) for c in names])

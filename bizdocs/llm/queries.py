@@ -125,7 +125,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = docs.withColumn("held_out", held_out)
     model = language_id.fit(docs.filter(~F.col("held_out")))
-    return language_id.predict(docs, model, ["doc_id", "held_out", "text"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
 
 
 OP10_SQL = r"""
