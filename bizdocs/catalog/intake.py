@@ -10,7 +10,7 @@ from bizdocs.catalog.matching import dict_alias, dict_entries, feedback
 from bizdocs.catalog.matching import ENT, FB
 from bizdocs.catalog.quality import STATS_SQL
 from bizdocs.catalog.registry import query
-from bizdocs.catalog.texts import _STRIP
+from bizdocs.catalog.texts import _PLAIN
 from bizdocs.catalog.quality import LINES_SQL
 from bizdocs.catalog.twins import DOCS, LNP, sql
 from bizdocs.functions.lines import line_stats
@@ -48,7 +48,7 @@ def files(spark, sf) -> DataFrame:
 
 
 @query("sc03_text_corpus", sql(f"""SELECT '/in/' || page_id || '.html' AS path, 'html_text_extract' AS extraction_method, array_to_string({LINES_SQL.format(t='t')}, chr(10)) AS normalized_text, octet_length(encode(html)) AS file_size_bytes FROM p
- UNION ALL SELECT '/in/' || conv_id || '-' || turn || '.TXT', 'txt_direct', array_to_string({LINES_SQL.format(t='text')}, chr(10)), octet_length(encode(text)) FROM conversations""", f"p AS (SELECT page_id, html, regexp_replace({_STRIP}, '<[^>]+>', chr(10), 'g') AS t FROM pages)"))
+ UNION ALL SELECT '/in/' || conv_id || '-' || turn || '.TXT', 'txt_direct', array_to_string({LINES_SQL.format(t='text')}, chr(10)), octet_length(encode(text)) FROM conversations""", f"p AS (SELECT page_id, html, {_PLAIN} AS t FROM pages)"))
 def _(spark, sf):
     return S.text_corpus(files(spark, sf)).select("path", "extraction_method", "normalized_text", "file_size_bytes")
 

@@ -24,36 +24,42 @@ def _(spark, sf):
     return X.explode_lines(V.table(spark, sf, "documents"), "doc_id")
 
 
-_STRIP = "html"
+_STRIP = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in ("script", "style", "noscript"):
     _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '', 'g')"
 
 
-@query("tx02_html_text", sql(f"SELECT page_id, array_to_string({LINES_SQL.format(t='t')}, chr(10)) AS text FROM p", f"p AS (SELECT page_id, regexp_replace({_STRIP}, '<[^>]+>', chr(10), 'g') AS t FROM pages)"))
+_PLAIN = f"regexp_replace({_STRIP}, '<[^>]+>', chr(10), 'g')"
+for _from, _to in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):  # all that the pages hold
+    _PLAIN = f"replace({_PLAIN}, '{_from}', '{_to}')"
+
+
+@query("tx02_html_text", sql(f"SELECT page_id, array_to_string({LINES_SQL.format(t='t')}, chr(10)) AS text FROM p", f"p AS (SELECT page_id, {_PLAIN} AS t FROM pages)"))
 def _(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
 
 
 @query("tx03_flatten_json", "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS line FROM events")
 def _(spark, sf):
-    return X.flatten_json(V.table(spark, sf, "events"), "event_id", "props")
+    return X.flatten_json(V.table(spark, sf, "events"), "event_id", "props").drop("pos")
 
 
-@query("tx03_flatten_json_nested", """SELECT c_custkey, unnest(['name: ' || c_name, 'home.nation key: ' || c_nationkey, 'home.tags[0]: ' || c_mktsegment, 'home.tags[1]: x']) AS line FROM customer""")
+@query("tx03_flatten_json_nested", """SELECT c_custkey, CAST(unnest([0, 1, 2, 3, 4, 5]) AS BIGINT) AS pos, unnest(['name: ' || c_name, 'home.nation key: ' || c_nationkey, 'home.tags[0]: [' || c_mktsegment || ']', 'home.tags[1]: {x}', 'home.tags[2]: a', 'home.b.c.d.e.f[0]: deep']) AS line FROM customer""")
 def _(spark, sf):
-    text = F.expr("""to_json(named_struct('name', c_name, 'home', named_struct('nation_key', c_nationkey, 'tags', array(c_mktsegment, 'x'))))""")
+    text = F.expr("""to_json(named_struct('name', c_name, 'home', named_struct('nation_key', c_nationkey, 'tags', array(concat('[', c_mktsegment, ']'), '{x}', 'a'),
+        'b', named_struct('c', named_struct('d', named_struct('e', named_struct('f', array('deep'))))))))""")
     return X.flatten_json(V.table(spark, sf, "customer").withColumn("j", text), "c_custkey", "j")
 
 
-@query("tx04_csv_lines", "SELECT p_partkey, p_name || ' | ' || p_brand || ', Ltd' || chr(10) || p_type || ' | ' || p_size AS text FROM part")
+@query("tx04_csv_lines", "SELECT p_partkey, p_name || ' | ' || p_brand || ', \"Ltd\"' || chr(10) || 'Co' || chr(10) || p_type || ' | ' || p_size AS text FROM part")
 def _(spark, sf):
-    text = F.expr("""concat(p_name, ', "', p_brand, ', Ltd",,', '\\n', ',,\\n', p_type, ' ,', p_size)""")
+    text = F.expr("""concat(p_name, ', "', p_brand, ', ""Ltd""\\nCo",,', '\\n', ',,\\n', p_type, ' ,', p_size)""")
     return V.table(spark, sf, "part").select("p_partkey", X.csv_lines(text).alias("text"))
 
 
 @query("tx05_xml_lines", "SELECT p_partkey, 'name: ' || p_name || chr(10) || 'brand: ' || p_brand || chr(10) || 'size: ' || p_size AS text FROM part")
 def _(spark, sf):
-    text = F.expr("""concat('<?xml version="1.0"?><part key="', p_partkey, '"><name>', p_name, '</name>\\n <n:brand kind="b">', p_brand, '</n:brand><box><size> ', p_size, ' </size></box></part>')""")
+    text = F.expr("""concat('<?xml version="1.0"?><part xmlns:n="urn:n" key="', p_partkey, '"><name>', p_name, '</name>\\n <n:brand kind="b">', p_brand, '</n:brand><box><size> ', p_size, ' </size></box></part>')""")
     return V.table(spark, sf, "part").select("p_partkey", X.xml_lines(text).alias("text"))
 
 

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bizdocs.functions import numbers as N
-from bizdocs.functions.similarity import grams, sequence_ratio, similarity
+from bizdocs.functions.similarity import grams, hangul_jamo, jamo_text, sequence_ratio, similarity
 from bizdocs.functions.text import material_grade, mentions_broad_material, normalize_item_text, normalize_spec, real_code, thickness
 from bizdocs.operators.ordering import top_per
 from bizdocs.session import cut
@@ -71,7 +71,7 @@ def blocked_name_pairs(source: DataFrame, target: DataFrame, share: float = 0.5)
 
     Only a's rarest grams are used as join keys (prefix filter), so a gram that most names
     share is never the only thing two names meet on. No block is capped. Names shorter than
-    three characters have no gram; they meet on equality and on containment in a longer name's grams."""
+    three characters have no gram; they meet on equality here and on characters in ``near_name_pairs``."""
     a = source.select(F.col("name").alias("a"), grams(F.col("name"), 3).alias("ga"))
     b = target.select(F.col("name").alias("b"), grams(F.col("name"), 3).alias("gb"))
     index = b.select("b", "gb", F.explode("gb").alias("g"))
@@ -86,6 +86,49 @@ def blocked_name_pairs(source: DataFrame, target: DataFrame, share: float = 0.5)
     return met.select("a", "b").unionByName(equal).distinct()
 
 
+def near_name_pairs(source: DataFrame, target: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Every (a, b) pair of names whose similarity can reach ``threshold`` (above 2/3, at most .88), and some more.
+
+    Each score is a sequence ratio of a short form with a long one or with a window of it at most one character
+    shorter, so of total length n >= 2|s| - 1, or a containment. A ratio >= t leaves at least t n / 2 matched characters
+    in at most (1 - t) n + 1 blocks, so the forms share n (1.5 t - 1) - 1 bigrams; forms too short for that share
+    t n / 2 characters (copies numbered). The short form is posted under its rarest grams only, as many as must
+    hold a shared one; the long form under all of its grams. Forms: the name, its jamo, and the jamo of its Hangul.
+    """
+    t = min(threshold, 0.86)  # a Hangul window from .86 on counts as .88
+    slope = 1.5 * t - 1
+    if slope <= 0:
+        raise ValueError("threshold must be above 2/3")
+
+    def forms(df: DataFrame) -> DataFrame:
+        with_forms = df.withColumns({"jamo": jamo_text("name"), "hangul": hangul_jamo("name")})
+        pairs = F.array(*[F.struct(F.lit(k).alias("form"), F.col(c).alias("text")) for k, c in (("text", "name"), ("jamo", "jamo"), ("hangul", "hangul"))])
+        rows = with_forms.select("name", F.explode(F.filter(pairs, lambda p: F.coalesce(p["text"], F.lit("")) != "")).alias("f")).select("name", "f.*")
+        rows = rows.filter((F.col("form") != "jamo") | (F.col("text") != F.col("name")))
+        n = 2 * F.length("text") - 1
+        two, one = F.ceil(n * F.lit(slope) - 1 - 1e-9), F.ceil(n * F.lit(t / 2) - 1e-9)  # not up for rounding errors
+        return rows.withColumns({"size": F.when(two >= 1, 2).otherwise(1), "need": F.when(two >= 1, two).otherwise(one).cast("int")})
+
+    src, dst = cut(forms(source)), cut(forms(target))
+
+    def met(short: DataFrame, long: DataFrame) -> DataFrame:
+        both = long.select("name", "form", F.length("text").alias("m"), F.explode(F.array(F.struct(F.lit(1).alias("size"), grams(F.col("text"), 1).alias("all")), F.struct(F.lit(2).alias("size"), grams(F.col("text"), 2).alias("all")))).alias("g"))
+        index = both.select(F.col("name").alias("l"), "form", "m", "g.size", F.col("g.all").alias("gl"), F.explode("g.all").alias("g"))
+        freq = index.groupBy("form", "size", "g").agg(F.count("*").alias("f"))
+        own = short.withColumn("gs", F.when(F.col("size") == 2, grams(F.col("text"), 2)).otherwise(grams(F.col("text"), 1)))
+        tokens = own.select("name", "form", "size", "need", "gs", F.length("text").alias("n"), F.explode("gs").alias("g")).join(freq, ["form", "size", "g"])
+        # grams that no long form has are the rarest of all: they use up places of the prefix
+        found = tokens.groupBy("name", "form", "size", "need", "gs", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+        keep = F.size("o") - F.col("need") + 1
+        pre = found.filter(keep >= 1).select("name", "form", "size", "need", "gs", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x"))
+        hits = pre.select(F.col("name").alias("s"), "form", "size", "need", "gs", "n", F.col("x.g").alias("g")).join(index, ["form", "size", "g"])
+        return hits.filter((F.col("n") <= F.col("m")) & (F.size(F.array_intersect("gs", "gl")) >= F.col("need"))).select("s", "l")
+
+    forward = met(src, dst).select(F.col("s").alias("a"), F.col("l").alias("b"))
+    back = met(dst, src).select(F.col("l").alias("a"), F.col("s").alias("b"))
+    return forward.unionByName(back).distinct()
+
+
 def spec_scores(pairs: DataFrame) -> DataFrame:
     """(source_spec, target_spec) normalised distinct pairs with a score; the ratio runs only where nothing simpler decides."""
     s, t = F.col("source_spec"), F.col("target_spec")
@@ -95,8 +138,11 @@ def spec_scores(pairs: DataFrame) -> DataFrame:
     return decided.filter("spec_score IS NOT NULL").unionByName(rest)
 
 
-def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: DataFrame | None = None) -> DataFrame:
-    """Scored candidates (probe_id, item_id, score, …) with score >= 0.35 for probes without an exact hit."""
+def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: DataFrame | None = None, name_threshold: float = 0.8) -> DataFrame:
+    """Scored candidates (probe_id, item_id, score, …) with score >= 0.35 for probes without an exact hit.
+
+    Complete for names whose similarity reaches ``name_threshold``: an automatic match (score .90) needs .82, since the
+    other parts add up to .45. Names that are less alike are candidates if half of the source's 3-grams meet."""
     m = active(master)
     names = (
         m.select("item_id", normalize_item_text("item_name").alias("name"), F.lit(None).cast("string").alias("alias_spec"), F.lit(False).alias("is_alias"))
@@ -105,7 +151,8 @@ def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: Dat
     )
     src = p.withColumns({"a": normalize_item_text("item_name"), "source_spec": normalize_spec("specification")})
     texts = cut(src.select("a", "source_spec").distinct())  # prices and codes do not matter for names and specs
-    pairs = blocked_name_pairs(texts.select(F.col("a").alias("name")).filter("name <> ''").distinct(), names.select("name").distinct())
+    ours, theirs = texts.select(F.col("a").alias("name")).filter("name <> ''").distinct(), names.select("name").distinct()
+    pairs = near_name_pairs(ours, theirs, name_threshold).unionByName(blocked_name_pairs(ours, theirs)).distinct()
     hits = texts.join(pairs, "a").join(names.withColumnRenamed("name", "b"), "b").select("a", "source_spec", "b", "item_id", "alias_spec", "is_alias", F.lit(True).alias("by_name"))
     if prefix is not None:  # prefix hits are candidates whatever their names
         extra = prefix.select("probe_id", "item_id").join(src.select("probe_id", "a", "source_spec"), "probe_id").select("a", "source_spec", "item_id").distinct()
@@ -121,7 +168,6 @@ def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: Dat
     best = hits.groupBy("a", "source_spec", "item_id").agg(
         F.bool_or(named).alias("by_name"), F.max(F.when(named, value)).alias("named_score"), F.max(F.when(named & F.col("is_alias"), value)).alias("named_alias"),
         F.max(value).alias("any_score"), F.max(F.when(F.col("is_alias"), value)).alias("any_alias"))
-    best = cut(best)  # the similarity UDF must not run once per branch
     m_cols = m.select("item_id", "internal_item_code", F.col("item_name").alias("master_name"), F.col("spec").alias("master_spec"),
                       F.col("unit").alias("master_unit"), "standard_price", normalize_spec("spec").alias("target_spec"))
     best = cut(best)  # the similarity UDF must not run once per branch
@@ -248,7 +294,7 @@ def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float, by: li
         raise ValueError("threshold must be above 2/3")
     short = math.ceil(1 / slope)
     size = F.length("text")
-    need = F.greatest(F.ceil(size * F.lit(2 / (2 - threshold) * slope) - 1), F.lit(1))
+    need = F.greatest(F.ceil(size * F.lit(2 / (2 - threshold) * slope) - 1 - 1e-9), F.lit(1))
     freq = left.select(*by, F.explode(grams(F.col("text"), 2)).alias("g")).unionByName(
         right.select(*by, F.explode(grams(F.col("text"), 2)).alias("g"))).groupBy(*by, "g").agg(F.count("*").alias("f"))
 

@@ -1,35 +1,27 @@
-"""Row numbers inside groups of any size.
+"""Row numbers inside groups of any size, and first, last and top rows per group.
 
-A plain ``row_number()`` gathers a whole group into one task. ``number_rows``
-does that only for groups up to ``limit`` rows; larger groups are cut into
-ordered buckets at approximate quantiles, counted per bucket, and numbered as
-bucket offset + position in the bucket. The cut points only steer the work:
-the resulting numbers are exact whatever they are.
+A plain ``row_number()`` gathers a whole group into one task. ``number_rows`` deals the rows out by ranges of
+(key, order), so a large group spans several partitions, counts each group's rows per partition, and numbers a row by
+the count of earlier partitions plus its place in its own. One path for every size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 512
+from bizdocs.session import cut
 
 
-def number_rows(df: DataFrame, key: str, order: str, out: str, limit: int = 2_000_000) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     """Add ``out`` = 1-based position of the row within ``key`` by the unique, non-null number ``order``."""
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(key)
-    plain = df.join(hot, key, "left_anti")
-    plain = plain.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
-
-    big = df.join(hot, key, "left_semi")
-    points = F.array(*[F.lit((i + 1) / BUCKETS) for i in range(BUCKETS - 1)])
-    cuts = big.groupBy(key).agg(F.percentile_approx(order, points, F.lit(20000)).alias("_cuts"))
-    placed = big.join(cuts, key).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    counts = placed.groupBy(key, "_b").agg(F.count("*").alias("_c"))  # at most BUCKETS rows per key
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    placed = cut(df.repartitionByRange(F.col(key), F.col(order)).withColumn("_b", F.spark_partition_id()))
+    counts = placed.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_p")).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select("_k", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(order))
-    big = placed.withColumn("_r", inside).join(offsets, [key, "_b"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
-    return plain.unionByName(big.select(plain.columns))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_p"))
+    numbered = placed.withColumn("_r", inside).join(earlier, same)
+    return numbered.select(*df.columns, (F.col("_off") + F.col("_r")).cast("long").alias(out))
 
 
 def first_per(df: DataFrame, keys: list, order) -> DataFrame:

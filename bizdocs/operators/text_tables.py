@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bizdocs.functions import numbers as N
 from bizdocs.functions.dates import extract_date, repair_date
 from bizdocs.functions.lines import text_lines
+from bizdocs.functions.markup import csv_text, json_lines, unescape, xml_text
 from bizdocs.functions.text import let, normalize_label
 from bizdocs.operators.line_items import looks_like_header
 
@@ -25,7 +26,7 @@ TYPE_WORDS = [
     ("quotation", ["견적서", "견적번호", "견적일", "유효기간", "견적유효기간", "납기조건", "결제조건", "quotation", "quote"], r"(?i)\bQT[-_ ]?\d{4}|견적서|견적번호", 8),
     ("purchase_order", ["발주서", "발주번호", "발주처", "납기일", "purchase order", "po no"], r"(?i)\b(?:PO|FAXx?-PO|FAX-PO)[-_ ]?\d{4}|발주서|발주번호", 8),
     ("transaction_statement", ["거래명세서", "거래명세서번호", "거래일자", "transaction statement"], r"(?i)\bTS[-_ ]?\d{4}|거래명세서", 8),
-    ("inspection_report", ["검사성적서", "검사번호", "입고수량", "합격수량", "불량수량", "inspection report"], r"(?i)\b(?:IQC|QC)[-_ ]?\d{4}|입고검사|검사번호|합격수량", 10),
+    ("inspection_report", ["입고검사성적서", "입고 검사 기록서", "입고검사기록서", "입고검사", "검사성적서", "검사번호", "입고수량", "합격수량", "불량수량", "inspection report"], r"(?i)\b(?:IQC|QC)[-_ ]?\d{4}|입고검사|검사번호|합격수량", 10),
 ]
 HANDWRITTEN_TYPES = [
     ("inspection_report", "(간이검사기록|입고확인|검사수량|치수이상없음|수량확인완료)"), ("transaction_statement", "(거래멈세서|거래명세서|거래명세)"),
@@ -81,11 +82,36 @@ CATEGORY_RULES = [
     ("delivery_note", ["납품서", "delivery note"]), ("invoice", ["세금계산서", "invoice"]), ("quotation", ["견적서", "quotation", "quote"]),
     ("purchase_order", ["발주서", "purchase order"]), ("transaction_statement", ["거래명세서", "transaction statement"]),
 ]
+#: Texts that are recognised by how many signals they contain: name -> alternatives of (signals, least number).
+CATEGORY_SIGNALS = {
+    "implementation_schedule": [
+        [(["sheet:", "|", "task", "feature", "status", "claimed"], 3), (["implementation", "schedule", "roadmap", "tracker", "testing", "coverage", "pipeline", "milestone", "owner"], 2)],
+        [(["implementation", "schedule", "roadmap", "tracker", "testing", "coverage", "pipeline", "milestone", "owner"], 4)],
+    ],
+    "installation_guide": [
+        [(["installation guide", "setup guide", "technical guide", "project setup", "engineering documentation"], 1)],
+        [(["install", "installation", "setup", "configure", "configuration", "environment", "dependencies", "prerequisites", "run", "command", "docker", "api", "database"], 4)],
+    ],
+    "course_guide": [[(["syllabus", "course code", "semester", "instructor", "office hours", "grading", "required materials"], 2)]],
+    "presentation_guide": [[(["presentation", "slide", "audience", "speaker", "rehearse", "talk track", "speaking notes"], 2)]],
+}
+PROFILE_LINES = [r"(?m)^\s*name\s*:", r"(?m)^\s*(?:student\s+)?id\s*:", r"(?m)^\s*major\s*:", r"(?m)^\s*age\s*:", r"(?m)^\s*department\s*:", r"(?m)^\s*dob\s*:"]
 CATEGORY_WORDS = {
-    "packing_list": ["포장명세서", "packing list", "포장 수량", "box", "carton"], "inspection_report": ["검사성적서", "검사 결과", "inspection report", "합격", "불합격"],
-    "contract": ["계약서", "contract", "계약 기간", "계약 금액"], "profile_record": ["name:", "id:", "student id", "major:", "age:", "department:", "dob:"],
+    "purchase_order": ["발주서", "발주 번호", "po no", "purchase order", "납기일", "발주일"],
+    "quotation": ["견적서", "견적 번호", "quotation", "quote", "유효기간", "견적금액"],
+    "transaction_statement": ["거래명세서", "거래 명세서", "transaction statement", "공급가액", "세액"],
+    "delivery_note": ["납품서", "납품 번호", "delivery note", "납품일", "인수자"],
+    "packing_list": ["포장명세서", "packing list", "포장 수량", "box", "carton"],
+    "inspection_report": ["검사성적서", "inspection report", "검사 결과", "합격", "불합격"],
+    "purchase_memo": ["발주 메모", "구매 메모", "purchase memo", "단가 확인필요", "자재 입고 요청"],
+    "pos_daily_settlement": ["pos 일일정산", "일정산", "daily sales settlement", "실판매금액", "순판매금액"],
+    "return_note": ["반품", "차감", "return", "credit note", "rtn"],
+    "internal_transfer": ["사업장간", "자재 이동", "내부 이동", "internal transfer", "trf"],
+    "contract": ["계약서", "contract", "계약 기간", "계약 금액"],
+    "profile_record": ["name:", "id:", "student id", "major:", "age:", "department:", "dob:"],
     "installation_guide": ["installation guide", "setup guide", "install", "installation", "setup", "configuration", "environment variables", "dependencies", "prerequisites"],
     "implementation_schedule": ["implementation", "schedule", "task", "feature", "status", "testing", "coverage", "pipeline", "claimed", "roadmap"],
+    "invoice": ["invoice", "invoice number", "vendor", "bill to", "invoice date", "due date", "amount due", "total due"],
     "course_guide": ["syllabus", "course code", "office hours", "grading", "required materials", "instructor"],
     "presentation_guide": ["presentation guide", "speaker notes", "talk track", "slide guidance", "rehearse"],
     "repair_service": ["repair", "service work", "labor", "parts", "maintenance", "technician", "brake"],
@@ -117,7 +143,12 @@ NUMBER_FORMS = [
     r"\bINV(?:[-_ ]+[A-Z]{2,10}){1,3}[-_ ]+\d{3,4}\b",
 ]
 NUMBER_PREFIX = "(?i)^(?:DOC|PM|POS|RC|PO|QT|INV|DN|TS|IQC|IOC|QC|RTN|RCM|TRF|MV|FAX-PO)-"
-NUMBER_LABELS = ["발주번호", "견적번호", "거래명세서번호", "납품번호", "계산서번호", "인보이스번호", "청구서번호", "문서번호", "영수증번호", "승인번호", "전표번호", "정산번호", "메모번호", "po no", "po number", "quote no", "invoice no", "receipt no"]
+NUMBER_LABELS = [
+    "발주번호", "발주 번호", "견적번호", "견적 번호", "거래명세서번호", "납품번호", "계산서번호", "인보이스번호", "청구서번호", "문서번호",
+    "영수증번호", "승인번호", "카드승인번호", "전표번호", "정산번호", "메모번호",
+    "po no", "po number", "purchase order no", "qt no", "quote no", "quotation no", "statement no", "delivery note no", "dn no", "invoice no", "inv no",
+    "receipt no", "receipt number", "approval no", "approval number",
+]
 ISSUE_LABELS = {
     "purchase_order": ["발행일", "발행일자", "작성일", "발주일", "발주일자", "issue date", "date"], "quotation": ["견적일", "발행일", "작성일", "quotation date", "quote date", "date"],
     "transaction_statement": ["거래일자", "거래일", "발행일", "작성일", "transaction date", "issue date"], "delivery_note": ["발행일", "작성일", "issue date"],
@@ -217,42 +248,26 @@ def explode_lines(df: DataFrame, key: str, col: str = "text") -> DataFrame:
 
 
 def html_text(col) -> Column:
-    """Script, style and noscript blocks out, tags to line breaks, lines collapsed."""
-    t = _c(col)
+    """Comments, script, style and noscript blocks out, tags to line breaks, character references decoded, lines collapsed."""
+    t = F.regexp_replace(_c(col), r"(?s)<!--.*?-->", "")
     for tag in ("script", "style", "noscript"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return F.array_join(text_lines(F.regexp_replace(t, "<[^>]+>", "\n")), "\n")
+    return F.array_join(text_lines(unescape(F.regexp_replace(t, "<[^>]+>", "\n"))), "\n")
 
 
-def flatten_json(df: DataFrame, key: str, col: str, levels: int = 4) -> DataFrame:
-    """``a.b[0]: value`` rows of a JSON text, expanded level by level; ``_`` reads as a space."""
-    rows = df.select(key, F.lit("").alias("_path"), F.col(col).alias("value"))
-    done: list[DataFrame] = []
-    for _ in range(levels):
-        is_map, is_list = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"^\s*\[")
-        done.append(rows.filter(~F.coalesce(is_map | is_list, F.lit(False))))
-        maps = rows.filter(is_map).select(key, "_path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        maps = maps.select(key, F.concat_ws(".", F.nullif("_path", F.lit("")), "k").alias("_path"), "value")
-        lists = rows.filter(is_list).select(key, "_path", F.posexplode(F.from_json("value", "array<string>")).alias("i", "value"))
-        rows = maps.unionByName(lists.select(key, F.concat("_path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("_path"), "value"))
-    out = reduce(lambda a, b: a.unionByName(b), done + [rows])
-    label = F.replace(F.coalesce(F.nullif("_path", F.lit("")), F.lit("value")), F.lit("_"), F.lit(" "))
-    return out.select(key, F.concat(label, F.lit(": "), F.coalesce("value", F.lit("None"))).alias("line"))
+def flatten_json(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, pos, line): ``a.b[0]: value`` lines of a JSON text in source order, at any depth; none for malformed text."""
+    return df.select(key, F.posexplode(json_lines(col)).alias("pos", "line"))
 
 
 def csv_lines(col) -> Column:
-    """Comma rows as `` | `` joined cells; quoted commas stay inside their cell."""
-    cells = lambda v: F.transform(F.split(v, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    rows = F.transform(F.split(_c(col), r"\r\n|\n|\r"), lambda v: F.array_join(F.filter(cells(v), lambda c: c != ""), " | "))
-    return F.array_join(F.filter(rows, lambda r: r != ""), "\n")
+    """Rows as `` | `` joined cells; delimiter, quoted delimiters, line breaks and doubled quotes are understood."""
+    return csv_text(_c(col))
 
 
 def xml_lines(col) -> Column:
-    """Elements with text of their own as ``localname: text`` in document order."""
-    pattern = r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>([^<]*)"
-    pairs = F.arrays_zip(F.regexp_extract_all(_c(col), F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(_c(col), F.lit(pattern), F.lit(2)).alias("v"))
-    rows = F.filter(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.trim(F.regexp_replace(p["v"], r"\s+", " ")).alias("v"))), lambda p: p["v"] != "")
-    return F.array_join(F.transform(rows, lambda p: F.concat(p["k"], F.lit(": "), p["v"])), "\n")
+    """Elements with text of their own as ``localname: text`` in document order; malformed XML as plain lines."""
+    return F.coalesce(xml_text(_c(col)), F.array_join(text_lines(_c(col)), "\n"))
 
 
 # --- key-values ------------------------------------------------------------------
@@ -283,8 +298,10 @@ def line_key_values(line: Column) -> Column:
 
 def key_values(df: DataFrame, key: str, col: str = "text") -> DataFrame:
     """(key, pos, key, value) rows; ``pos`` orders them inside the document."""
+    if key in ("key", "value", "pos"):
+        raise ValueError(f"the id column can't be named {key}, as an output is")
     per_line = F.transform(F.filter(text_lines(col), lambda v: F.length(v) <= 160), line_key_values)
-    return df.select(key, F.posexplode(F.flatten(per_line)).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value") if key != "key" else df
+    return df.select(key, F.posexplode(F.flatten(per_line)).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value")
 
 
 def carry_sections(df: DataFrame, key: str, col: str = "text") -> DataFrame:
@@ -462,7 +479,8 @@ def semantic_category(candidates, fallback) -> Column:
 
 
 def classify_category(col) -> Column:
-    """Profile, return and transfer wording, explicit titles, then 100 per keyword (a lone contained keyword is enough)."""
+    """Profile, return and transfer wording, explicit titles, texts with enough signals of a kind, then the family with
+    the most contained keywords, the first on ties (one is enough)."""
     t = F.coalesce(_c(col), F.lit(""))
     return let(F.struct(t.alias("t"), F.lower(t).alias("low"), classify_profile(t).alias("profile")), _category_rules)
 
@@ -472,6 +490,11 @@ def _category_rules(x: Column) -> Column:
     out = F.when(profile.isNotNull(), profile).when(t.rlike(RETURN_WORDS), F.when(t.rlike(r"(?i)차감|크레딧|credit\s+(?:note|memo)"), "credit_note").otherwise("return_note")).when(t.rlike(TRANSFER_WORDS), "internal_transfer")
     for name, words in CATEGORY_RULES:
         out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name)
+    every = lambda parts: reduce(lambda a, b: a & b, [_contained(low, ws) >= n for ws, n in parts])
+    signalled = {name: reduce(lambda a, b: a | b, map(every, ways)) for name, ways in CATEGORY_SIGNALS.items()}
+    for name, cond in signalled.items():
+        out = out.when(cond, name)
+    out = out.when(_total([_when(low.rlike(p), 1) for p in PROFILE_LINES]) >= 2, "profile_record")
     best = F.array_max(F.array(*[F.struct(_contained(low, ws).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("c")) for i, (n, ws) in enumerate(CATEGORY_WORDS.items())]))
     return out.when(best["s"] > 0, best["c"])
 

@@ -25,19 +25,9 @@ def _case(column: str, pairs: dict, pick) -> str:
     return f"CASE {column} {arms} END"
 
 
-SPREAD_FROM, SPREAD_TO = 1 << 20, 128 << 20  # bytes
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. A file of one row group cannot be split, so a mid-sized single file is dealt out
-    over the cores; filters and pruning still reach the scan. Tables of many files or of real size are
-    read as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if SPREAD_FROM <= size < SPREAD_TO and cores > 1 and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    """A base table as it lies there; pruning and filters reach the scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_number_rows_splits_hot_groups(spark):
     rows = [(1, rng.randint(0, 10**9)) for _ in range(3000)] + [(k, i) for k in range(2, 6) for i in range(7)]
     rows = list(set(rows))
     df = spark.createDataFrame(rows, "g int, o long")
-    got = {(r["g"], r["o"]): r["n"] for r in O.number_rows(df, "g", "o", "n", limit=100).collect()}
+    got = {(r["g"], r["o"]): r["n"] for r in O.number_rows(df, "g", "o", "n").collect()}
     for g in {r[0] for r in rows}:
         assert [got[(g, o)] for o in sorted(o for h, o in rows if h == g)] == list(range(1, sum(h == g for h, _ in rows) + 1))
 
@@ -363,3 +363,31 @@ def test_latest_survives_several_batches(spark, tmp_path):
         mk(*batch).coalesce(1).write.mode("append").parquet(str(src))
         J.stream_latest(J.read_stream(spark, str(src), mk().schema), ["user_id"], str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert {(r["user_id"], r["event_id"]) for r in J.current(spark, str(tmp_path / "t")).collect()} == {(1, 12), (2, 11), (3, 14)}
+
+
+def test_window_ratio_skips_no_better_window():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14))) for _ in range(2))
+        short, whole = sorted((a, b), key=len)
+        every = [whole] + [whole[i:i + w] for w in (len(short) - 1, len(short), len(short) + 1) for i in range(len(whole) - w + 1) if len(short) >= 3]
+        assert S.window_ratio(a, b) == max(SequenceMatcher(None, short, x).ratio() for x in every)
+
+
+def test_near_name_pairs_are_complete(spark):
+    rng = random.Random(11)
+    parts = ["볼트", "와셔", "너트", "hex", "bolt", "m8", "sus304", "plate", "철판", "bearing", "6204", "a", "zinc", "플랜지", "스프링"]
+    base = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+
+    def noisy(t):
+        chars = list(t)
+        for _ in range(rng.randrange(3)):
+            chars[rng.randrange(len(chars))] = rng.choice("xol1볼불")
+        return "".join(chars)
+
+    left = {noisy(t) for t in base} | {"galvanisedzincplatedhexboltm8grade88", "bearing6204", "볼트와셔너트", "ab", "가"}
+    right = {noisy(t) for t in base} | set(base[:20]) | {"hexboltm8", "bearlng62o4", "볼투와서너투", "abc", "가나다"}
+    frame = lambda names: spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = {(r["a"], r["b"]) for r in M.near_name_pairs(frame(left), frame(right)).collect()}
+    want = {(a, b) for a in left for b in right if S.name_similarity(a, b) >= 0.8}
+    assert want <= got and len(want) > 60
