@@ -260,7 +260,7 @@ def _(spark, sf):
 
 @query("sk01_erp_rows", sql("""SELECT d.document_id, coalesce(row_number() OVER (PARTITION BY d.document_id ORDER BY dd.line_index), 1) AS line_index, item_name AS "품목명", CAST(supply_amount AS DOUBLE) AS "공급가액",
  CASE WHEN fresh THEN 'invoice' ELSE d.document_type END AS "문서유형", coalesce(CASE WHEN fresh THEN m_customer_name END, d.customer_name) AS "고객사",
- CASE WHEN dd.document_id IS NOT NULL THEN CAST(line_total AS VARCHAR) WHEN NOT conflict THEN coalesce(CASE WHEN fresh THEN m_document_total END, CAST(extracted_amount AS VARCHAR)) END AS "합계금액",
+ CASE WHEN dd.document_id IS NOT NULL THEN CAST(line_total AS VARCHAR) WHEN NOT conflict THEN coalesce(CASE WHEN fresh THEN coalesce(m_document_total, m_estimated_total) END, CAST(extracted_amount AS VARCHAR)) END AS "합계금액",
  coalesce(document_item_code, item_code) AS document_item_code, export_policy, export_warning
  FROM (SELECT *, NOT review_required AND coalesce(mapping_at >= confirmed_at, false) AS fresh FROM rcp2) d LEFT JOIN dd USING (document_id) JOIN policy p ON p.document_id = d.document_id""", *EXPORT_VIEWS, LNS, LSUM, POLICY))
 def _(spark, sf):

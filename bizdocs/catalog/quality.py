@@ -59,11 +59,11 @@ def signals(spark, sf) -> DataFrame:
 
 
 TRADE = lst(Q.TRADE_TYPES)
-SIG = f"""la AS (SELECT document_id, count(*) AS n_lines, bool_or(item_name IS NULL OR quantity IS NULL OR (unit_price IS NULL AND line_total IS NULL)) AS incomplete, bool_or(len(validation_warnings) > 0) AS line_warned, sum(line_total) AS line_sum FROM lnp GROUP BY document_id),
+SIG = f"""la AS (SELECT document_id, count(*) AS n_lines, bool_or(item_name IS NULL OR quantity IS NULL OR (unit_price IS NULL AND line_total IS NULL)) AS incomplete, bool_or(item_name IS NULL OR quantity IS NULL) AS incomplete_u, bool_or(len(validation_warnings) > 0) AS line_warned, sum(line_total) AS line_sum FROM lnp GROUP BY document_id),
 sig0 AS (SELECT d.* REPLACE (CASE WHEN extraction_method = 'pdf_text' AND currency = 'USD' THEN 'pdf_scanned_page_ocr' WHEN extraction_method = 'pdf_text' THEN 'pdf_text_extract' ELSE extraction_method END AS extraction_method,
    CASE WHEN source_file_type = 'xlsx' AND currency = 'USD' THEN 'md' WHEN source_file_type = 'xlsx' AND tax IS NULL THEN 'scan' ELSE source_file_type END AS source_file_type),
   source_file_type IS NULL AS partial_support, coalesce(source_file_type = 'jpg', false) AS is_image, CASE WHEN extraction_method = 'image_ocr' THEN confidence_score END AS ocr, CASE WHEN currency IS NULL THEN 2 ELSE 0 END AS n_warnings,
-  coalesce(n_lines, 0) AS n_lines, coalesce(incomplete, false) AS incomplete, coalesce(line_warned, false) AS line_warned, coalesce(abs(extracted_amount - line_sum) > greatest(1, abs(extracted_amount) * 0.02), false) AS m2,
+  coalesce(n_lines, 0) AS n_lines, coalesce(incomplete, false) AS incomplete, coalesce(incomplete_u, false) AS incomplete_u, coalesce(line_warned, false) AS line_warned, coalesce(abs(extracted_amount - line_sum) > greatest(1, abs(extracted_amount) * 0.02), false) AS m2,
   coalesce(abs(extracted_amount - line_sum) > CASE WHEN coalesce(currency, 'KRW') = 'KRW' THEN 10 ELSE 0.05 END, false) AS mabs,
   list_contains({TRADE}, document_type) AS trade, document_type = 'receipt' AND extracted_amount IS NOT NULL AS rcpt, length(trim(coalesce(t.text, ''))) AS tsize, coalesce(t.text, '') AS text, coalesce(t.line_count, 0) AS line_count,
   coalesce(t.structured_density, 0) AS structured_density, coalesce(t.amount_pattern_count, 0) AS amount_pattern_count, coalesce(t.noise_ratio, 0) AS noise_ratio,
@@ -96,7 +96,7 @@ def _(spark, sf):
   CASE WHEN ocr < 0.68 THEN 'low_ocr_confidence' END, CASE WHEN is_image AND q < 0.72 THEN 'quality_gate_escalation_recommended' END,
   CASE WHEN q < 0.58 OR ((partial_support OR is_image OR contains(extraction_method, 'ocr')) AND q < 0.72) THEN 'low_extraction_quality_score' END,
   CASE WHEN trade AND (coalesce(vendor_name, merchant_name) IS NULL OR nullif(customer_name, '') IS NULL OR document_number IS NULL OR coalesce(issue_date, extracted_date) IS NULL OR (document_type IN ('purchase_order','invoice') AND due_date IS NULL)) THEN 'missing_required_fields' END,
-  CASE WHEN trade AND n_lines = 0 THEN 'missing_line_items' END, CASE WHEN trade AND (incomplete OR line_warned) THEN 'incomplete_line_items' END, CASE WHEN trade AND mabs THEN 'amount_mismatch' END], lambda x: x IS NOT NULL) AS rs FROM sig)""", *SIG_VIEWS))
+  CASE WHEN trade AND n_lines = 0 THEN 'missing_line_items' END, CASE WHEN trade AND (CASE WHEN document_type = 'delivery_note' THEN incomplete_u ELSE incomplete END OR line_warned) THEN 'incomplete_line_items' END, CASE WHEN trade AND mabs THEN 'amount_mismatch' END], lambda x: x IS NOT NULL) AS rs FROM sig)""", *SIG_VIEWS))
 def _(spark, sf):
     return Q.escalation(Q.extraction_quality(signals(spark, sf))).select("document_id", F.col("escalation_reasons").alias("reasons"), "should_escalate")
 

@@ -35,6 +35,16 @@ def _(spark, sf):
     return R.document_amount(V.documents(spark, sf), V.lines(spark, sf))
 
 
+@query("pr03_document_amount_mapping", sql("""SELECT document_id, CAST(coalesce(CASE WHEN fresh AND coalesce(nullif(m_document_total,''), nullif(m_estimated_total,'')) IS NOT NULL
+  THEN TRY_CAST(replace(nullif(regexp_extract(coalesce(nullif(m_document_total,''), nullif(m_estimated_total,'')), '[-+]?[0-9][0-9,]*(\\.[0-9]+)?', 0), ''), ',', '') AS DECIMAL(18,2)) ELSE extracted_amount END,
+  CASE WHEN fresh AND n_mapped > 0 THEN n_mapped * 7 ELSE line_sum END) AS DOUBLE) AS amount
+ FROM res0 LEFT JOIN ln_sum USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n_mapped FROM lns WHERE line_no <= 2 GROUP BY document_id) USING (document_id)""", DOCS, LNS, RESOLVED))
+def _(spark, sf):
+    lines = V.lines(spark, sf)
+    mapped = lines.filter("line_no <= 2").withColumns({"supply_amount": F.lit("7.00").cast("decimal(18,2)"), "line_total": F.lit(None).cast("decimal(18,2)")})
+    return R.document_amount(V.documents(spark, sf), lines, mapped)
+
+
 @query("pr04_is_verified", _resolved("verified"))
 def _(spark, sf):
     return V.documents(spark, sf).select("document_id", R.is_verified().alias("verified"))

@@ -86,12 +86,16 @@ def dirty_receipt_name(col: str) -> Column:
         compact.rlike(r"^\d+(ea|kg|box|개|봉|팩|세트)?x?$") | compact.rlike("^[s5]ea[x×]?$") | text.rlike(DIRTY_RECEIPT_WORD))
 
 
+RETURN_SUBTYPES = ["return_note", "credit_note", "return_credit"]
+
+
 def return_conflict() -> Column:
     """Return/credit wording on a document that is typed as a priced one and not marked as a return."""
     empty = F.array().cast("array<string>")
-    text = F.concat_ws(" ", "original_filename", "title", "category", "taxonomy.document_profile",
+    text = F.concat_ws(" ", "original_filename", "title", "category", "taxonomy.document_subtype", "taxonomy.document_profile",
                        F.coalesce("tags", empty), F.coalesce("taxonomy.document_profiles", empty))
     marked = has_profile("taxonomy.document_profiles", "return_document") | F.coalesce(F.col("taxonomy.document_profile") == "return_document", F.lit(False))
+    marked = marked | F.coalesce(F.lower("taxonomy.document_subtype").isin(RETURN_SUBTYPES), F.lit(False))
     return text.rlike(RETURN_SIGNAL) & ~marked & F.col("document_type").isin(PRICED_TYPES)
 
 
@@ -290,9 +294,10 @@ def fill_residual_line(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumns({"supply_amount": pick("supply_amount", "_rs"), "tax_amount": pick("tax_amount", "_rt"), "line_total": pick("line_total", "_rtot")}).select(*lines.columns, "residual_filled")
 
 
-def incomplete_line() -> Column:
+def incomplete_line(priced: bool = True) -> Column:
     blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
-    return blank("item_name") | blank("quantity") | (blank("unit_price") & blank("line_total"))
+    out = blank("item_name") | blank("quantity")
+    return out | (blank("unit_price") & blank("line_total")) if priced else out
 
 
 def incomplete_lines(lines: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def clamp(score: Column) -> Column:
 def signals(docs: DataFrame, lines: DataFrame, text: DataFrame | None = None) -> DataFrame:
     """Per-document inputs of the gates; lines are pre-aggregated once."""
     agg = lines.groupBy("document_id").agg(
-        F.count("*").alias("n_lines"), F.bool_or(L.incomplete_line()).alias("incomplete"),
+        F.count("*").alias("n_lines"), F.bool_or(L.incomplete_line()).alias("incomplete"), F.bool_or(L.incomplete_line(priced=False)).alias("incomplete_unpriced"),
         F.bool_or(F.size("validation_warnings") > 0).alias("line_warned"),
         F.sum(L.money_col(lines, "line_total")).alias("line_sum"))
     out = docs.join(agg, "document_id", "left")
@@ -78,7 +78,7 @@ def signals(docs: DataFrame, lines: DataFrame, text: DataFrame | None = None) ->
     n = F.coalesce("n_lines", F.lit(0))
     off = F.abs(F.col("extracted_amount") - F.col("line_sum"))
     return out.withColumns({
-        "n_lines": n, "incomplete": F.coalesce("incomplete", F.lit(False)),
+        "n_lines": n, "incomplete": F.coalesce("incomplete", F.lit(False)), "incomplete_unpriced": F.coalesce("incomplete_unpriced", F.lit(False)),
         "mismatch_2pct": F.coalesce(off > L.amount_tolerance("quality"), F.lit(False)),
         "mismatch_abs": F.coalesce(off > F.when(F.coalesce("currency", F.lit("KRW")) == "KRW", dec("10.00")).otherwise(dec("0.05")), F.lit(False)),
     })
@@ -218,7 +218,7 @@ def escalation(df: DataFrame) -> DataFrame:
         F.when((q < dec("0.58")) | (visual & (q < dec("0.72"))), "low_extraction_quality_score"),
         F.when(table_conf < 0.70, "low_table_confidence"), F.when(method.contains("pdf_partial"), "pdf_partial_text"),
         F.when(trade & missing, "missing_required_fields"), F.when(trade & (F.col("n_lines") == 0), "missing_line_items"),
-        F.when(trade & (F.col("incomplete") | F.coalesce("line_warned", F.lit(False))), "incomplete_line_items"),
+        F.when(trade & (F.when(t == "delivery_note", F.col("incomplete_unpriced")).otherwise(F.col("incomplete")) | F.coalesce("line_warned", F.lit(False))), "incomplete_line_items"),
         F.when(trade & F.col("mismatch_abs"), "amount_mismatch"),
         F.when((t == "other") & image, "unknown_document_type_from_visual_source"),
     ))

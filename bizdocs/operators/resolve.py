@@ -81,11 +81,11 @@ def is_review_actionable() -> Column:
     return (s == "needs_review") | (F.coalesce(F.col("review_required"), F.lit(False)) & s.isin(ACTIONABLE))
 
 
-def effective_lines(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None) -> DataFrame:
-    """Lines of the fresh confirmed mapping where there are any, else the document's own."""
+def effective_lines(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None, fresh: Column | None = None) -> DataFrame:
+    """Lines of the confirmed mapping where it is fresh and has any, else the document's own."""
     if mapping_lines is None:
         return lines
-    fresh = docs.filter(fresh_mapping()).select("document_id")
+    fresh = docs.filter(fresh_mapping() if fresh is None else fresh).select("document_id")
     theirs = mapping_lines.join(fresh, "document_id", "left_semi")
     own = lines.join(theirs.select("document_id").distinct(), "document_id", "left_anti")
     return own.unionByName(theirs, allowMissingColumns=True)
@@ -105,7 +105,8 @@ def line_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def document_amount(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def document_amount(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None) -> DataFrame:
+    lines = effective_lines(docs, lines, mapping_lines)
     sums = lines.groupBy("document_id").agg(F.sum(line_amount(lines)).alias("line_sum"))
     return docs.join(sums, "document_id", "left").select("document_id", F.coalesce(explicit_amount(docs), "line_sum").alias("amount"))
 

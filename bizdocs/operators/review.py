@@ -68,9 +68,11 @@ def review_reasons(docs: DataFrame, lines: DataFrame, index: str = "line_index")
     no_price = has_profile(profiles, "no_price_document") | F.coalesce(F.col("taxonomy.amount_required") == F.lit(False), F.lit(False))
     optional_party = no_price | has_profile(profiles, "inventory_movement_document")
     none = lambda c: present(c).isNull()
+    skipped = (F.col("item_master_match_status") == "skipped_no_item_master") & none("item_code") if "item_master_match_status" in lines.columns else F.lit(False)
     stats = lines.groupBy("document_id").agg(
         F.count("*").alias("_n"), F.sum(L.money_col(lines, "line_total")).alias("_sum"),
         F.bool_or(present("item_code").isNotNull()).alias("_codes"),
+        F.bool_or(skipped).alias("_skipped"),
         F.bool_or(F.arrays_overlap("validation_warnings", F.array(*[F.lit(w) for w in AMOUNT_WARNINGS]))).alias("_invalid"))
     head = docs.join(stats, "document_id", "left").withColumns({"_ret": ret, "_noprice": no_price, "_optparty": optional_party})
     tax_doc = has_profile(profiles, "tax_document") | F.coalesce(F.col("taxonomy.document_profile") == "tax_document", F.lit(False))
@@ -87,13 +89,15 @@ def review_reasons(docs: DataFrame, lines: DataFrame, index: str = "line_index")
     ], 0, F.lit(0), F.lit(None))
     body = lines.join(head.select("document_id", "document_type", "_noprice", "_codes"), "document_id")
     nth = lambda text: F.concat((F.col(index)).cast("string"), F.lit(f"번째 품목{text}"))
-    code_severity = F.when(F.col("_codes") & ~F.col("_noprice"), "warning").otherwise("info")
+    coded = none("internal_item_code") if "internal_item_code" in lines.columns else F.lit(True)
+    code_severity = F.when(F.col("_codes") & coded & ~F.col("_noprice"), "warning").otherwise("info")
     rules = [
         _reason(none("item_name"), "missing_item_name", "line_items.item_name", nth("의 품목명이 비어 있습니다.")),
         _reason(present(F.col("quantity").cast("string")).isNull(), "missing_quantity", "line_items.quantity", nth("의 수량이 비어 있습니다.")),
         _reason(~F.col("_noprice") & (t != "delivery_note") & present(F.col("unit_price").cast("string")).isNull() & present(F.col("line_total").cast("string")).isNull(),
                 "missing_price_or_total", "line_items.unit_price", nth("의 단가 또는 합계금액을 확인해야 합니다.")),
         *[_reason(F.array_contains("validation_warnings", w) & ~F.col("_noprice"), "invalid_line_amount", f, nth(f"의 {m}")) for w, (m, f) in AMOUNT_WARNINGS.items()],
+        _reason(F.array_contains("validation_warnings", "item_code_name_conflict"), "item_code_name_conflict", "line_items.internal_item_code", nth("의 품목명과 품목코드 매칭이 충돌합니다.")),
         _reason(none("item_code"), "missing_document_item_code", "line_items.item_code", nth(" 문서 품목코드 미확인"), code_severity),
     ]
     if "item_master_match_status" in lines.columns:
@@ -105,6 +109,7 @@ def review_reasons(docs: DataFrame, lines: DataFrame, index: str = "line_index")
     middle = _emit(body, rules, 1, F.col("line_index"), F.col(index) - 1)
     off = F.coalesce(F.abs(F.col("extracted_amount") - F.col("_sum")) > L.amount_tolerance("enrichment"), F.lit(False))
     back = _emit(head, [
+        _reason(F.coalesce("_skipped", F.lit(False)), "item_matching_skipped", "line_items.internal_item_code", "내부 품목마스터가 없어 품목코드 매칭을 건너뛰었습니다.", "info"),
         _reason(off, "amount_mismatch", "total_amount", "문서 합계금액과 품목 합계금액이 일치하지 않습니다."),
         _reason(~off & F.coalesce("_invalid", F.lit(False)) & ~F.col("_noprice"), "amount_mismatch", "total_amount", "품목 금액 계산 오류가 있어 문서 합계금액도 함께 확인해야 합니다."),
     ], 2, F.lit(0), F.lit(None))

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bizdocs.functions.text import has_profile
 from bizdocs.operators import line_items as L
 from bizdocs.operators.ordering import number_rows
-from bizdocs.operators.resolve import present
-from bizdocs.session import cut
+from bizdocs.operators.resolve import effective_lines, present
 
 UNSORTED_PARTY = "미분류"
 
@@ -74,26 +73,32 @@ def export_policy(docs: DataFrame, lines: DataFrame) -> DataFrame:
         name.alias("export_policy"), conflict.alias("export_blocked"), F.array_join(F.array_distinct(warnings), ", ").alias("export_warning"))
 
 
+#: Totals of a confirmed mapping, in order of preference.
+MAPPED_TOTALS = ["document_total", "payment_total", "estimated_total", "total_usd", "krw_converted"]
+
+
 def export_mapping() -> Column:
     """The export side's freshness gate: not under review, mapping no earlier than the confirmation."""
     return ~F.col("review_required") & F.coalesce(F.col("mapping.created_at") >= F.col("mapping.confirmed_at"), F.lit(False))
 
 
-def exportable_items(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines in export form: excluded rows dropped, unsafe amounts blanked, repeats removed."""
+def exportable_items(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None) -> DataFrame:
+    """Lines in export form (those of the confirmed mapping where it has any): excluded rows dropped, unsafe amounts
+    blanked, repeats removed."""
+    lines = effective_lines(docs, lines, mapping_lines, export_mapping())
     return L.dedupe_lines(L.safe_amounts(L.exportable_lines(docs, lines)))
 
 
-def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True) -> DataFrame:
+def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True, mapping_lines: DataFrame | None = None) -> DataFrame:
     """One row per exportable line; a document without one still emits a row."""
-    items = exportable_items(docs, lines)
+    items = exportable_items(docs, lines, mapping_lines)
     if renumber:
         items = number_rows(items, "document_id", "line_index", "export_index")
     else:
         items = items.withColumn("export_index", F.col("line_index"))
     m = lambda f: F.when(export_mapping(), present(f"mapping.fields.{f}"))
     conflict = L.return_conflict()
-    total = F.when(~conflict, F.coalesce(m("document_total"), m("payment_total"), F.col("extracted_amount").cast("string")))
+    total = F.when(~conflict, F.coalesce(*map(m, MAPPED_TOTALS), F.col("extracted_amount").cast("string")))
     head = docs.select(
         "document_id",
         F.coalesce(F.when(export_mapping(), F.col("mapping.category")), "document_type").alias("문서유형"),
@@ -145,9 +150,9 @@ def normalize_template(columns: list[dict]) -> list[dict]:
     return out
 
 
-def apply_template(docs: DataFrame, lines: DataFrame, columns: list[dict]) -> DataFrame:
+def apply_template(docs: DataFrame, lines: DataFrame, columns: list[dict], mapping_lines: DataFrame | None = None) -> DataFrame:
     """Projection of documents x exportable lines onto a user's ordered column list."""
-    items = exportable_items(docs, lines)
+    items = exportable_items(docs, lines, mapping_lines)
     line_fields = {c: f"_line_{c}" for c in items.columns if c != "document_id"}
     joined = docs.withColumn("_conflict", L.return_conflict()).join(
         items.select("document_id", *[F.col(c).alias(a) for c, a in line_fields.items()]), "document_id", "left")
@@ -187,10 +192,10 @@ def write_by_party(df: DataFrame, path: str, rows_per_file: int = 1_000_000) ->
     out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).partitionBy("party_tab").csv(path)
 
 
-def to_canonical_json(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def to_canonical_json(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None) -> DataFrame:
     """One JSON object per document. The nested list is the output format itself, so a
     document must fit a row; use ``to_erp_rows`` for documents of unbounded size."""
-    items = exportable_items(docs, lines)
+    items = exportable_items(docs, lines, mapping_lines)
     text = lambda c: F.col(c).cast("string").alias(c)
     fields = [c for c in ("item_name", "document_item_code", "specification", "unit", "quantity", "unit_price", "supply_amount", "tax_amount", "line_total") if c in items.columns]
     nested = items.groupBy("document_id").agg(

@@ -33,8 +33,10 @@ def party_equals(docs: DataFrame, name: str) -> DataFrame:
     return docs.filter(party_key(R.party_name()) == party_key(F.lit(name)))
 
 
-def report_base(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Resolved columns per document; with ``lines`` also totals and defect counts."""
+def report_base(docs: DataFrame, lines: DataFrame | None = None, mapping_lines: DataFrame | None = None) -> DataFrame:
+    """Resolved columns per document; with ``lines`` also totals and defect counts.
+
+    With ``mapping_lines`` pass ``resolve.effective_lines`` of the same tables to the line-level parts."""
     out = docs.select(
         "document_id", "document_number",
         R.document_type().alias("doc_type"), R.document_date().alias("doc_date"), R.party_name().alias("party"),
@@ -44,7 +46,7 @@ def report_base(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     )
     if lines is None:
         return out
-    out = out.join(R.line_stats(lines), "document_id", "left")
+    out = out.join(R.line_stats(R.effective_lines(docs, lines, mapping_lines)), "document_id", "left")
     return out.withColumn("doc_amount", F.coalesce("explicit_amount", "line_sum"))
 
 

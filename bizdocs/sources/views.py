@@ -90,6 +90,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE o_orderstatus WHEN 'F' THEN 'pdf_text' WHEN 'O' THEN 'xlsx_direct' ELSE 'image_ocr' END AS extraction_method",
         "named_struct('approved', o_orderstatus = 'O' AND dd BETWEEN 20 AND 25) AS review",
         """named_struct(
+             'document_subtype', CASE WHEN o_orderpriority = '2-HIGH' AND dd = 17 THEN 'return_note' END,
              'document_profile', CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND mm = 7 THEN 'no_price_document'
                                       WHEN o_orderpriority = '5-LOW' THEN 'tax_document' END,
              'document_profiles', CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND mm <= 6 THEN array('no_price_document', 'delivery')

@@ -391,3 +391,30 @@ def test_near_name_pairs_are_complete(spark):
     got = {(r["a"], r["b"]) for r in M.near_name_pairs(frame(left), frame(right)).collect()}
     want = {(a, b) for a in left for b in right if S.name_similarity(a, b) >= 0.8}
     assert want <= got and len(want) > 60
+
+
+def test_mapping_lines_replace_the_documents_own(spark):
+    docs = spark.createDataFrame([(1, True), (2, False), (3, True)], "document_id long, ok boolean")
+    own = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "document_id long, item_name string")
+    mapped = spark.createDataFrame([(1, "m"), (2, "n")], "document_id long, item_name string")
+    got = sorted(map(tuple, R.effective_lines(docs, own, mapped, F.col("ok")).collect()))
+    assert got == [(1, "m"), (2, "c"), (3, "d")]
+
+
+def test_structured_texts_keep_everything(spark):
+    deep = '{"z": "[draft] x", "a": [0, {"k_1": "{curly}"}, [[["deep"]]]], "b": null, "t": true}'
+    rows = X.flatten_json(spark.createDataFrame([(1, deep), (2, "{broken"), (3, None)], "id long, j string"), "id", "j").orderBy("id", "pos").collect()
+    assert [r["line"] for r in rows] == ["z: [draft] x", "a[0]: 0", "a[1].k 1: {curly}", "a[2][0][0][0]: deep", "b: None", "t: True"]
+    assert one(spark, 'a;"q ""z"" ; x";c\n;;\n1;2;3', X.csv_lines("t")) == 'a | q "z" ; x | c\n1 | 2 | 3'
+    assert one(spark, "<p>A &amp; B<!-- x > y --></p>", X.html_text("t")) == "A & B"
+    assert one(spark, "<a><b>1 &lt; 2</b>", X.xml_lines("t")) == "<a><b>1 &lt; 2</b>"
+    with pytest.raises(ValueError):
+        X.key_values(spark.createDataFrame([(1, "a: b")], "key long, text string"), "key")
+
+
+@pytest.mark.parametrize("text, category", [
+    ("po no 17 납기일", "purchase_order"), ("유효기간 30 견적금액", "quotation"), ("공급가액 세액", "transaction_statement"), ("plain words", None),
+    ("Implementation schedule roadmap: testing coverage", "implementation_schedule"), ("install, configure and run docker", "installation_guide"), ("Name: Ann\nAge: 7", "profile_record"),
+])
+def test_categories_by_words_and_signals(spark, text, category):
+    assert one(spark, text, X.classify_category("t")) == category
