@@ -186,8 +186,10 @@ def _(spark, sf):
 
 @query("fn16_month_range", "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS start, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS stop, count(*) AS n FROM orders GROUP BY ALL")
 def _(spark, sf):
-    start = F.trunc("o_orderdate", "month")
-    return V.table(spark, sf, "orders").groupBy(start.alias("start")).agg(F.count("*").alias("n")).withColumn("stop", F.add_months("start", 1))
+    orders = V.table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("start")).agg(F.count("*").alias("n"))
+    years = orders.agg(F.year(F.min("start")).alias("lo"), F.year(F.max("start")).alias("hi")).first()
+    months = [D.resolve_range(year=y, month=m)[:2] for y in range(years["lo"], years["hi"] + 1) for m in range(1, 13)]
+    return orders.join(spark.createDataFrame(months, "start date, stop date"), "start")
 
 
 @query("fn18_amount_checks", sql("""SELECT document_id, coalesce(abs(subtotal * 1.1 - extracted_amount) <= greatest(1, abs(extracted_amount) * 0.02), false) AS is_close,

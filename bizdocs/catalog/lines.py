@@ -57,8 +57,9 @@ EXPORT_VIEWS = (DOCS, LNP, REP, RCP, EXPORTABLE)
 
 @query("jn01_lines_of", sql("SELECT document_id, count(line_no) AS n_lines, CAST(sum(supply_amount) AS DOUBLE) AS supply FROM docs LEFT JOIN lns USING (document_id) GROUP BY document_id", DOCS, LNS))
 def _(spark, sf):
-    joined = V.documents(spark, sf).select("document_id").join(V.lines(spark, sf), "document_id", "left")
-    return joined.groupBy("document_id").agg(F.count("line_no").alias("n_lines"), F.sum("supply_amount").alias("supply"))
+    nested = V.lines(spark, sf).groupBy("document_id").agg(F.collect_list(F.struct("line_no", "supply_amount")).alias("line_items"))
+    flat = L.lines_of(V.documents(spark, sf).select("document_id").join(nested, "document_id", "left"))
+    return flat.groupBy("document_id").agg(F.count("line_no").alias("n_lines"), F.sum("supply_amount").alias("supply"))
 
 
 @query("fl08_exportable_lines", sql(f"SELECT {KEY_SQL}, copy::BIGINT AS copy FROM exl", *EXPORT_VIEWS))

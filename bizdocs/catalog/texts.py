@@ -245,11 +245,11 @@ def _(spark, sf):
     return X.dedupe_key_values(rows, "document_id").drop("pos")
 
 
-@query("wn16_carry_sections", sql("""SELECT document_id, unnest(['공급자', NULL, '공급받는자', '공급받는자']) AS section, unnest(['공급자 상호', '발행일', '공급받는자 상호', '공급받는자 담당']) AS key, unnest([vendor_name, CAST(extracted_date AS VARCHAR), title, currency]) AS value
- FROM docs WHERE vendor_name IS NOT NULL AND extracted_date IS NOT NULL AND currency IS NOT NULL""", DOCS))
+@query("wn16_carry_sections", sql("""SELECT document_id, unnest(['공급자', NULL, '공급받는자', '공급받는자']) AS section, unnest(['공급자 상호', '발행일', '공급받는자 상호', '공급받는자 담당']) AS key, unnest([coalesce(vendor_name, 'none'), coalesce(CAST(extracted_date AS VARCHAR), 'none'), title, coalesce(currency, 'none')]) AS value
+ FROM docs""", DOCS))
 def _(spark, sf):
-    docs = V.documents(spark, sf).filter("vendor_name IS NOT NULL AND extracted_date IS NOT NULL AND currency IS NOT NULL")
-    text = F.expr("concat('공급자\\n상호: ', vendor_name, '\\n발행일: ', extracted_date, '\\n공급받는자\\n상호: ', title, '\\n담당: ', currency)")
+    docs = V.documents(spark, sf)
+    text = F.expr("concat('공급자\\n상호: ', coalesce(vendor_name, 'none'), '\\n발행일: ', coalesce(CAST(extracted_date AS STRING), 'none'), '\\n공급받는자\\n상호: ', title, '\\n담당: ', coalesce(currency, 'none'))")
     return X.carry_sections(docs.withColumn("text", text), "document_id").drop("pos")
 
 
