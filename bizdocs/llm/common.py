@@ -49,7 +49,7 @@ def text_bytes(column: str = "text") -> Column:
 
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null text has none."""
-    inner = F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    inner = F.trim(text, F.lit(WHITE))
     return F.when(inner != "", F.split(inner, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
