@@ -97,9 +97,9 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
 META = "doc_id long, n long, digest binary, token long, df long"
 
 
-def describe(docs: DataFrame, width: int, local: int = 4, window: int = 4_000_000) -> DataFrame:
+def describe(docs: DataFrame, width: int, local: int = 2, window: int = 4_000_000) -> DataFrame:
     """Set size and digest of every document, and counts of grams that occur in ``local`` or more different sets
-    within a stretch of ``window`` grams (so no gram with more than that share of all sets escapes)."""
+    within a stretch of ``window`` grams (so a gram that all stretches share can't escape, and few common ones do)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, kept, size = Shingler(width), set(), [], 0
@@ -215,18 +215,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def apart_pairs(entries: DataFrame, keys: list[str], label: str, percent: int) -> DataFrame:
     """Distinct pairs of vertices that share a list (``keys``) but not a ``label`` and whose sizes fit: every pair of
-    a list except those inside one label. Only members outside the list's largest label are joined with all."""
+    a list except those inside one label. Only members outside the list's largest label are joined with all.
+
+    At the first gram that two sets share, what follows it in both must be enough for the overlap that the threshold
+    asks of their sizes; lists of later shared grams may drop the pair, the first one keeps it."""
     sizes = entries.groupBy(*keys, label).agg(F.count("*").alias("size"))
     lists = staged(sizes.groupBy(*keys).agg(F.count("*").alias("labels"), F.max_by(label, F.struct("size", label)).alias("most")).filter("labels > 1").drop("labels"))
     mixed = entries.join(lists, keys)
-    few = staged(mixed.filter(F.col(label) != F.col("most")).select(*keys, F.col("vertex").alias("v"), F.col("n").alias("m"), F.col(label).alias("other")))
+    few = staged(mixed.filter(F.col(label) != F.col("most")).select(*keys, F.col("vertex").alias("v"), F.col("n").alias("m"), F.col("at").alias("to"), F.col(label).alias("other")))
+    sizes = F.col("n") + F.col("m")
+    reach = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= percent * sizes
     met = mixed.drop("most").join(few, keys).filter(
-        (F.col(label) != F.col("other")) & (F.col("vertex") != F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        (F.col(label) != F.col("other")) & (F.col("vertex") != F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & reach
     )
     return met.select(F.least("vertex", "v").alias("a"), F.greatest("vertex", "v").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_frequent: int = 200_000, least_df: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_frequent: int = 200_000, least_df: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of ``percent`` or more Jaccard).
 
     Null and empty texts have no grams and link with nothing. Rows with a null ``doc_id`` link with nothing and have
@@ -246,11 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     # groups: sets of one size and one prefix
     heads = verts.groupBy("head", "n").agg(F.min("vertex").alias("group"), F.count("*").alias("size")).filter("size > 1")
     inner = staged(verts.select("vertex", "n", "head").join(heads, ["head", "n"]).filter(F.col("vertex") != F.col("group")).select("vertex", "group"))
-    posted = verts.join(inner.select("vertex"), "vertex", "left_anti").select(F.explode("prefix").alias("token"), F.col("vertex").alias("group"), "n", "cold")
+    posted = verts.join(inner.select("vertex"), "vertex", "left_anti").select(F.posexplode("prefix").alias("at", "token"), F.col("vertex").alias("group"), "n", "cold")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))  # size class
     counted = posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1").withColumn("step", step)
     pivot = F.min(F.struct("cold", "group")).over(Window.partitionBy("token", "step")).getField("group")
-    lists = staged(counted.select("token", "group", "n", pivot.alias("pivot")))
+    lists = staged(counted.select("token", "group", "n", "at", pivot.alias("pivot")))
 
     # one pivot pair per group and per member of a group
     stars = lists.filter(F.col("pivot") != F.col("group")).select(F.col("group").alias("b"), F.col("pivot").alias("a")).unionByName(inner.select(F.col("vertex").alias("b"), F.col("group").alias("a"))).distinct()
@@ -261,9 +266,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
 
     members = inner.select("group", "vertex").unionByName(lists.select("group", F.col("group").alias("vertex")).distinct()).unionByName(inner.select("group", F.col("group").alias("vertex")).distinct()).distinct()
     members = staged(members.join(label, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")))
-    keys = F.col("token")
-    in_group = members.join(inner.select("group").distinct(), "group").join(verts.select("vertex", "n"), "vertex").select((-F.col("group") - 1).alias("token"), "vertex", "n", "class")
-    entries = lists.select("token", "group", "n").join(members, "group").select(keys, "vertex", "n", "class").unionByName(in_group)
+    in_group = members.join(inner.select("group").distinct(), "group").join(verts.select("vertex", "n"), "vertex").select((-F.col("group") - 1).alias("token"), "vertex", "n", F.lit(0).alias("at"), "class")
+    entries = lists.select("token", "group", "n", "at").join(members, "group").select("token", "vertex", "n", "at", "class").unionByName(in_group)
     entries = staged(entries)
     cross = staged(may_overlap(apart_pairs(entries, ["token"], "class", percent), narrow, percent).select("a", "b"))
 
