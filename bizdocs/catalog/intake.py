@@ -131,7 +131,7 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch(spark, "latest")
     J.stream_latest(event_stream(spark, sf), ["user_id"], f"{root}/table", f"{root}/ckpt").awaitTermination()
-    return J.current(spark, f"{root}/table").select("user_id", "event_id", "event_type")
+    return J.read_latest(spark, f"{root}/table", ["user_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("sr03_stage_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS bucket_start, event_type, count(*) AS n FROM events GROUP BY ALL")

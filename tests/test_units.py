@@ -362,7 +362,9 @@ def test_latest_survives_several_batches(spark, tmp_path):
     for batch in ([(1, 1, 10), (2, 1, 11)], [(1, 3, 12)], [(1, 2, 13), (3, 1, 14)]):
         mk(*batch).coalesce(1).write.mode("append").parquet(str(src))
         J.stream_latest(J.read_stream(spark, str(src), mk().schema), ["user_id"], str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert {(r["user_id"], r["event_id"]) for r in J.current(spark, str(tmp_path / "t")).collect()} == {(1, 12), (2, 11), (3, 14)}
+    assert {(r["user_id"], r["event_id"]) for r in J.read_latest(spark, str(tmp_path / "t"), ["user_id"]).collect()} == {(1, 12), (2, 11), (3, 14)}
+    J.compact_latest(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["user_id"])
+    assert J.read_latest(spark, str(tmp_path / "u"), ["user_id"]).count() == 3
 
 
 def test_window_ratio_skips_no_better_window():
