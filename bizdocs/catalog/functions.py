@@ -208,7 +208,7 @@ def _(spark, sf):
 CONTACT_SQL = "(https?://\\S+|www\\.\\S+|[\\w.+-]+@[\\w-]+\\.[\\w.-]+|linkedin\\.com/\\S+|github\\.com/\\S+)"
 
 
-@query("fn28_contact_links", f"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '(?i){CONTACT_SQL}', 1), 1, 6), '|') AS links FROM documents")
+@query("fn28_contact_links", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i){CONTACT_SQL}', 1), '|') AS links FROM documents")
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.contact_links("text").alias("links"))
 

@@ -229,8 +229,10 @@ def keyword_hits(col, words: list[str], n: int) -> Column:
     return let(F.lower(F.coalesce(_c(col), F.lit(""))), hits)
 
 
-def contact_links(col) -> Column:
-    return F.slice(F.regexp_extract_all(_c(col), F.lit(CONTACT_PATTERN), F.lit(1)), 1, 6)
+def contact_links(col, most: int | None = None) -> Column:
+    """URLs and e-mail addresses in order; the first ``most`` if given."""
+    found = F.regexp_extract_all(_c(col), F.lit(CONTACT_PATTERN), F.lit(1))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def usable_party(col) -> Column:

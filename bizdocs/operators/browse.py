@@ -264,19 +264,19 @@ def calendar(items: DataFrame, today: dt.date, limit: int = 120, date_from=None,
     if date_to:
         items = items.filter(F.col("date") <= F.lit(date_to))
     out = calendar_status(items, today)
-    return out.orderBy(F.abs("days_from_today"), "date", "document_id", "role").limit(min(limit, 500))
+    return out.orderBy(F.abs("days_from_today"), "date", "document_id", "role").limit(limit)
 
 
-def notifications(docs: DataFrame) -> DataFrame:
-    """Newest 40 documents as notices; 30 are kept."""
+def notifications(docs: DataFrame, newest: int = 40, kept: int = 30) -> DataFrame:
+    """The ``newest`` documents as notices, of which ``kept`` are shown."""
     s = F.col("processing_status")
     kind = F.when(s.isin("processing", "queued"), "processing").when(s == "failed", "failed").when(s == "needs_review", "review").otherwise("processed")
     text = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in NOTICES.items() for x in (k, v[i])]), F.col("kind"))
-    newest = docs.orderBy(F.col("updated_at").desc_nulls_first(), "document_id").limit(40).withColumn("kind", kind)
+    rows = docs.orderBy(F.col("updated_at").desc_nulls_first(), "document_id").limit(newest).withColumn("kind", kind)
     return (
-        newest.select("document_id", "kind", "updated_at", text(0).alias("title"), text(1).alias("message"),
+        rows.select("document_id", "kind", "updated_at", text(0).alias("title"), text(1).alias("message"),
                       F.col("kind").isin("review", "failed").alias("action_required"))
-        .orderBy(F.col("updated_at").desc_nulls_first(), "document_id").limit(30)
+        .orderBy(F.col("updated_at").desc_nulls_first(), "document_id").limit(kept)
     )
 
 

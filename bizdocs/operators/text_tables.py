@@ -296,11 +296,13 @@ def line_key_values(line: Column) -> Column:
     return F.filter(F.coalesce(chosen, F.array().cast("array<struct<key:string,value:string>>")), ok)
 
 
-def key_values(df: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """(key, pos, key, value) rows; ``pos`` orders them inside the document."""
+def key_values(df: DataFrame, key: str, col: str = "text", longest: int | None = None) -> DataFrame:
+    """(id, pos, key, value) rows; ``pos`` orders them inside the document. Lines above ``longest`` characters are left out
+    only if it is given."""
     if key in ("key", "value", "pos"):
         raise ValueError(f"the id column can't be named {key}, as an output is")
-    per_line = F.transform(F.filter(text_lines(col), lambda v: F.length(v) <= 160), line_key_values)
+    lines = text_lines(col) if longest is None else F.filter(text_lines(col), lambda v: F.length(v) <= longest)
+    per_line = F.transform(lines, line_key_values)
     return df.select(key, F.posexplode(F.flatten(per_line)).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value")
 
 
