@@ -803,8 +803,9 @@ def unique_lines(col) -> Column:
     return let(both, lambda b: F.filter(b["ls"], lambda v, i: F.array_position(b["keys"], F.lower(v)) == i + 1))
 
 
-def important_lines(col) -> Column:
-    """The six best of the first 40 distinct lines with a score above 6, by score, then by length."""
+def important_lines(col, most_lines: int | None = None) -> Column:
+    """The six best of the distinct lines with a score above 6, by score, then by length, then the earlier one. Only the
+    first ``most_lines`` distinct lines are scored if it is given."""
     def score(v, i):
         low = F.lower(v)
         body = ((_words(v) >= 10) & low.rlike(BODY_VERBS)) | low.rlike(r"^(course description|overview|summary|introduction|objectives?)\s*:")
@@ -814,7 +815,8 @@ def important_lines(col) -> Column:
             + _when(v.rlike(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"), 8) + _when(v.rlike(r"\b\d{1,6}(?:,\d{3})*\.\d{2}\b"), 10) + F.greatest(F.lit(8) - i, F.lit(0))
             - _when(body, 24) - _when(F.length(v) > 140, 20) - _when(policy, 10))
 
-    scored = F.transform(F.slice(unique_lines(col), 1, 40), lambda v, i: F.struct((-score(v, i)).alias("neg"), F.length(v).alias("len"), i.alias("i"), v.alias("v")))
+    lines = unique_lines(col) if most_lines is None else F.slice(unique_lines(col), 1, most_lines)
+    scored = F.transform(lines, lambda v, i: F.struct((-score(v, i)).alias("neg"), F.length(v).alias("len"), i.alias("i"), v.alias("v")))
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda r: (r["neg"] < -6) & (r["len"] >= 4))), 1, 6), lambda r: r["v"])
 
 

@@ -420,3 +420,9 @@ def test_structured_texts_keep_everything(spark):
 ])
 def test_categories_by_words_and_signals(spark, text, category):
     assert one(spark, text, X.classify_category("t")) == category
+
+
+def test_important_lines_looks_at_every_line(spark):
+    text = "\n".join([f"plain words {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] + ["Deadline: 2024-05-01"])
+    assert "Deadline: 2024-05-01" in one(spark, text, X.important_lines("t"))
+    assert "Deadline: 2024-05-01" not in one(spark, text, X.important_lines("t", most_lines=40))
