@@ -276,15 +276,19 @@ KNOWN_LABELS = _either({w for ws in FIELD_ALIASES.values() for w in ws} | set(NU
 AMOUNT_LABELS = r"예상\s*합계|합계\s*금액|총\s*합계|송\s*합계|총\s*함계|함계|합개|크레[딧뒷]\s*합계|반품\s*합계|조정\s*합계|차감\s*합계|TOTAL(?:\s+[A-Z]+)?"
 
 
-def line_key_values(line: Column) -> Column:
+def line_key_values(line: Column, longest_key: int | None = None, longest_value: int | None = None) -> Column:
     """Key-value pairs of one line: known labels with a colon (several per line), any ``label: value``,
-    a known label and a space, two-space columns, an amount label and a number."""
+    a known label and a space, two-space columns, an amount label and a number. Labels of up to 40 characters (30 in
+    columns) go first, longer ones are read from lines that no form has taken. Pairs with a key above ``longest_key`` or
+    a value above ``longest_value`` characters are left out only if these are given."""
     known = rf"(?i)(?:^|\s)({KNOWN_LABELS})\s*[:：]\s*(.*?)(?=\s+(?:{KNOWN_LABELS})\s*[:：]|$)"
+    colon = lambda n: (line.rlike(rf"^\s*[^:：]{n}\s*[:：]"), rf"^\s*([^:：]{n}?)\s*[:：]\s*(.*)$")
+    columns = lambda n: (line.rlike(rf"^\s*[가-힣A-Za-z0-9/().\s]{n}\s{{2,}}.+$"), rf"^\s*([가-힣A-Za-z0-9/().\s]{n}?)\s{{2,}}(.+)\s*$")
     forms = [
-        (line.rlike(rf"(?i)(?:^|\s)({KNOWN_LABELS})\s*[:：]"), known), (line.rlike(r"^\s*[^:：]{1,40}\s*[:：]"), r"^\s*([^:：]{1,40}?)\s*[:：]\s*(.*)$"),
-        (line.rlike(rf"(?i)^\s*({KNOWN_LABELS})\s+.{{1,80}}$"), rf"(?i)^\s*({KNOWN_LABELS})\s+(.{{1,80}})\s*$"),
-        (line.rlike(r"^\s*[가-힣A-Za-z0-9/().\s]{1,30}\s{2,}.{1,80}$"), r"^\s*([가-힣A-Za-z0-9/().\s]{1,30}?)\s{2,}(.{1,80})\s*$"),
+        (line.rlike(rf"(?i)(?:^|\s)({KNOWN_LABELS})\s*[:：]"), known), colon("{1,40}"),
+        (line.rlike(rf"(?i)^\s*({KNOWN_LABELS})\s+.+$"), rf"(?i)^\s*({KNOWN_LABELS})\s+(.+)\s*$"), columns("{1,30}"),
         (line.rlike(rf"(?i)^\s*({AMOUNT_LABELS})\s*-?[0-9]"), rf"(?i)^\s*({AMOUNT_LABELS})\s*(-?[0-9][0-9,.]*(?:\s+[0-9][0-9,.]*)?)\s*$"),
+        colon("{1,}"), columns("{1,}"),
     ]
 
     def pairs(p: str) -> Column:
@@ -292,28 +296,30 @@ def line_key_values(line: Column) -> Column:
         return F.zip_with(keys, values, lambda k, v: F.struct(F.trim(k).alias("key"), F.trim(v).alias("value")))
 
     chosen = reduce(lambda acc, f: acc.when(f[0], pairs(f[1])), forms[1:], F.when(forms[0][0], pairs(forms[0][1])))
-    ok = lambda p: (F.length(p["key"]).between(1, 40)) & (F.length(p["value"]).between(1, 100)) & ~p["key"].rlike(r"^[-_./\\|]+$") & ~p["value"].rlike(r"^[-_./\\|]+$") & ~F.lower(p["key"]).isin("document_type", "document_number", "currency", "title", "문서유형", "제목", "통화")
+    fits = lambda v, longest: F.length(v) >= 1 if longest is None else F.length(v).between(1, longest)
+    ok = lambda p: fits(p["key"], longest_key) & fits(p["value"], longest_value) & ~p["key"].rlike(r"^[-_./\\|]+$") & ~p["value"].rlike(r"^[-_./\\|]+$") & ~F.lower(p["key"]).isin("document_type", "document_number", "currency", "title", "문서유형", "제목", "통화")
     return F.filter(F.coalesce(chosen, F.array().cast("array<struct<key:string,value:string>>")), ok)
 
 
-def key_values(df: DataFrame, key: str, col: str = "text", longest: int | None = None) -> DataFrame:
-    """(id, pos, key, value) rows; ``pos`` orders them inside the document. Lines above ``longest`` characters are left out
-    only if it is given."""
+def key_values(df: DataFrame, key: str, col: str = "text", longest: int | None = None, longest_key: int | None = None, longest_value: int | None = None) -> DataFrame:
+    """(id, pos, key, value) rows; ``pos`` orders them inside the document. Lines above ``longest``, keys above ``longest_key``
+    and values above ``longest_value`` characters are left out only if these are given."""
     if key in ("key", "value", "pos"):
         raise ValueError(f"the id column can't be named {key}, as an output is")
     lines = text_lines(col) if longest is None else F.filter(text_lines(col), lambda v: F.length(v) <= longest)
-    per_line = F.transform(lines, line_key_values)
+    per_line = F.transform(lines, lambda v: line_key_values(v, longest_key, longest_value))
     return df.select(key, F.posexplode(F.flatten(per_line)).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value")
 
 
-def carry_sections(df: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """A section marker applies to the following party keys until the next marker (a fold over the document's lines)."""
+def carry_sections(df: DataFrame, key: str, col: str = "text", longest_key: int | None = None, longest_value: int | None = None) -> DataFrame:
+    """A section marker applies to the following party keys until the next marker (a fold over the document's lines).
+    Lengths as in ``key_values``."""
     init = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<section:string,key:string,value:string>>").alias("out"))
     marker = lambda v: F.nullif(F.regexp_extract(v, f"^({'|'.join(sorted(SECTION_MARKERS, key=len, reverse=True))})(?:\\s|$|[:：])", 1), F.lit(""))
 
     def step(acc, v):
         section = F.coalesce(marker(v), acc["section"])
-        rows = F.transform(line_key_values(v), lambda p: F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value")))
+        rows = F.transform(line_key_values(v, longest_key, longest_value), lambda p: F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value")))
         return F.struct(section.alias("section"), F.concat(acc["out"], rows).alias("out"))
 
     folded = F.aggregate(text_lines(col), init, step, lambda acc: acc["out"])

@@ -426,3 +426,14 @@ def test_important_lines_looks_at_every_line(spark):
     text = "\n".join([f"plain words {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] + ["Deadline: 2024-05-01"])
     assert "Deadline: 2024-05-01" in one(spark, text, X.important_lines("t"))
     assert "Deadline: 2024-05-01" not in one(spark, text, X.important_lines("t", most_lines=40))
+
+
+def test_key_values_of_any_length(spark):
+    long, key = "x" * 300, "a label of more than forty characters in all"
+    text = f"비고: {long}\nnote: {long}\n상호 {long}\n{key}: v\n상호 {long} 10:30"
+    df = spark.createDataFrame([(1, text)], "doc long, text string")
+    want = [("비고", long), ("note", long), ("상호", long), (key, "v"), ("상호", f"{long} 10:30")]
+    assert [(r.key, r.value) for r in X.key_values(df, "doc").orderBy("pos").collect()] == want
+    assert [(r.key, r.value) for r in X.carry_sections(df, "doc").orderBy("pos").collect()] == want
+    assert [r.key for r in X.key_values(df, "doc", longest_key=40, longest_value=100).collect()] == []
+    assert [r.key for r in X.carry_sections(df, "doc", longest_value=100).collect()] == [key]
