@@ -2,8 +2,8 @@
 
 A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams of its letters. Each language has several
 centroids, found by spherical k-means, so that registers or scripts of one language need not share a mean. The
-prediction is the language of the centroid with the highest cosine; a text that is farther from it than nearly
-all the centroid's own examples is marked as rejected.
+prediction is the language of the centroid with the highest cosine. A text whose cosine is below a threshold is
+marked as rejected; the threshold is learned by leaving out one language at a time.
 """
 
 from __future__ import annotations
@@ -55,24 +55,67 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from spread-out starting rows (each the farthest from those before)."""
-    centres = [unit(x.mean(axis=0, keepdims=True))[0]]
-    while len(centres) < min(k, len(x)):
-        centres.append(x[int(np.argmin((x @ np.array(centres).T).max(axis=1)))])
-    c = np.array(centres)
-    for _ in range(rounds):
-        nearest = (x @ c.T).argmax(axis=1)
-        c = unit(np.array([x[nearest == i].sum(axis=0) if (nearest == i).any() else c[i] for i in range(len(c))]))
-    return c
-
-
-def fit(labelled: DataFrame, per_lang: int = 500, max_langs: int = 300, clusters: int = 3, dims: int = 4096, reject_share: float = 0.002, slack: float = 0.2) -> Centroids:
+def cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.01) -> np.ndarray:
+    """Spherical k-means. Of several rows drawn by distance, the one that brings all rows nearest starts a cluster, so
+    single odd rows seldom do; clusters below two rows or the share ``least`` are given up to the others."""
+    rng = np.random.default_rng(0)
+    c = unit(x.mean(axis=0, keepdims=True))
+    while len(c) < min(k, len(x)):
+        far = np.maximum(1 - (x @ c.T).max(axis=1), 0).astype(float)
+        if far.sum() <= 1e-6 * len(x):
+            break
+        drawn = rng.choice(len(x), size=min(16, len(x)), p=far / far.sum())
+        left = np.minimum(far[:, None], 1 - x @ x[drawn].T).sum(axis=0)
+        c = np.concatenate([c, x[[drawn[int(left.argmin())]]]])
+    while True:
+        for _ in range(rounds):
+            nearest = (x @ c.T).argmax(axis=1)
+            c = unit(np.array([x[nearest == i].sum(axis=0) if (nearest == i).any() else c[i] for i in range(len(c))]))
+        sizes = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+        if len(c) == 1 or sizes.min() >= max(2, least * len(x)):
+            return c
+        c = np.delete(c, int(sizes.argmin()), axis=0)
+
+
+def threshold(x: np.ndarray, langs: np.ndarray, clusters: int, rejects: float = 0.95) -> float:
+    """The cosine below which a text is rejected: the least that rejects the share ``rejects`` of the texts of a language
+    that is left out, or, where languages are so alike that this loses more than it finds, the one with the largest
+    difference between the shares of left-out and of learned texts rejected. Centroids come from one half of the rows,
+    scores from the other, and every language counts the same. Fewer than two languages: 0, as there is none to leave out."""
+    names = sorted(set(langs.tolist()))
+    if len(names) < 2:
+        return 0.0
+    score, weight, known = [], [], []
+    for half in (0, 1):
+        learned = {n: cluster(own, clusters) for n in names if len(own := x[langs == n][half::2])}
+        near = np.full((len(x), len(names)), -1.0, np.float32)
+        for i, n in enumerate(names):
+            if n in learned:
+                near[:, i] = (x @ learned[n].T).max(axis=1)
+        for i, n in enumerate(names):
+            rows = near[langs == n][1 - half :: 2]
+            others = np.delete(rows, i, axis=1).max(axis=1)
+            for got, is_known in ((rows.max(axis=1), True), (others, False)):
+                if len(got) and (not is_known or n in learned):
+                    score.append(got)
+                    weight.append(np.full(len(got), 1 / len(got)))
+                    known.append(np.full(len(got), is_known))
+    score, weight, known = map(np.concatenate, (score, weight, known))
+    if not known.any():
+        return 0.0
+    order = np.argsort(score, kind="stable")
+    score, weight, known = score[order], weight[order], known[order]
+    lost = np.concatenate([[0], np.cumsum(weight * known)]) / (weight * known).sum()
+    found = np.concatenate([[0], np.cumsum(weight * ~known)]) / (weight * ~known).sum()
+    cut = min(int((found - lost).argmax()), int((found >= rejects - 1e-9).argmax()))  # so many of the lowest are rejected
+    return float((score[cut - 1] + score[min(cut, len(score) - 1)]) / 2) if cut else 0.0
+
+
+def fit(labelled: DataFrame, per_lang: int = 500, max_langs: int = 300, clusters: int = 3, dims: int = 4096) -> Centroids:
     """Learn from (doc_id, text, lang) rows with text and lang.
 
     The model is fitted on a bounded sample: about ``per_lang`` rows of each of the ``max_langs`` most frequent
-    languages, picked by a hash of the row, so it costs the same at every size; ``reject_share`` is the quantile of a
-    centroid's examples, times ``slack``, below which a text is rejected.
+    languages, picked by a hash of the row, so it costs the same at every size. Rejection: see ``threshold``.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
@@ -92,17 +135,12 @@ def fit(labelled: DataFrame, per_lang: int = 500, max_langs: int = 300, clusters
     x = np.frombuffer(b"".join(r["v"] for r in got), np.float16).reshape(len(got), dims).astype(np.float32)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x, langs = unit(x * idf), np.array([r["lang"] for r in got])
-    names, parts, reach = [], [], []
+    names, parts = [], []
     for lang in sorted(set(langs.tolist())):
-        own = x[langs == lang]
-        c = cluster(own, clusters)
-        near = own @ c.T
-        for i in range(len(c)):
-            mine = near[near.argmax(axis=1) == i, i]
-            names.append(lang)
-            reach.append(slack * float(np.quantile(mine, reject_share)) if len(mine) else 1.0)
+        c = cluster(x[langs == lang], clusters)
+        names += [lang] * len(c)
         parts.append(c)
-    return Centroids(names, np.concatenate(parts).astype(np.float32), idf, np.array(reach))
+    return Centroids(names, np.concatenate(parts).astype(np.float32), idf, np.full(len(names), threshold(x, langs, clusters)))
 
 
 def predict(docs: DataFrame, model: Centroids, keep: list[str] | None = None) -> DataFrame:

@@ -313,6 +313,28 @@ def test_language_edges(docs, spark):
     assert language_id.keep_known(docs.limit(0), model).count() == 0
 
 
+def test_left_out_languages_and_junk_are_rejected(spark, sf):
+    d = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").filter("text IS NOT NULL")
+    foreign = ["Wszystkie dzieci poszły wczoraj do szkoły.", "Kaikki lapset menivät eilen kouluun.", "Bütün çocuklar dün okula gitti.", "qxzj vkwq zzxj qqkv jxwz"]
+    for left_out in ("de", "fr"):
+        model = language_id.fit(d.filter(F.col("doc_id") % 4 != 2).filter(F.col("lang") != left_out))
+        out = language_id.predict(d.filter("doc_id % 4 = 2"), model, ["lang"]).collect()
+        gone = [r.rejected for r in out if r.lang == left_out]
+        lost = [r.rejected for r in out if r.lang != left_out]
+        assert sum(gone) >= 0.9 * len(gone) and sum(lost) <= 0.02 * len(lost)
+        junk = language_id.predict(spark.createDataFrame([(t,) for t in foreign], "text string"), model).collect()
+        assert all(r.rejected for r in junk)
+
+
+def test_odd_rows_start_no_clusters():
+    r = np.random.default_rng(1)
+    two = np.repeat(np.eye(50, dtype=np.float32)[:2], 100, axis=0) + r.random((200, 50), np.float32) * 0.05
+    x = language_id.unit(np.concatenate([two, np.eye(50, dtype=np.float32)[10:12]]))
+    c = language_id.cluster(x, 3)
+    assert sorted(np.bincount((x @ c.T).argmax(axis=1)))[0] >= 2
+    assert len({int(i) for i in (x[[0, 100]] @ c.T).argmax(axis=1)}) == 2
+
+
 def test_long_text_counts_do_not_depend_on_blocks():
     text = sentence(5000).encode()
     assert (language_id.counts(text, 512, block=777) == language_id.counts(text, 512)).all()
