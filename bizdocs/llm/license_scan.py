@@ -7,6 +7,10 @@ table of known texts, which Spark broadcasts or shuffles as its size allows.
 
 from __future__ import annotations
 
+import re
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 COPYRIGHT = "(?im)^[ \\t]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$"
@@ -59,10 +63,52 @@ TEXTS = {
 }
 
 
+#: Longer licences, one file each, named by id. AGPL-3.0 and the CC BY family are known by their notices only.
+FILES = Path(__file__).parent / "licenses"
+END = "END OF TERMS AND CONDITIONS"
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+}
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution.",
+    "Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE {} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+#: Who is named by clause 3, as provider and as not liable.
+BSD_PARTIES = [("copyright holder", "copyright holders", "copyright holder"), ("copyright holder", "copyright holders", "copyright holders"), ("University", "Regents", "Regents")]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of whole licences beyond ``TEXTS``: BSD with its usual numbering and parties, the files with and
+    without what follows their terms, lines as given and paragraphs in one line, and short licences below their title."""
+    rows = []
+    for marks, (name, provider, liable) in product([("1.", "2.", "3."), ("(1)", "(2)", "(3)"), ("a.", "b.", "c."), ("*", "*", "*")], BSD_PARTIES):
+        start, *clauses, end = BSD
+        clauses = [f"{m} {c.format(name)}" for m, c in zip(marks, clauses)]
+        end = end.format(provider, liable)
+        rows += [("BSD-2-Clause", "\n".join([start, *clauses[:2], end])), ("BSD-3-Clause", "\n".join([start, *clauses, end]))]
+    rows += [(i, f"{title}\n\n{text}") for i, text in [*TEXTS.items(), *rows] for title in TITLES[i]]
+    for file in sorted(FILES.glob("*.txt")):
+        whole = file.read_text("utf-8")
+        for text in {whole, whole.split(END)[0] + END if END in whole else whole}:
+            rows += [(file.stem, text), (file.stem, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", text)))]
+    return rows
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
     """license_id, text of the built-in licences and notices. Any other table of this shape can take its place."""
     rows = [(i, notice.format(name)) for i, names in NAMES.items() for name in names for notice in NOTICES]
-    return spark.createDataFrame(rows + list(TEXTS.items()), "license_id string, text string")
+    return spark.createDataFrame(rows + list(TEXTS.items()) + full_texts(), "license_id string, text string")
 
 
 def normal_form(text: Column) -> Column:

@@ -108,6 +108,21 @@ def test_license_scan(spark):
     assert empty.filter("license_id IS NOT NULL").count() == 0
 
 
+def test_whole_licenses(spark):
+    texts = {f.stem: f.read_text("utf-8") for f in license_scan.FILES.glob("*.txt")}
+    assert set(texts) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    start, source, binary, names, end = license_scan.BSD
+    end = end.format("COPYRIGHT HOLDERS", "COPYRIGHT OWNER")
+    bsd = ["Copyright (c) 2020, Someone", "All rights reserved.", "", start, "", "1. " + source, "", "2. " + binary, "", "3. " + names.format("copyright holder"), "", end]
+    texts |= {"BSD-3-Clause": "\n".join(bsd), "BSD-2-Clause": "\n".join(["BSD 2-Clause License", "", *bsd[:9], end]), "MIT": "MIT License\n\nCopyright (c) 2020 Someone\n\n" + license_scan.TEXTS["MIT"]}
+    rows = list(texts.items()) + [("Apache-2.0", texts["Apache-2.0"].split(license_scan.END)[0] + license_scan.END)]
+    rows += [(i, "\r\n".join(t.upper().split("\n"))) for i, t in rows if i != "MIT"]
+    more = [(f"not {i}", t + " one more word") for i, t in rows]
+    out = license_scan.scan_licenses(spark.createDataFrame(rows + more, "doc_id string, text string"), license_scan.known_texts(spark)).collect()
+    assert len(out) == len(rows + more)
+    assert all(r.license_id == (None if r.doc_id.startswith("not ") else r.doc_id) for r in out)
+
+
 # --- 3 packing ---
 
 def brute_best_fit(lengths, size):
