@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_rules:
     valued = stats.select(
         (F.col("_quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune"), *STATS
     )
-    rows = staged(valued.coalesce(4))
+    rows = staged(staged(valued).coalesce(4))  # written first, so that the scan of all documents keeps its tasks
     values = {f: feature(f) for f in FEATURES}
     cuts = rows.agg(*[F.percentile_approx(v, [i / bins for i in range(bins + 1)], 10_000).alias(f) for f, v in values.items()]).first()
     seen = {f: sorted({float(x) for x in cuts[f] or []}) for f in FEATURES}

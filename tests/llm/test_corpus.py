@@ -84,6 +84,15 @@ def test_learned_rules(spark):
     assert kept == {i for i, _, _ in clean}
 
 
+def test_learning_scans_in_all_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(70)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+    tasks, write = [], quality_rules.staged
+    monkeypatch.setattr(quality_rules, "staged", lambda df: tasks.append(df.rdd.getNumPartitions()) or write(df))
+    quality_rules.learn(docs, labels)
+    assert tasks[0] == 7
+
+
 def test_no_labels_keep_everything(docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.learn(docs, labels).rules == []
