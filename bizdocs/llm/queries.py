@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality_rules, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, html_wrapper, language_id, license_scan, ngram_join, packing, quality_rules, token_count, toxicity, url_filter
 from .common import read
 from .registry import query
 
@@ -165,3 +165,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
 @query("op9_ngram_jaccard_join", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:h1|p)>') AS parts FROM pages),
+t AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) for x in parts] AS blocks FROM a),
+f AS (SELECT page_id, url, [x for x in blocks if x <> ''] AS blocks FROM t)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(blocks, chr(10)), '')) AS BIGINT) AS n_chars FROM f"""
+
+
+@query("op13_html_extraction", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
