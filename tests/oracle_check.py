@@ -51,7 +51,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if cols != cols2:
         return f"columns {cols} != {cols2}"
     types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
-    want = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    want = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
     bad = [(c, t, types[c]) for c, t in df.dtypes if want.get(t) != types[c]]
     if len(left) != len(right):
         a, b = set(left), set(right)
