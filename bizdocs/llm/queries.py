@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, html_wrapper, language_id, lexical_search, license_scan, ngram_join, packing, quality_rules, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, html_wrapper, language_id, lexical_search, license_scan, ngram_join, packing, quality_rules, structure_repair, token_count, toxicity, url_filter
 from .common import read
 from .registry import query
 
@@ -193,3 +193,55 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
 @query("op11_ranked_search", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ord(x) AS BIGINT) for x in string_split(key, '')]), lambda a, b:
+        list_reduce(list_prepend(xor(a, b), range(8)), lambda p, q: xor(p >> 1, CASE WHEN p & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT) % 20 AS h FROM (SELECT DISTINCT key FROM k)),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM k JOIN h USING (key), (VALUES (1), (2)) AS v(i) WHERE h <> 0 AND (i = 1 OR h = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS core FROM d),
+t AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev,
+        CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM t GROUP BY conv_id),
+move AS (SELECT * FROM (VALUES ('0', 's', 'h'), ('0', 'u', 'u'), ('h', 'u', 'u'), ('p', 'u', 'u'), ('u', 'a', 'p')) AS v(s, r, s2)),
+ins AS (SELECT * FROM (VALUES ('0', '0', ''), ('h', 'h', ''), ('u', 'u', ''), ('p', 'p', ''), ('0', 'u', 'I'), ('0', 'p', 'II'), ('h', 'u', 'I'), ('h', 'p', 'II'), ('u', 'p', 'I'), ('p', 'u', 'I')) AS v(s, s2, a)),
+step AS (SELECT conv_id, pos, s, s2, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS c, 'K' AS a FROM t JOIN move ON r = ini WHERE fault IN ('', 'truncated')
+   UNION ALL SELECT conv_id, pos, s, s2, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R' FROM t JOIN move ON r <> 's' WHERE fault IN ('', 'truncated')
+   UNION ALL SELECT conv_id, pos, s, s, 4, 'D' FROM t, (VALUES ('0'), ('h'), ('u'), ('p')) AS v(s)),
+r AS (SELECT conv_id, 0::BIGINT AS pos, s2 AS s, {'c': 3 * len(a), 'a': a} AS w FROM n, ins WHERE s = '0'
+   UNION ALL SELECT r.conv_id, any_value(r.pos) + 1, ins.s2, min({'c': r.w.c + step.c + 3 * len(ins.a), 'a': r.w.a || step.a || ins.a})
+   FROM r JOIN step ON r.conv_id IS NOT DISTINCT FROM step.conv_id AND step.pos = r.pos + 1 AND step.s = r.s JOIN ins ON ins.s = step.s2 GROUP BY r.conv_id, ins.s2),
+e AS (SELECT r.conv_id, min(w) AS w FROM r JOIN n ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.pos = n.n WHERE s IN ('0', 'p') GROUP BY r.conv_id),
+x AS (SELECT conv_id, i, w.a[i] AS edit FROM e, unnest(range(1, len(w.a) + 1)) AS g(i)),
+y AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM x),
+z AS (SELECT y.conv_id, i, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, sum(CASE WHEN edit = 'K' AND ini = 's' THEN 0 ELSE 1 END) OVER (PARTITION BY y.conv_id ORDER BY i) AS m
+      FROM y LEFT JOIN t ON y.conv_id IS NOT DISTINCT FROM t.conv_id AND y.pos = t.pos WHERE edit <> 'D'),
+q AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN m % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS whole FROM z GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(e.w.c, 0) AS BIGINT) AS cost, coalesce(e.w.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN q ON c.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with the faults that the query plants: a row is dropped, emptied, cut, repeated or reroled."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_")
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times).drop("_")
+
+
+@query("op12_structure_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    found = structure_repair.repair_summary(damaged(conversations)).withColumnRenamed("conv_id", "_conv")
+    ids = conversations.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in structure_repair.SUMMARY]
+    nothing = F.sha2(F.lit(""), 256)
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
