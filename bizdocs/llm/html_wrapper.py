@@ -396,7 +396,7 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 64, most_hosts: int = 2000) -
         if known:
             yield out()
 
-    def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["part", "seq"])
         whole = None
         for row in frame["wrapper"]:
