@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Remember, staged
 
+ADDED = {"<|endoftext|>": 50256}  # the added token of the vocabulary
 NEAR_SPACE = re.compile(r"\s | \s")
 
 
@@ -37,10 +38,10 @@ class TokenBytes:
 
     A space between two other characters that are no white space always starts a new pre-token of the byte-level
     pattern, so a text is cut at spaces and every distinct word is encoded once per task. A text with white space
-    next to a space is encoded whole.
+    next to a space is encoded whole. Strings of ``added`` tokens in a text are those tokens.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] = ADDED):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -49,8 +50,15 @@ class TokenBytes:
         self.whole = lambda text: np.asarray(encoding.encode_ordinary(text), "<u4").tobytes()
         self.first = Remember(self.whole)
         self.later = Remember(lambda word: self.whole(" " + word))
+        self.added = {name: np.array([i], "<u4").tobytes() for name, i in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, added)) + ")")
 
     def __call__(self, text: str) -> bytes:
+        if any(name in text for name in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.cuts.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or NEAR_SPACE.search(text):
