@@ -5,11 +5,12 @@ the best score and its piece count. Ties and unknown characters follow the unigr
 a candidate replaces an earlier one only with a higher score, and those from earlier starts come first, so of
 equal scores the longest last piece stays; a character that is no piece of its own can be unknown at the lowest
 score minus 10; neighbouring unknowns count as one piece. Words are cut at white space and get the mark U+2581 in
-front. Every distinct word is segmented once per task.
+front, unless they begin with it. Every distinct word is segmented once per task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,15 +20,24 @@ from .common import Remember
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
+NO_MERGE = -1e8
 
 
-def vocabulary(model_path: str) -> dict[str, float]:
-    """Pieces and scores of a sentencepiece model file, without control, unknown and byte pieces."""
+def vocabulary(model_path: str, offset: float = 10.0) -> dict[str, float]:
+    """Pieces of a sentencepiece merge model with unigram log probabilities, without control, unknown and byte pieces.
+
+    Such a file has no probabilities: a piece's score is minus the rank of its merge, or -1e9 for pieces that no merge
+    makes. Merges are ranked by frequency, so a piece's probability follows from its rank by the law of Zipf and
+    Mandelbrot, 1 / (rank + offset), over their sum; pieces without a merge come after all others. Nothing is trained.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)
-    return {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)}
+    scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)}
+    rank = {piece: -score if score > NO_MERGE else len(scores) for piece, score in scores.items()}
+    whole = math.log(sum(1 / (r + offset) for r in rank.values()))
+    return {piece: -math.log(r + offset) - whole for piece, r in rank.items()}
 
 
 class Viterbi:
@@ -74,7 +84,7 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = Viterbi(scores)
-        known = Remember(lambda w: viterbi(MARK + w))
+        known = Remember(lambda w: viterbi(w if w[0] == MARK else MARK + w))
         for batch in batches:
             words, tokens, total = [], [], []
             for text in batch.column(batch.num_columns - 1):
