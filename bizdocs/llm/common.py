@@ -53,6 +53,19 @@ def word_array(text: Column) -> Column:
     return F.when(inner != "", F.split(inner, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
+def chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The texts of a batch in runs of about ``most`` bytes, so that long texts do not add up in memory."""
+    texts, size, start = [], 0, 0
+    for i, value in enumerate(batch.column(column)):
+        texts.append(value.as_py())
+        size += len(texts[-1] or b"")
+        if size >= most:
+            yield start, texts
+            texts, size, start = [], 0, i + 1
+    if texts:
+        yield start, texts
+
+
 class Remember(dict):
     """A dict that computes missing values and starts anew when full, so a task's memory stays bounded."""
 

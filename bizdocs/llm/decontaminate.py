@@ -1,8 +1,8 @@
 """Benchmark decontamination: which words of a document lie in a 13-word window of a benchmark item.
 
-The benchmark's normalised windows are a hash set of word ids and window hashes that every task holds; its
-size is counted first and it is split into blocks of at most ``max_windows``, so what is broadcast never grows
-with either table. Documents are scanned whole, once per block. A window is looked up by a 64-bit rolling hash
+The benchmark's normalised windows are a hash set of word ids and window hashes that every task holds. Spark counts
+the items' words and deals them into blocks of at most ``max_windows`` words; the driver and the tasks hold one block at
+a time, so neither what is broadcast nor the plan grows with the benchmark. Documents are scanned whole, once per block. A window is looked up by a 64-bit rolling hash
 and every hit is verified word by word.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import chunks, staged, text_bytes
 
 #: Lower-cases A-Z and turns the other ASCII characters that are no word characters into spaces.
 NORMAL = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -95,23 +95,28 @@ def _scan(docs: DataFrame, items: list[tuple[int, bytes]], width: int) -> DataFr
         windows = None
         for batch in batches:
             windows = windows or WindowSet(items, width)
-            get, counts, ids = windows.vocabulary.get, [], []
-            for text in batch.column(2):
-                own = words(text.as_py())
-                counts.append(len(own))
-                ids += [get(w, -1) for w in own]
-                ids.append(-1)  # no window crosses documents
-            starts = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
-            hits: dict[int, list] = {}
-            for p, k, found in windows.scan(np.array(ids, dtype=np.int64)):
-                d = int(np.searchsorted(starts, p, side="right")) - 1
-                hits.setdefault(d, []).append((p - int(starts[d]), k, found))
-            rows = []
-            for d, (doc_id, copy) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own = hits.get(d, [])
-                spans = merged([(p, p + k) for p, k, _ in own])
-                rows.append((doc_id, copy, counts[d], [a for a, _ in spans], [b for _, b in spans], sorted(set().union(*(x for _, _, x in own)))))
-            yield batch_of(rows)
+            ids_of, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, texts in chunks(batch, 2):
+                yield scanned(windows, ids_of[first : first + len(texts)], copies[first : first + len(texts)], texts)
+
+    def scanned(windows: WindowSet, doc_ids: list, copies: list, texts: list[bytes | None]) -> pa.RecordBatch:
+        get, counts, ids = windows.vocabulary.get, [], []
+        for text in texts:
+            own = words(text)
+            counts.append(len(own))
+            ids += [get(w, -1) for w in own]
+            ids.append(-1)  # no window crosses documents
+        starts = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
+        hits: dict[int, list] = {}
+        for p, k, found in windows.scan(np.array(ids, dtype=np.int64)):
+            d = int(np.searchsorted(starts, p, side="right")) - 1
+            hits.setdefault(d, []).append((p - int(starts[d]), k, found))
+        rows = []
+        for d, (doc_id, copy) in enumerate(zip(doc_ids, copies, strict=True)):
+            own = hits.get(d, [])
+            spans = merged([(p, p + k) for p, k, _ in own])
+            rows.append((doc_id, copy, counts[d], [a for a, _ in spans], [b for _, b in spans], sorted(set().union(*(x for _, _, x in own)))))
+        return batch_of(rows)
 
     return docs.mapInArrow(run, HIT_SCHEMA)
 
@@ -125,23 +130,35 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(rows)
 
 
-def benchmark_blocks(benchmark: DataFrame, width: int, max_windows: int) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of at most about ``max_windows`` words; a longer item is cut with overlap.
+def benchmark_blocks(benchmark: DataFrame, width: int, max_windows: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of at most ``max_windows`` + ``width`` words, one after the other; at least one, maybe empty.
 
-    Items are streamed to the driver partition by partition. Items without an id or without words have no windows.
+    A longer item is cut with overlap. Items without an id or without words have no windows. Items are dealt by hash
+    into twice as many blocks until all fit.
     """
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
-    for item, text in benchmark.select(F.col("item_id").cast("long"), text_bytes()).dropna().toLocalIterator():
-        own = words(bytes(text))
-        for s in range(0, max(len(own) - width + 1, min(len(own), 1)), max_windows):
-            part = own[s : s + max_windows + width - 1]
-            if size and size + len(part) > max_windows:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((item, b" ".join(part)))
-            size += len(part)
-    return blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = words(text.as_py())
+                starts = range(0, max(len(own) - width + 1, min(len(own), 1)), max_windows)
+                parts = [own[s : s + max_windows + width - 1] for s in starts]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(list(map(len, parts)), pa.int64()), pa.array([b" ".join(p) for p in parts], pa.binary())], ["item", "start", "size", "words"]
+                )
+
+    items = benchmark.select(F.col("item_id").cast("long"), text_bytes()).dropna()
+    parts = staged(items.mapInArrow(run, "item long, start long, size long, words binary"))
+    n = max(1, -(-(parts.agg(F.sum("size")).first()[0] or 0) // max_windows))
+    while True:
+        block = F.pmod(F.xxhash64("item", "start"), F.lit(n))
+        over = parts.groupBy(block.alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("parts")).filter((F.col("size") > max_windows) & (F.col("parts") > 1))
+        if over.isEmpty():
+            break
+        n *= 2
+    for b in range(n):
+        yield [(r["item"], bytes(r["words"])) for r in parts.filter(block == b).select("item", "words").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_windows: int = 2_000_000) -> DataFrame:
@@ -150,19 +167,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_windo
     Null and empty texts have no words and no hits. A null ``doc_id`` stays null. Repeated rows each get their row.
     Extra columns are ignored. An empty benchmark hits nothing.
     """
-    blocks = benchmark_blocks(benchmark, width, max_windows)
     ids = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), text_bytes().alias("text"))
-    if len(blocks) == 1:
-        return _scan(ids, blocks[0], width).drop("copy")
-    parts = _scan(ids, blocks[0], width)
-    for block in blocks[1:]:
-        parts = parts.unionByName(_scan(ids, block, width).filter(F.size("items") > 0))
+    blocks = benchmark_blocks(benchmark, width, max_windows)
+    whole = _scan(ids, next(blocks), width)
+    parts = []
+    for block in blocks:
+        if block:
+            parts.append(staged(_scan(ids, block, width).filter(F.size("items") > 0)))
+    if not parts:
+        return whole.drop("copy")
     # a document hit in several blocks: at most a row per block, none of them longer than the document
-    keys = ids.groupBy("doc_id", "copy").agg(F.count("*").alias("rows"))
-    grouped = parts.dropDuplicates().groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.collect_list(F.arrays_zip("hit_from", "hit_to")).alias("spans"), F.collect_list("items").alias("items"))
-    whole = grouped.mapInArrow(_join_blocks, HIT_SCHEMA)
-    same = whole["doc_id"].eqNullSafe(keys["doc_id"]) & (whole["copy"] == keys["copy"])
-    return whole.join(keys, same).select(whole["doc_id"], "n_words", "hit_from", "hit_to", "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
+    whole = staged(whole)
+    hits = whole.filter(F.size("items") > 0)
+    for part in parts:
+        hits = hits.unionByName(part)
+    spans = F.collect_list(F.arrays_zip("hit_from", "hit_to")).alias("spans")
+    grouped = hits.dropDuplicates().groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), spans, F.collect_list("items").alias("items"))
+    joined = grouped.mapInArrow(_join_blocks, HIT_SCHEMA).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.struct("hit_from", "hit_to", "items").alias("_hits"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy"))
+    found = lambda c: F.coalesce(F.col("_hits").getField(c), F.col(c)).alias(c)
+    return whole.join(joined, same, "left").select("doc_id", "n_words", found("hit_from"), found("hit_to"), found("items"))
 
 
 def n_hit(df: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import Remember, per_batch, staged, text_bytes
+from .common import Remember, chunks, per_batch, staged, text_bytes
 from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,19 +81,6 @@ class Shingler:
         return h
 
 
-def chunks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes | None]]]:
-    """The texts of a batch in runs of about ``most`` bytes, so that long texts do not add up in memory."""
-    texts, size, start = [], 0, 0
-    for i, value in enumerate(batch.column(column)):
-        texts.append(value.as_py())
-        size += len(texts[-1] or b"")
-        if size >= most:
-            yield start, texts
-            texts, size, start = [], 0, i + 1
-    if texts:
-        yield start, texts
-
-
 META = "doc_id long, n long, digest binary, token long, df long"
 
 
@@ -197,7 +184,7 @@ def may_overlap(pairs: DataFrame, verts: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"set_{c}"))
+    side = lambda c: sets.select(F.col("vertex").alias(c), F.col("grams").alias(f"set_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,17 +232,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     frequent = [tuple(r) for r in often.orderBy(F.desc("df"), "token").limit(max_frequent).collect()]
     meta = meta.filter("n IS NOT NULL").select("doc_id", "n", "digest")
 
+    # a vertex per different set, numbered by itself: documents may share an id and have different texts
     one = F.min_by(F.struct("prefix", "head", "cold", "bits"), "doc_id").alias("s")
-    verts = staged(prefixes(texts, width, percent, frequent).groupBy("digest", "n").agg(F.min("doc_id").alias("vertex"), one).select("digest", "n", "vertex", "s.*"))
+    verts = prefixes(texts, width, percent, frequent).groupBy("digest", "n").agg(F.min("doc_id").alias("first"), one)
+    verts = staged(verts.select("digest", "n", "first", F.monotonically_increasing_id().alias("vertex"), "s.*"))
 
     # groups: sets of one size and one prefix
     heads = verts.groupBy("head", "n").agg(F.min("vertex").alias("group"), F.count("*").alias("size")).filter("size > 1")
     inner = staged(verts.select("vertex", "n", "head").join(heads, ["head", "n"]).filter(F.col("vertex") != F.col("group")).select("vertex", "group"))
-    posted = verts.join(inner.select("vertex"), "vertex", "left_anti").select(F.posexplode("prefix").alias("at", "token"), F.col("vertex").alias("group"), "n", "cold")
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))  # size class
-    counted = posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1").withColumn("step", step)
-    pivot = F.min(F.struct("cold", "group")).over(Window.partitionBy("token", "step")).getField("group")
-    lists = staged(counted.select("token", "group", "n", "at", pivot.alias("pivot")))
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("step")  # size class
+    posted = verts.join(inner.select("vertex"), "vertex", "left_anti").select(F.posexplode("prefix").alias("at", "token"), F.col("vertex").alias("group"), "n", "cold", step)
+    # sizes and pivots of the lists are aggregates, so a list of any length is counted where its postings lie
+    classes = posted.groupBy("token", "step").agg(F.count("*").alias("size"), F.min(F.struct("cold", "group")).getField("group").alias("pivot"))
+    shared = classes.groupBy("token").agg(F.sum("size").alias("size")).filter("size > 1").select("token")
+    pivots = staged(classes.join(shared, "token").select("token", "step", "pivot"))
+    lists = staged(posted.join(pivots, ["token", "step"]).select("token", "group", "n", "at", "pivot"))
 
     # one pivot pair per group and per member of a group
     stars = lists.filter(F.col("pivot") != F.col("group")).select(F.col("group").alias("b"), F.col("pivot").alias("a")).unionByName(inner.select(F.col("vertex").alias("b"), F.col("group").alias("a"))).distinct()
@@ -272,25 +263,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     cross = staged(may_overlap(apart_pairs(entries, ["token"], "class", percent), narrow, percent).select("a", "b"))
 
     pairs = best.unionByName(cross)
-    needed = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    needed = pairs.select(F.col("a").alias("vertex")).unionByName(pairs.select(F.col("b").alias("vertex"))).distinct()
+    needed = staged(needed.join(verts.select("vertex", "first", "digest"), "vertex"))
 
     def make():
         shingler = Shingler(width)
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            grams = [s.tobytes() for _, part in chunks(batch, 1) for s in shingler.many(part)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+            found = [s for _, part in chunks(batch, 1) for s in shingler.many(part)]
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "grams"])
 
         return fn
 
-    sets = staged(per_batch(texts.join(needed, "doc_id", "left_semi"), make, "doc_id long, grams binary"))
+    chosen = texts.join(needed.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    if not meta.groupBy("doc_id", "digest").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "text"])
+    sets = per_batch(chosen, make, "digest binary, grams binary").join(needed.select("digest", "vertex"), "digest").select("vertex", "grams")
+    sets = staged(sets)
     links = staged(verified(pairs, sets, percent))
 
     known = staged(components(links))
     # classes that fell apart: pairs between their parts
     parts = entries.join(known, "vertex", "left").withColumn("part", F.coalesce("component", "vertex")).drop("component")
     split = staged(parts.groupBy("class").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("class"))
-    of = staged(meta.join(verts.select("digest", "vertex"), "digest", "left"))
+    of = staged(meta.join(verts.select("digest", "vertex", "first"), "digest", "left"))
+    # a row without grams goes with the other texts of its document
+    other = of.groupBy("doc_id").agg(F.max("vertex").alias("_v"), F.max(F.col("vertex").isNull()).alias("_e")).filter("_e AND _v IS NOT NULL").select("doc_id", "_v")
+    of = staged(of.join(other, "doc_id", "left").select("doc_id", "n", F.coalesce("vertex", "_v").alias("vertex"), "first"))
     several = of.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("hi")).filter("a <> hi").select("doc_id", "a")
     added = of.join(several, "doc_id").filter(F.col("a") != F.col("vertex")).select("a", F.col("vertex").alias("b"))
     if not split.isEmpty():
@@ -300,8 +300,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
             added = added.unionByName(verified(rest, sets, percent))
     added = staged(added)
     found = known if added.isEmpty() else staged(components(links.unionByName(added)))
-    return of.join(found, "vertex", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "vertex", "doc_id")).alias("component_id")
+    least = staged(found.join(verts.select("vertex", "first"), "vertex").groupBy("component").agg(F.min("first").alias("component_id")))
+    named = staged(found.join(least, "component").select("vertex", "component_id"))
+    return of.join(named, "vertex", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first", "doc_id")).alias("component_id")
     )
 
 

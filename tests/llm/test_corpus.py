@@ -170,7 +170,6 @@ def test_pack_round_trip(docs):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
     want = Counter()
     for r in docs.collect():
@@ -197,9 +196,8 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     fast = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    cases = [*(t for t in EDGE if t), "a  b", "a \n b", "a\n \nb", " lead", "trail ", "it's we'll 'S", "x　y z", "<|endoftext|> a", "tab\t x", "5 000 a1b2", "日本 語", "é o"]
+    cases = [*(t for t in EDGE if t), "a  b", "a \n b", "a\n \nb", " lead", "trail ", "it's we'll 'S", "x　y z", "<|endoftext|> a", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>x", "a<|endoftext", "tab\t x", "5 000 a1b2", "日本 語", "é o"]
     for t in cases:
         assert np.frombuffer(fast(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, t
 
@@ -479,3 +477,16 @@ def test_decontaminate_modes(spark):
     assert ascii_words(spans[1]) == ["start", "end"] and spans[2] == "clean text" and item not in spans[3]
     assert decontaminate.decontaminate(df.limit(0), benchmark).count() == 0
     assert decontaminate.decontaminate(df, benchmark.limit(0)).count() == 4
+
+
+def test_links_of_ids_with_several_texts(spark):
+    """A document with two texts has the links of both, wherever its other text stands in its group."""
+    rows = []
+    for family in range(24):
+        words, base = sentence(60, [f"q{family}x{i}" for i in range(400)]).split(), 100 * family
+        near = lambda k, words=words: " ".join([*words[: 50 + k], *(f"n{k}" for _ in range(10 - k))])
+        rows += [(base, " ".join(words)), (base + 5, near(9)), (base + 5, sentence(50, [f"z{family}y{i}" for i in range(300)])), (base + 7, " ".join([*words[:-1], "end"]))]
+        other = rows[-2][1].split()
+        rows += [(base + 8, " ".join([*other[:-1], "last"])), (base + 9, ""), (base + 9, " ".join(other))]
+    rng.shuffle(rows)
+    check_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
