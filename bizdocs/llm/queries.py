@@ -64,17 +64,31 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _node_sql(host: str, path: str, query: str) -> str:
+    parts = f"list_reduce([[x] for x in string_split({path}, '/')], lambda a, s: CASE WHEN s[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1 : len(a) - 1] ELSE a END WHEN s[1] = '.' THEN a ELSE a || s END)"
+    whole = f"CASE WHEN contains({path}, '/.') THEN array_to_string({parts}, '/') || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END WHEN {path} = '' THEN '/' ELSE {path} END"
+    return f"regexp_replace({host}, '{url_filter.DEFAULT_PORT}', '') || {whole} || {query}"
+
+
+def _resolved_sql(target: str, host: str, path: str) -> str:
+    whole = f"CASE WHEN {path} = '' THEN '/' ELSE {path} END"
+    return (
+        f"CASE WHEN regexp_matches({target}, '{url_filter.ABSOLUTE}') THEN {target} WHEN starts_with({target}, '//') THEN 'http:' || {target} "
+        f"WHEN starts_with({target}, '/') THEN 'http://' || {host} || {target} WHEN left({target}, 1) IN ('?', '#') THEN 'http://' || {host} || {whole} || {target} "
+        f"ELSE 'http://' || {host} || regexp_extract({whole}, '^(.*/)?[^/]*$', 1) || {target} END"
+    )
+
+
 OP4_SQL = f"""
-WITH RECURSIVE u AS (SELECT page_id, html, regexp_extract(url, {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM pages),
-p AS (SELECT page_id, html, coalesce(translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(x.p, '') AS path, x.q AS query FROM u),
-n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p),
-t AS (SELECT node, host, path, unnest(regexp_extract_all(html, {_quoted(url_filter.TAGS)})) AS tag FROM n),
-l AS (SELECT node, host, path, replace(CASE WHEN regexp_matches(tag, {_quoted(url_filter.CANONICAL)}) THEN regexp_extract(tag, {_quoted(url_filter.HREF)}, 1)
+WITH RECURSIVE u AS (SELECT page_id, url, html, regexp_extract(url, {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM pages),
+p AS (SELECT page_id, url, html, coalesce(translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host, coalesce(x.p, '') AS path, x.q AS query FROM u),
+n AS (SELECT *, CASE WHEN host <> '' THEN {_node_sql('host', 'path', 'query')} END AS node FROM p),
+t AS (SELECT node, url, host, path, replace(regexp_extract(html, {_quoted(url_filter.BASE)}, 1), '&amp;', '&') AS base, unnest(regexp_extract_all(html, {_quoted(url_filter.TAGS)})) AS tag FROM n),
+l AS (SELECT node, url, host, path, base, replace(CASE WHEN regexp_matches(tag, {_quoted(url_filter.CANONICAL)}) THEN regexp_extract(tag, {_quoted(url_filter.HREF)}, 1)
       WHEN regexp_matches(tag, {_quoted(url_filter.REFRESH)}) THEN regexp_extract(tag, {_quoted(url_filter.TARGET)}, 1) END, '&amp;', '&') AS dst FROM t),
-w AS (SELECT node AS a, regexp_extract(CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst WHEN starts_with(dst, '//') THEN 'http:' || dst
-      WHEN starts_with(dst, '/') THEN 'http://' || host || dst ELSE 'http://' || host || regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^(.*/)?[^/]*$', 1) || dst END,
-      {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM l WHERE dst <> ''),
-e AS (SELECT a, translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}') || CASE WHEN x.p = '' THEN '/' ELSE x.p END || x.q AS b FROM w WHERE x.h <> ''),
+f AS (SELECT node, dst, regexp_extract(CASE WHEN base = '' THEN url ELSE {_resolved_sql('base', 'host', 'path')} END, {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM l WHERE dst <> ''),
+w AS (SELECT node AS a, regexp_extract({_resolved_sql('dst', f"translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}')", 'x.p')}, {_quoted(url_filter.PARTS)}, ['h', 'p', 'q']) AS x FROM f),
+e AS (SELECT a, {_node_sql(f"translate(x.h, '{url_filter.UPPER}', '{url_filter.LOWER}')", 'x.p', 'x.q')} AS b FROM w WHERE x.h <> ''),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS v, a AS c FROM g UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v),
 v AS (SELECT c, max(CASE verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS best FROM

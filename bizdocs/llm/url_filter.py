@@ -19,6 +19,9 @@ TAGS = "(?is)<(?:link|meta)\\b[^>]*>"
 CANONICAL = "(?is)\\brel\\s*=\\s*[\"']?canonical\\b"
 REFRESH = "(?is)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
 HREF = "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
+BASE = "(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
+DEFAULT_PORT = ":(80|443)$"
+ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://"
 TARGET = "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,13 +40,42 @@ class Rule:
         return "/" + self.pattern.partition("/")[2]
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.element_at(parts, 1)), step)
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(path.contains("/."), whole).otherwise(path)
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """The absolute url of a link on a page of ``host`` and ``path``."""
+    site = F.concat(F.lit("http://"), host)
+    whole = F.when(path == "", "/").otherwise(path)
+    folder = F.regexp_extract(whole, "^(.*/)?[^/]*$", 1)
+    return (
+        F.when(target.rlike(ABSOLUTE), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?") | target.startswith("#"), F.concat(site, whole, target))
+        .otherwise(F.concat(site, folder, target))
+    )
+
+
 def with_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
-    """Add host (A-Z lower-cased), path, and node: what identifies a page, its host, path and query without scheme
-    and fragment. Null and urls without ``://`` have an empty host and path and a null node."""
+    """Add host (A-Z lower-cased), path, and node: what identifies a page, its host without port 80 or 443, its path
+    without dot segments and its query, without scheme and fragment. Null and urls without ``://`` have an empty host
+    and path and a null node."""
     host, path, node = (prefix + c for c in ("host", "path", "node"))
     part = lambda i: F.coalesce(F.regexp_extract(F.col(url), PARTS, i), F.lit(""))
     df = df.withColumns({host: F.translate(part(1), UPPER, LOWER), path: part(2), "_query": part(3)})
-    whole = F.concat(F.col(host), F.when(F.col(path) == "", "/").otherwise(F.col(path)), F.col("_query"))
+    whole = F.concat(F.regexp_replace(F.col(host), DEFAULT_PORT, ""), F.when(F.col(path) == "", "/").otherwise(without_dots(F.col(path))), F.col("_query"))
     return df.withColumn(node, F.when(F.col(host) != "", whole)).drop("_query")
 
 
@@ -61,21 +93,18 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """src, dst urls of the canonical links and refresh redirects in ``html``; relative targets are resolved."""
+    """src, dst urls of the canonical links and refresh redirects in ``html``; relative targets are resolved against
+    the page's ``base`` where it has one, else against its url."""
     tags = F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)))
-    found = pages.filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)).select("url", tags.alias("tag"))
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    base = plain(F.regexp_extract("html", BASE, 1)).alias("base")
+    found = pages.filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)).select("url", base, tags.alias("tag"))
     raw = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    found = staged(found.select("url", F.regexp_replace(raw, "&amp;", "&").alias("to")))  # urls only
+    found = staged(found.select("url", "base", plain(raw).alias("to")))  # urls only
     found = with_parts(found.filter("to <> ''"), "url")
-    folder = F.regexp_extract(F.when(F.col("path") == "", "/").otherwise(F.col("path")), "^(.*/)?[^/]*$", 1)
-    site = F.concat(F.lit("http://"), F.col("host"))
-    whole = (
-        F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-        .otherwise(F.concat(site, folder, F.col("to")))
-    )
-    return found.select(F.col("url").alias("src"), whole.alias("dst"))
+    found = found.withColumn("from", F.when(F.col("base") == "", F.col("url")).otherwise(resolved(F.col("base"), F.col("host"), F.col("path"))))
+    found = with_parts(found, "from", "from_")
+    return found.select(F.col("url").alias("src"), resolved(F.col("to"), F.col("from_host"), F.col("from_path")).alias("dst"))
 
 
 def alias_verdicts(links: DataFrame, rules: list[Rule]) -> DataFrame:

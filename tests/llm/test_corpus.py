@@ -224,6 +224,34 @@ def test_urls_and_aliases(spark):
     assert url_filter.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_relative_links_ports_and_base(spark, tmp_path):
+    """Every page below is an alias of a blocked one; the SQL twin gives the same."""
+    import duckdb
+
+    from bizdocs.llm import queries
+
+    link = '<link rel="canonical" href="{}">'.format
+    blocked = "http://x.com/de/1"
+    rows = [
+        (1, "http://a.net/z", link(blocked)), (2, "http://a.net/b/y", link("../z")), (3, "http://a.net/w", link("./z")), (4, "http://a.net/v", link("x/../z")),
+        (5, "http://a.net:80/u", link("z")), (6, "https://a.net:443/z#top", ""), (7, "http://a.net/q", link("?k=1")), (8, "http://a.net/q?k=1", link("/b/c/../../z")),
+        (9, "http://far.net/deep/page", '<base href="http://a.net/b/">' + link("../z")), (10, "http://a.net/k/l", '<base target="x" href="/b/c/">' + link("../../z")), (11, "http://a.net/z/", ""), (12, "http://a.net/a/../z", ""),
+        (13, "http://a.net:8080/z", ""), (14, "http://long.net/" + "p/" * 2000, "<p>" * 5000 + link("//a.net/z")), (15, "http://up.net/x", link("../../../y")), (16, "http://up.net/y", link(blocked)), (17, "http://a.net/dir/.", link("/z")), (18, "http://a.net/dir/", None),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in queries.op4(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert {r[0] for r in got if r[4] == "allow"} == {11, 13}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == set(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP4_SQL})").fetchall())
+
+
+def test_rules_of_equal_length(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.com/x")], "page_id long, url string").withColumn("html", F.lit(""))
+    rules = [url_filter.Rule("block", "a.com/"), url_filter.Rule("allow", "a.com/"), url_filter.Rule("block", "b.com/")]
+    assert {(r.page_id, r.verdict) for r in url_filter.judge_urls(df, rules).collect()} == {(1, "allow"), (2, "block")}
+
+
 @pytest.mark.parametrize("kind", ["random", "chain", "star"])
 def test_components(spark, kind):
     n = 60
