@@ -559,6 +559,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, keep: tuple[str
     rows = rows.join(F.broadcast(hot), F.col("host") == F.col("_hot"), "left").withColumn("_salt", salt.cast("int"))
     many = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(hot_parts - 1))).otherwise(F.array(F.lit(0)))
     dealt = wrappers.join(F.broadcast(hot), F.col("host") == F.col("_hot"), "left").select("host", "wrapper", F.explode(many).alias("_salt"))
+    dealt = staged(dealt)  # its size tells Spark whether to broadcast it
     met = rows.join(dealt, ["host", "_salt"], "left").select(*[f"_k{i}" for i in range(len(keep))], "_html", "wrapper")
     types = dict(pages.select(*keep).dtypes)
     schema = ", ".join(f"_k{i} {types[c]}" for i, c in enumerate(keep)) + ", text string, n_chars long"
