@@ -243,10 +243,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("step")  # size class
     posted = verts.join(inner.select("vertex"), "vertex", "left_anti").select(F.posexplode("prefix").alias("at", "token"), F.col("vertex").alias("group"), "n", "cold", step)
     # sizes and pivots of the lists are aggregates, so a list of any length is counted where its postings lie
-    classes = posted.groupBy("token", "step").agg(F.count("*").alias("size"), F.min(F.struct("cold", "group")).getField("group").alias("pivot"))
-    shared = classes.groupBy("token").agg(F.sum("size").alias("size")).filter("size > 1").select("token")
-    pivots = staged(classes.join(shared, "token").select("token", "step", "pivot"))
-    lists = staged(posted.join(pivots, ["token", "step"]).select("token", "group", "n", "at", "pivot"))
+    shared = staged(posted.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"))
+    listed = staged(posted.join(shared, "token"))
+    pivots = staged(listed.groupBy("token", "step").agg(F.min(F.struct("cold", "group")).getField("group").alias("pivot")))
+    lists = staged(listed.join(pivots, ["token", "step"]).select("token", "group", "n", "at", "pivot"))
 
     # one pivot pair per group and per member of a group
     stars = lists.filter(F.col("pivot") != F.col("group")).select(F.col("group").alias("b"), F.col("pivot").alias("a")).unionByName(inner.select(F.col("vertex").alias("b"), F.col("group").alias("a"))).distinct()
