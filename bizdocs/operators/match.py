@@ -1,6 +1,6 @@
-"""Item-master matching: exact tiers as equi-joins, fuzzy scoring on blocked distinct pairs.
+"""Item-master matching: exact tiers as equi-joins, the rest by an exact top-k rank join.
 
-Lines are first reduced to distinct *probes*; similarity runs on distinct name pairs.
+Lines are first reduced to distinct *probes*.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bizdocs.functions import numbers as N
-from bizdocs.functions.similarity import grams, hangul_jamo, jamo_text, sequence_ratio, similarity
+from bizdocs.functions.similarity import grams, sequence_ratio, similarity
 from bizdocs.functions.text import material_grade, mentions_broad_material, normalize_item_text, normalize_spec, real_code, thickness
+from bizdocs.operators import rank_join as R
 from bizdocs.operators.ordering import top_per
 from bizdocs.session import cut
 
@@ -66,69 +67,6 @@ def match_prefix_code(p: DataFrame, master: DataFrame, min_len: int = 8) -> Data
     return joined.select("p.probe_id", "m.item_id", "m.internal_item_code", F.when(left == right, 0.92).otherwise(0.70).alias("floor"))
 
 
-def blocked_name_pairs(source: DataFrame, target: DataFrame, share: float = 0.5) -> DataFrame:
-    """Distinct (a, b) name pairs where at least ``share`` of a's 3-grams occur in b, or one name is short.
-
-    Only a's rarest grams are used as join keys (prefix filter), so a gram that most names
-    share is never the only thing two names meet on. No block is capped. Names shorter than
-    three characters have no gram; they meet on equality here and on characters in ``near_name_pairs``."""
-    a = source.select(F.col("name").alias("a"), grams(F.col("name"), 3).alias("ga"))
-    b = target.select(F.col("name").alias("b"), grams(F.col("name"), 3).alias("gb"))
-    index = b.select("b", "gb", F.explode("gb").alias("g"))
-    freq = index.groupBy("g").agg(F.count("*").alias("f"))
-    tokens = a.filter(F.size("ga") > 0).select("a", "ga", F.explode("ga").alias("g")).join(freq, "g", "left")
-    need = F.ceil(F.size(F.first("ga")) * F.lit(share))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")))  # bounded by one name's length
-    prefix = tokens.groupBy("a").agg(F.slice(ordered, F.lit(1), (F.size(F.first("ga")) - need + 1).cast("int")).alias("pre"), F.first("ga").alias("ga"))
-    keys = prefix.select("a", "ga", F.explode("pre.g").alias("g"))
-    met = keys.join(index, "g").filter(F.size(F.array_intersect("ga", "gb")) >= F.ceil(F.size("ga") * F.lit(share)))
-    equal = a.filter(F.size("ga") == 0).join(b, F.col("a") == F.col("b")).select("a", "b")
-    return met.select("a", "b").unionByName(equal).distinct()
-
-
-def near_name_pairs(source: DataFrame, target: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Every (a, b) pair of names whose similarity can reach ``threshold`` (above 2/3, at most .88), and some more.
-
-    Each score is a sequence ratio of a short form with a long one or with a window of it at most one character
-    shorter, so of total length n >= 2|s| - 1, or a containment. A ratio >= t leaves at least t n / 2 matched characters
-    in at most (1 - t) n + 1 blocks, so the forms share n (1.5 t - 1) - 1 bigrams; forms too short for that share
-    t n / 2 characters (copies numbered). The short form is posted under its rarest grams only, as many as must
-    hold a shared one; the long form under all of its grams. Forms: the name, its jamo, and the jamo of its Hangul.
-    """
-    t = min(threshold, 0.86)  # a Hangul window from .86 on counts as .88
-    slope = 1.5 * t - 1
-    if slope <= 0:
-        raise ValueError("threshold must be above 2/3")
-
-    def forms(df: DataFrame) -> DataFrame:
-        with_forms = df.withColumns({"jamo": jamo_text("name"), "hangul": hangul_jamo("name")})
-        pairs = F.array(*[F.struct(F.lit(k).alias("form"), F.col(c).alias("text")) for k, c in (("text", "name"), ("jamo", "jamo"), ("hangul", "hangul"))])
-        rows = with_forms.select("name", F.explode(F.filter(pairs, lambda p: F.coalesce(p["text"], F.lit("")) != "")).alias("f")).select("name", "f.*")
-        rows = rows.filter((F.col("form") != "jamo") | (F.col("text") != F.col("name")))
-        n = 2 * F.length("text") - 1
-        two, one = F.ceil(n * F.lit(slope) - 1 - 1e-9), F.ceil(n * F.lit(t / 2) - 1e-9)  # not up for rounding errors
-        return rows.withColumns({"size": F.when(two >= 1, 2).otherwise(1), "need": F.when(two >= 1, two).otherwise(one).cast("int")})
-
-    src, dst = cut(forms(source)), cut(forms(target))
-
-    def met(short: DataFrame, long: DataFrame) -> DataFrame:
-        both = long.select("name", "form", F.length("text").alias("m"), F.explode(F.array(F.struct(F.lit(1).alias("size"), grams(F.col("text"), 1).alias("all")), F.struct(F.lit(2).alias("size"), grams(F.col("text"), 2).alias("all")))).alias("g"))
-        index = both.select(F.col("name").alias("l"), "form", "m", "g.size", F.col("g.all").alias("gl"), F.explode("g.all").alias("g"))
-        freq = index.groupBy("form", "size", "g").agg(F.count("*").alias("f"))
-        own = short.withColumn("gs", F.when(F.col("size") == 2, grams(F.col("text"), 2)).otherwise(grams(F.col("text"), 1)))
-        tokens = own.select("name", "form", "size", "need", "gs", F.length("text").alias("n"), F.explode("gs").alias("g")).join(freq, ["form", "size", "g"])
-        # grams that no long form has are the rarest of all: they use up places of the prefix
-        found = tokens.groupBy("name", "form", "size", "need", "gs", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
-        keep = F.size("o") - F.col("need") + 1
-        pre = found.filter(keep >= 1).select("name", "form", "size", "need", "gs", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x"))
-        hits = pre.select(F.col("name").alias("s"), "form", "size", "need", "gs", "n", F.col("x.g").alias("g")).join(index, ["form", "size", "g"])
-        return hits.filter((F.col("n") <= F.col("m")) & (F.size(F.array_intersect("gs", "gl")) >= F.col("need"))).select("s", "l")
-
-    forward = met(src, dst).select(F.col("s").alias("a"), F.col("l").alias("b"))
-    back = met(dst, src).select(F.col("l").alias("a"), F.col("s").alias("b"))
-    return forward.unionByName(back).distinct()
-
-
 def spec_scores(pairs: DataFrame) -> DataFrame:
     """(source_spec, target_spec) normalised distinct pairs with a score; the ratio runs only where nothing simpler decides."""
     s, t = F.col("source_spec"), F.col("target_spec")
@@ -138,54 +76,54 @@ def spec_scores(pairs: DataFrame) -> DataFrame:
     return decided.filter("spec_score IS NOT NULL").unionByName(rest)
 
 
-def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: DataFrame | None = None, name_threshold: float = 0.8) -> DataFrame:
+def _pair_scores(pairs: DataFrame, names: DataFrame, specs: DataFrame) -> DataFrame:
+    """name_score, alias_score and spec_score of given (a, source_spec, item_id); every name of the item counts."""
+    hits = cut(pairs.select("a", "source_spec", "item_id").distinct().join(names.withColumnRenamed("name", "b"), "item_id", "left"))
+    sims = hits.filter("b IS NOT NULL").select("a", "b").distinct().withColumn("sim", similarity("a", "b"))
+    hits = hits.join(sims, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    alias_specs = spec_scores(hits.filter("spec <> ''").select("source_spec", F.col("spec").alias("target_spec")).distinct()).withColumnsRenamed({"target_spec": "spec", "spec_score": "alias_spec_score"})
+    hits = hits.join(alias_specs, ["source_spec", "spec"], "left")
+    value = F.when(F.col("is_alias") & F.col("alias_spec_score").isNotNull(), F.col("sim") * R.ALIAS_NAME + F.col("alias_spec_score") * R.ALIAS_SPEC).otherwise(F.col("sim"))
+    best = cut(hits.groupBy("a", "source_spec", "item_id").agg(F.max(value).alias("name_score"), F.coalesce(F.max(F.when(F.col("is_alias"), value)), F.lit(0.0)).alias("alias_score")))
+    full = best.join(specs, "item_id")
+    return full.join(spec_scores(full.select("source_spec", "target_spec").distinct()), ["source_spec", "target_spec"]).drop("target_spec")
+
+
+def match_fuzzy(p: DataFrame, master: DataFrame, aliases: DataFrame, prefix: DataFrame | None = None, keep: int = 6, block_names: int = 20_000) -> DataFrame:
     """Scored candidates (probe_id, item_id, score, …) with score >= 0.35 for probes without an exact hit.
 
-    Complete for names whose similarity reaches ``name_threshold``: an automatic match (score .90) needs .82, since the
-    other parts add up to .45. Names that are less alike are candidates if half of the source's 3-grams meet."""
+    Per probe the ``keep`` best of all items by score, then item_id, as comparing every pair would give them, all its
+    prefix hits, and two items whose alias is sure where there are so many (a match by alias asks for one alone).
+    Ranks, ambiguity and status need no more."""
     m = active(master)
+    name = lambda c: F.coalesce(normalize_item_text(c), F.lit(""))
     names = (
-        m.select("item_id", normalize_item_text("item_name").alias("name"), F.lit(None).cast("string").alias("alias_spec"), F.lit(False).alias("is_alias"))
-        .unionByName(aliases.select("item_id", normalize_item_text("name").alias("name"), F.col("spec").alias("alias_spec"), F.lit(True).alias("is_alias")))
+        m.select("item_id", name("item_name").alias("name"), F.lit("").alias("spec"), F.lit(False).alias("is_alias"))
+        .unionByName(aliases.select("item_id", name("name").alias("name"), F.coalesce(normalize_spec("spec"), F.lit("")).alias("spec"), F.lit(True).alias("is_alias")))
         .filter("name <> ''").distinct()
     )
-    src = p.withColumns({"a": normalize_item_text("item_name"), "source_spec": normalize_spec("specification")})
-    texts = cut(src.select("a", "source_spec").distinct())  # prices and codes do not matter for names and specs
-    ours, theirs = texts.select(F.col("a").alias("name")).filter("name <> ''").distinct(), names.select("name").distinct()
-    pairs = near_name_pairs(ours, theirs, name_threshold).unionByName(blocked_name_pairs(ours, theirs)).distinct()
-    hits = texts.join(pairs, "a").join(names.withColumnRenamed("name", "b"), "b").select("a", "source_spec", "b", "item_id", "alias_spec", "is_alias", F.lit(True).alias("by_name"))
-    if prefix is not None:  # prefix hits are candidates whatever their names
-        extra = prefix.select("probe_id", "item_id").join(src.select("probe_id", "a", "source_spec"), "probe_id").select("a", "source_spec", "item_id").distinct()
-        more = extra.join(names.withColumnRenamed("name", "b"), "item_id").select("a", "source_spec", "b", "item_id", "alias_spec", "is_alias", F.lit(False).alias("by_name"))
-        hits = hits.unionByName(more)
-    hits = cut(hits)
-    scored_names = hits.select("a", "b").distinct().withColumn("sim", similarity("a", "b"))
-    hits = hits.join(scored_names, ["a", "b"]).withColumn("target_spec", normalize_spec("alias_spec"))
-    alias_specs = spec_scores(hits.filter("alias_spec IS NOT NULL AND alias_spec <> ''").select("source_spec", "target_spec").distinct())
-    hits = hits.join(alias_specs, ["source_spec", "target_spec"], "left")
-    value = F.when(F.col("is_alias") & F.col("spec_score").isNotNull(), F.col("sim") * 0.82 + F.col("spec_score") * 0.18).otherwise(F.col("sim"))
-    named = F.col("by_name")
-    best = hits.groupBy("a", "source_spec", "item_id").agg(
-        F.bool_or(named).alias("by_name"), F.max(F.when(named, value)).alias("named_score"), F.max(F.when(named & F.col("is_alias"), value)).alias("named_alias"),
-        F.max(value).alias("any_score"), F.max(F.when(F.col("is_alias"), value)).alias("any_alias"))
-    m_cols = m.select("item_id", "internal_item_code", F.col("item_name").alias("master_name"), F.col("spec").alias("master_spec"),
-                      F.col("unit").alias("master_unit"), "standard_price", normalize_spec("spec").alias("target_spec"))
-    best = cut(best)  # the similarity UDF must not run once per branch
-    full = best.join(m_cols, "item_id")
-    full = full.join(spec_scores(full.select("source_spec", "target_spec").distinct()), ["source_spec", "target_spec"]).join(src, ["a", "source_spec"])
-    if prefix is not None:
-        full = full.join(prefix.select("probe_id", "item_id", "floor"), ["probe_id", "item_id"], "left").filter(F.col("by_name") | F.col("floor").isNotNull())
-    else:
-        full = full.withColumn("floor", F.lit(None).cast("double"))
-    # a prefix hit is scored on all names of its master, another candidate on the names it met
-    pick = lambda kind: F.when(F.col("floor").isNotNull(), F.col(f"any_{kind}")).otherwise(F.col(f"named_{kind}"))
-    full = full.withColumns({"name_score": pick("score"), "alias_score": F.coalesce(pick("alias"), F.lit(0.0))})
+    lower = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     price = F.col("unit_price") if not N.is_text(p, "unit_price") else N.strict_decimal("unit_price")
-    raw = F.col("name_score") * 0.55 + F.col("spec_score") * 0.20 + N.unit_score("unit", "master_unit") * 0.15 + N.price_score(price, "standard_price") * 0.10
+    src = cut(p.withColumns({"a": name("item_name"), "source_spec": F.coalesce(normalize_spec("specification"), F.lit("")), "source_unit": lower("unit"), "source_price": price.cast("double")}))
+    specs = m.select("item_id", F.coalesce(normalize_spec("spec"), F.lit("")).alias("target_spec"))
+    known = names.groupBy("item_id").agg(F.collect_list(F.struct("name", "spec", "is_alias")).alias("names"))
+    items = m.select("item_id", lower("unit").alias("target_unit"), F.col("standard_price").cast("double").alias("target_price")).join(specs, "item_id").join(known, "item_id", "left")
+    found = R.top_items(src, items.withColumn("names", F.coalesce("names", F.array().cast("array<struct<name:string,spec:string,is_alias:boolean>>"))), keep, block_names)
+    same = F.col("s.source_price").eqNullSafe(F.col("f.source_price"))
+    for c in R.PROBE_KEYS[:3]:
+        same = same & (F.col(f"s.{c}") == F.col(f"f.{c}"))
+    found = src.alias("s").join(found.alias("f"), same).select("s.*", "f.item_id", "f.name_score", "f.alias_score", "f.spec_score", F.lit(None).cast("double").alias("floor"))
+    if prefix is not None:
+        pairs = prefix.select("probe_id", "item_id", "floor").join(src, "probe_id")
+        pairs = pairs.join(_pair_scores(pairs, names, specs), ["a", "source_spec", "item_id"]).select(*found.columns)
+        found = pairs.unionByName(found.join(prefix.select("probe_id", "item_id"), ["probe_id", "item_id"], "left_anti").select(*found.columns))
+    cols = m.select("item_id", "internal_item_code", F.col("item_name").alias("master_name"), F.col("spec").alias("master_spec"), F.col("unit").alias("master_unit"), "standard_price")
+    full = found.join(cols, "item_id")
+    raw = F.col("name_score") * R.NAME + F.col("spec_score") * R.SPEC + N.unit_score("unit", "master_unit") * R.UNIT + N.price_score(price, "standard_price") * R.PRICE
     out = full.withColumn("score", F.round(F.greatest(raw, F.coalesce("floor", F.lit(0.0))), 3)).filter(F.col("score") >= FLOOR)
     return out.select(
         "probe_id", "item_id", "internal_item_code", "master_name", "master_spec", "score", F.lit(False).alias("direct"), F.lit(False).alias("alias_code"),
-        (F.col("alias_score") >= 0.96).alias("alias_name"), F.col("floor").isNotNull().alias("prefix"))
+        (F.col("alias_score") >= R.SURE_ALIAS).alias("alias_name"), F.col("floor").isNotNull().alias("prefix"))
 
 
 def match_candidates(lines: DataFrame, master: DataFrame, alias: DataFrame) -> DataFrame:

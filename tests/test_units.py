@@ -18,6 +18,7 @@ from bizdocs.operators import dictionary as DI
 from bizdocs.operators import layout as Y
 from bizdocs.operators import line_items as L
 from bizdocs.operators import match as M
+from bizdocs.operators import rank_join
 from bizdocs.operators import merge as G
 from bizdocs.operators import ordering as O
 from bizdocs.operators import resolve as R
@@ -376,23 +377,75 @@ def test_window_ratio_skips_no_better_window():
         assert S.window_ratio(a, b) == max(SequenceMatcher(None, short, x).ratio() for x in every)
 
 
-def test_near_name_pairs_are_complete(spark):
+def brute_match(probes, master, aliases):
+    """Every pair scored by the rules, best first."""
+    out = {}
+    for q in probes:
+        scored = []
+        for m in master:
+            own = [(m["name"], None, False), *((n, sp, True) for i, n, sp in aliases if i == m["item_id"])]
+            best = alias = 0.0
+            for n, sp, is_alias in own:
+                value = S.name_similarity(q["name"], n)
+                if is_alias and sp:
+                    value = value * 0.82 + brute_spec(q["spec"], sp) * 0.18
+                best, alias = max(best, value), max(alias, value if is_alias else 0.0)
+            unit = 0.5 if not q["unit"] or not m["unit"] else float(q["unit"] == m["unit"])
+            price = 0.5
+            if q["price"] is not None and m["price"]:
+                off = round(abs(q["price"] - m["price"]), 6) / m["price"]
+                price = 1.0 if off <= 0.02 else 0.7 if off <= 0.10 else 0.0
+            raw = best * 0.55 + brute_spec(q["spec"], m["spec"]) * 0.20 + unit * 0.15 + price * 0.10
+            scored.append((-rank_join.rounded(raw), m["item_id"], alias >= 0.96))
+        out[q["id"]] = sorted(scored)
+    return out
+
+
+def brute_spec(s, t):
+    return 0.5 if not s or not t else 1.0 if s == t else 0.75 if s in t or t in s else S.ratio(s, t) * 0.80
+
+
+@pytest.mark.parametrize("block_names", [20_000, 25])
+def test_fuzzy_match_keeps_the_best_of_all_pairs(spark, block_names):
     rng = random.Random(11)
     parts = ["볼트", "와셔", "너트", "hex", "bolt", "m8", "sus304", "plate", "철판", "bearing", "6204", "a", "zinc", "플랜지", "스프링"]
-    base = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    make = lambda k=5: "".join(rng.choice(parts) for _ in range(rng.randrange(1, k)))
 
     def noisy(t):
         chars = list(t)
-        for _ in range(rng.randrange(3)):
+        for _ in range(rng.randrange(4)):
             chars[rng.randrange(len(chars))] = rng.choice("xol1볼불")
         return "".join(chars)
 
-    left = {noisy(t) for t in base} | {"galvanisedzincplatedhexboltm8grade88", "bearing6204", "볼트와셔너트", "ab", "가"}
-    right = {noisy(t) for t in base} | set(base[:20]) | {"hexboltm8", "bearlng62o4", "볼투와서너투", "abc", "가나다"}
-    frame = lambda names: spark.createDataFrame([(n,) for n in sorted(names)], "name string")
-    got = {(r["a"], r["b"]) for r in M.near_name_pairs(frame(left), frame(right)).collect()}
-    want = {(a, b) for a in left for b in right if S.name_similarity(a, b) >= 0.8}
-    assert want <= got and len(want) > 60
+    specs, units = ["", "m8x20", "m8x25", "m10", "304", "t12"], ["ea", "", "kg"]
+    master = [{"item_id": i, "name": make(), "spec": rng.choice(specs), "unit": rng.choice(units), "price": rng.choice([None, 0.0, 10.0, 10.15, 12.5, 99.99])} for i in range(90)]
+    master += [{"item_id": 90 + i, "name": n, "spec": "", "unit": "ea", "price": 10.0} for i, n in enumerate(["abcdefghij", "aXcdYfgZij", "ab", "가", "hexboltm8", "hexboltm8", "hexboltm8"])]
+    aliases = [(rng.randrange(90), make(3), rng.choice([None, "", "m8x20", "m10"])) for _ in range(40)] + [(i, "samealias", None) for i in (3, 4, 5, 90)]
+    probes = [{"id": str(i), "name": noisy(rng.choice(master)["name"]), "spec": rng.choice(specs), "unit": rng.choice(units), "price": rng.choice([None, 10.0, 9.9, 12.0])} for i in range(60)]
+    probes += [{"id": n, "name": n, "spec": "", "unit": "ea", "price": 10.0} for n in ("aXcdYfgZij", "abcXefgYij", "b", "samealias", "unlikeany", "galvanisedzincplatedhexboltm8grade88")] + [{"id": "none", "name": "", "spec": "m10", "unit": "kg", "price": 12.5}]
+    p = spark.createDataFrame([(q["id"], None, q["name"], q["spec"] or None, q["unit"] or None, q["price"]) for q in probes], "probe_id string, item_code string, item_name string, specification string, unit string, unit_price double")
+    m = spark.createDataFrame([(x["item_id"], f"C{x['item_id']}", x["name"], x["spec"], x["unit"], x["price"], True) for x in master] + [(500, "C500", "hexboltm8", "m8x20", "ea", 10.0, False)], "item_id long, internal_item_code string, item_name string, spec string, unit string, standard_price double, active boolean")
+    al = spark.createDataFrame(aliases, "item_id long, name string, spec string")
+    found = M.match_fuzzy(p, m, al, keep=6, block_names=block_names).collect()
+    texts = spark.createDataFrame([(t,) for t in {x["name"] for x in [*probes, *master]} | {x["spec"] for x in [*probes, *master]} | {x for _, n, t in aliases for x in (n, t or "")}], "t string")
+    normal = {r["t"]: (r["n"] or "", r["s"] or "") for r in texts.select("t", T.normalize_item_text("t").alias("n"), T.normalize_spec("t").alias("s")).collect()}
+    plain = lambda rows: [{**x, "name": normal[x["name"]][0], "spec": normal[x["spec"]][1]} for x in rows]
+    want = brute_match(plain(probes), plain(master), [(i, normal[n][0], normal[t or ""][1]) for i, n, t in aliases])
+    got = {}
+    for r in found:
+        got.setdefault(r["probe_id"], []).append((-r["score"], r["item_id"], r["alias_name"]))
+    for q in probes:
+        best = [x for x in want[q["id"]][:6] if -x[0] >= 0.35]
+        assert sorted(got.get(q["id"], []))[: len(best)] == best, q
+        assert min(sum(x[2] for x in got.get(q["id"], [])), 2) == min(sum(x[2] for x in want[q["id"]] if -x[0] >= 0.35), 2), q
+
+
+def test_prefix_hits_keep_their_floor(spark):
+    p = spark.createDataFrame([("1", "abcdefgh", "bolt", None, "ea", 1.0)], "probe_id string, item_code string, item_name string, specification string, unit string, unit_price double")
+    m = spark.createDataFrame([(i, f"abcdefgh{i}", n, None, "ea", 1.0, True) for i, n in enumerate(["bolt", "wholly different", "nut"])], "item_id long, internal_item_code string, item_name string, spec string, unit string, standard_price double, active boolean")
+    none = spark.createDataFrame([], "item_id long, name string, spec string")
+    got = {r["item_id"]: (r["score"], r["prefix"]) for r in M.match_fuzzy(p, m, none, M.match_prefix_code(p, m), keep=1).collect()}
+    assert got[0] == (0.9, True) and got[1][0] >= 0.7 and got[2][0] >= 0.7 and all(x[1] for x in got.values())
 
 
 def test_mapping_lines_replace_the_documents_own(spark):
