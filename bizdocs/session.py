@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, so it is computed once and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate that several branches read, so it is computed once and survives lost executors.
+
+    It is a Parquet table in the shared folder: compressed, read with column pruning and filters, and written by one
+    run of the plan, where an RDD checkpoint runs it twice. Rows of a type that Parquet lacks are checkpointed.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid4().hex}"
+    if "void" in df.schema.simpleString():
+        return df.checkpoint()
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -188,22 +188,22 @@ def test_unparsable_total_counts_as_mismatch(spark):
 
 # --- merging ---------------------------------------------------------------------
 
-def test_pair_items_is_the_greedy_pairing(spark):
+@pytest.mark.parametrize("documents,size,names", [(12, 5, ["bolt", "bolt m8", "nut", "nut m8", "pin"]), (2, 120, ["bolt", "bolt m8", "lt", "nut", "n", None, "pin", "pinion", "m8", *(f"part{i}" for i in range(40))])])
+def test_pair_items_is_the_greedy_pairing(spark, documents, size, names):
     rng = random.Random(3)
-    names = ["bolt", "bolt m8", "nut", "nut m8", "pin"]
     schema = "document_id int, line_index long, item_name string, item_code string, specification string, unit string"
-    make = lambda: [(d, i, rng.choice(names), rng.choice([None, None, "A1", "B2"]), None, "EA") for d in range(12) for i in range(5)]
+    make = lambda: [(d, i, rng.choice(names), rng.choice([None, None, "A1", "B2"]), None, "EA") for d in range(documents) for i in range(size)]
     p_rows, s_rows = make(), make()
     got = {(r["document_id"], r["line_index"], r["secondary_index"]) for r in G.pair_items(spark.createDataFrame(p_rows, schema), spark.createDataFrame(s_rows, schema)).collect()}
     squeeze = lambda v: "".join(ch for ch in (v or "").lower() if ch not in " _/-")
-    key = lambda r: squeeze(r[3]) if r[3] else "|".join([squeeze(r[2]), squeeze(r[4]), squeeze(r[5])]).replace("||", "|")
+    key = lambda r: squeeze(r[3]) if r[3] else "|".join([x for x in (squeeze(r[2]), squeeze(r[4]), squeeze(r[5])) if x])
     want = set()
-    for d in range(12):
+    for d in range(documents):
         used = set()
         sec = [r for r in s_rows if r[0] == d]
         for p in (r for r in p_rows if r[0] == d):
             hit = next((s for s in sec if s[1] not in used and key(s) == key(p)), None)
-            hit = hit or next((s for s in sec if s[1] not in used and (squeeze(p[2]) in squeeze(s[2]) or squeeze(s[2]) in squeeze(p[2]))), None)
+            hit = hit or next((s for s in sec if p[2] and s[2] and s[1] not in used and (squeeze(p[2]) in squeeze(s[2]) or squeeze(s[2]) in squeeze(p[2]))), None)
             if hit:
                 used.add(hit[1])
                 want.add((d, p[1], hit[1]))
