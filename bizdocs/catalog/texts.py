@@ -282,7 +282,7 @@ _IMP = f"""CASE WHEN contains(v, ':') AND length(v) <= 100 THEN 16 ELSE 0 END +
 
 
 @query("wn21_important_lines", sql(f"""SELECT doc_id, string_agg(v, '|' ORDER BY r) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sc DESC, length(v), k) AS r FROM (SELECT *, {_IMP} AS sc FROM (
- SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM (SELECT doc_id, v, i, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY i) AS d FROM tln) WHERE d = 1) WHERE k < 40) WHERE sc > 6 AND length(v) >= 4) WHERE r <= 6 GROUP BY doc_id""", TLN))
+ SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM (SELECT doc_id, v, i, row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY i) AS d FROM tln) WHERE d = 1)) WHERE sc > 6 AND length(v) >= 4) WHERE r <= 6 GROUP BY doc_id""", TLN))
 def _(spark, sf):
     out = V.table(spark, sf, "documents").select("doc_id", X.important_lines("text").alias("lines"))
     return out.filter(F.size("lines") > 0)
@@ -313,20 +313,20 @@ PAGES = f"pg AS (SELECT *, {_D} FROM lnp WHERE item_name IS NOT NULL AND quantit
 
 
 def grouped(spark, sf) -> DataFrame:
-    return Y.group_rows_by_y(tokens(spark, sf))
+    return Y.group_rows_exact(tokens(spark, sf))
 
 
 @query("wn08_group_rows_by_y", sql("SELECT doc_id, unnest([1, 2, 3])::BIGINT AS row_index, unnest([4, 4, 2])::BIGINT AS n FROM pg", LNP, PAGES))
 def _(spark, sf):
-    return grouped(spark, sf).groupBy("doc_id", "row_index").agg(F.count("*").alias("n"))
+    return Y.group_rows_by_y(tokens(spark, sf)).groupBy("doc_id", "row_index").agg(F.count("*").alias("n"))
 
 
-@query("wn08_group_rows_exact")
+@query("wn08_group_rows_exact", sql("SELECT doc_id, unnest([1, 2, 3])::BIGINT AS row_index, unnest([4, 4, 2])::BIGINT AS n FROM pg", LNP, PAGES))
 def _(spark, sf):
     return Y.group_rows_exact(tokens(spark, sf)).groupBy("doc_id", "row_index").agg(F.count("*").alias("n"))
 
 
-@query("wn09_group_rows_fixed")
+@query("wn09_group_rows_fixed", sql("SELECT doc_id, unnest([1, 2, 3])::BIGINT AS row_index, unnest([4, 4, 2])::BIGINT AS n FROM pg", LNP, PAGES))
 def _(spark, sf):
     return Y.group_rows_exact(tokens(spark, sf), fixed=8.0).groupBy("doc_id", "row_index").agg(F.count("*").alias("n"))
 

@@ -6,9 +6,10 @@ spill like any other, and column lists travel as short arrays instead of join ro
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import deque
 from functools import reduce
-from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,6 +34,7 @@ NUMBER_FIELDS = ["quantity", "unit_price", "supply_amount", "tax_amount", "line_
 # ------------------------------------------------------------------------------
 
 PAGE = ["doc_id", "page"]
+LEAST_TOLERANCE, MOST_TOLERANCE = 8.0, 30.0  # vertical, between a token and its row
 
 
 def compact(col) -> Column:
@@ -56,22 +58,51 @@ def group_rows_by_y(tokens: DataFrame) -> DataFrame:
     return t.withColumn("_new", new).withColumn("row_index", F.sum("_new").over(order).cast("int")).drop("_new", "_tol")
 
 
+class RunningMedian:
+    """Median of the values so far: a heap of the lower half (negated) and one of the upper half."""
+
+    def __init__(self):
+        self.low: list[float] = []
+        self.high: list[float] = []
+
+    def add(self, value: float) -> None:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def __bool__(self) -> bool:
+        return bool(self.low)
+
+    def value(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
 def _page_rows(ys: list[float], heights: list[float], fixed: float | None) -> list[int]:
-    """Row numbers of one page's tokens, given in reading order."""
-    sums, counts, label, seen = [], [], [], []
-    for y, h in zip(ys, heights):
-        tol = fixed if fixed is not None else max(8.0, min(30.0, 0.75 * (median(seen) if seen else h)))
-        at = next((r for r in range(len(sums)) if abs(sums[r] / counts[r] - y) <= tol), None)
-        if at is None:
-            at = len(sums)
-            sums.append(0.0)
-            counts.append(0)
-        sums[at] += y
-        counts[at] += 1
-        label.append(at)
-        seen.append(h)
-    place = {r: n for n, r in enumerate(sorted(range(len(sums)), key=lambda r: sums[r] / counts[r]), start=1)}
-    return [place[r] for r in label]
+    """Row numbers of one page's tokens, given in reading order.
+
+    Centres don't fall in reading order, so a row whose mean lies further above than any tolerance allows is closed for
+    good; the open ones are those of the last few lines, whatever the page holds."""
+    reach = MOST_TOLERANCE if fixed is None else fixed
+    total, count, row_of, median = [], [], [], RunningMedian()
+    mean = lambda row: total[row] / count[row]
+    opened: deque[int] = deque()  # by age
+    for y, height in zip(ys, heights, strict=True):
+        near = reach
+        if fixed is None:
+            near = min(MOST_TOLERANCE, max(LEAST_TOLERANCE, 0.75 * (median.value() if median else height)))
+            median.add(height)
+        opened = deque(row for row in opened if y - mean(row) <= reach)
+        row = next((row for row in opened if abs(y - mean(row)) <= near), None)
+        if row is None:
+            row = len(total)
+            total.append(0.0)
+            count.append(0)
+            opened.append(row)
+        total[row] += y
+        count[row] += 1
+        row_of.append(row)
+    number = {row: n for n, row in enumerate(sorted(range(len(total)), key=mean), start=1)}
+    return [number[row] for row in row_of]
 
 
 def group_rows_exact(tokens: DataFrame, fixed: float | None = None) -> DataFrame:
@@ -140,14 +171,25 @@ def column_boundaries(columns: DataFrame) -> DataFrame:
     return columns.withColumns({"_l": left, "_r": right}).withColumns({"x_min": F.col("_l"), "x_max": F.col("_r")}).drop("_l", "_r")
 
 
-def infer_columns(tokens: DataFrame) -> DataFrame:
-    """Columns from horizontal gaps above 55 between sorted token centres; clusters of one are dropped."""
-    w = Window.partitionBy("doc_id").orderBy("x_center", "y_center", "text")
-    t = centers(tokens).withColumn("_new", F.when(F.col("x_center") - F.lag("x_center").over(w) <= 55, 0).otherwise(1))
-    t = t.withColumn("_c", F.sum("_new").over(w))
-    out = t.groupBy("doc_id", "_c").agg(F.count("*").alias("n"), F.avg("x_center").alias("x_center"), (F.min("x_center") - 28).alias("x_min"), (F.max("x_center") + 28).alias("x_max"))
-    return out.filter("n >= 2").select("doc_id", F.concat(F.lit("unknown_"), F.col("_c").cast("string")).alias("name"), "x_min", "x_max", "x_center",
-                                       F.least(F.lit(0.75), 0.35 + F.col("n") / 20).alias("confidence"))
+def infer_columns(tokens: DataFrame, gap: float = 55.0) -> DataFrame:
+    """Columns from horizontal gaps above 55 between sorted token centres; clusters of one are dropped.
+
+    Centres in one stretch of ``gap`` belong together, so a document's tokens shrink to the least, greatest, count and sum
+    per stretch, with partial results per task, and neighbouring stretches join when their edges are near enough: no
+    sort of the tokens. A page is only so many stretches wide."""
+    stretch = F.floor(F.col("x_center") / gap)
+    parts = centers(tokens).groupBy("doc_id", stretch.alias("s")).agg(F.min("x_center").alias("lo"), F.max("x_center").alias("hi"), F.count("*").alias("n"), F.sum("x_center").alias("sum"))
+    parts = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "n", "sum"))).alias("parts"))
+
+    def join(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        both = F.struct(last["lo"].alias("lo"), part["hi"].alias("hi"), (last["n"] + part["n"]).alias("n"), (last["sum"] + part["sum"]).alias("sum"))
+        return F.when(part["lo"] - last["hi"] <= gap, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(part)))
+
+    clusters = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, 1), join)
+    out = parts.select("doc_id", F.posexplode(clusters).alias("at", "c")).filter("c.n >= 2")
+    return out.select("doc_id", F.concat(F.lit("unknown_"), (F.col("at") + 1).cast("string")).alias("name"), (F.col("c.lo") - 28).alias("x_min"), (F.col("c.hi") + 28).alias("x_max"),
+                      (F.col("c.sum") / F.col("c.n")).alias("x_center"), F.least(F.lit(0.75), 0.35 + F.col("c.n") / 20).alias("confidence"))
 
 
 def assign_columns(tokens: DataFrame, columns: DataFrame) -> DataFrame:

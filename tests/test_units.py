@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import statistics
+import time
 from decimal import Decimal
 from difflib import SequenceMatcher
 
@@ -229,6 +231,57 @@ def test_running_mean_differs_from_gaps_on_a_slope(spark):
     assert {r["text"]: r["row_index"] for r in Y.group_rows_exact(t, fixed=8.0).collect()} == {"0": 1, "1": 1, "2": 2, "3": 2}
 
 
+def brute_rows(ys, heights, fixed):
+    """The rule as it is stated: all rows in order of age, the median of all heights so far."""
+    rows, seen, labels = [], [], []
+    for y, h in zip(ys, heights, strict=True):
+        tolerance = fixed if fixed is not None else max(8.0, min(30.0, 0.75 * (statistics.median(seen) if seen else h)))
+        row = next((r for r in rows if abs(sum(r) / len(r) - y) <= tolerance), None)
+        if row is None:
+            rows.append(row := [])
+        row.append(y)
+        labels.append(row)
+        seen.append(h)
+    order = sorted(range(len(rows)), key=lambda i: sum(rows[i]) / len(rows[i]))
+    return [next(n for n, i in enumerate(order, 1) if rows[i] is r) for r in labels]
+
+
+@pytest.mark.parametrize("fixed", [None, 8.0, 3.0])
+def test_running_rows_equal_the_rule(fixed):
+    rng = random.Random(5)
+    for n in (1, 2, 40, 300):
+        for spread in (20, 400, 3000):
+            ys = sorted(round(rng.uniform(0, spread), 1) for _ in range(n))
+            heights = [rng.choice([1.0, 9.0, 12.0, 30.0, 60.0]) for _ in ys]
+            assert Y._page_rows(ys, heights, fixed) == brute_rows(ys, heights, fixed)
+
+
+def test_rows_of_a_crowded_page_take_seconds():
+    start = time.perf_counter()
+    assert max(Y._page_rows([i * 0.5 for i in range(100_000)], [12.0] * 100_000, None)) > 1000
+    assert time.perf_counter() - start < 10
+
+
+def test_columns_are_the_clusters_of_sorted_centres(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for d in range(30):
+        xs = sorted(round(rng.uniform(-200, 2500), 1) for _ in range(rng.randrange(1, 40)))
+        xs += [xs[-1] + 55, xs[-1] + 110.25]  # exactly the gap, and above it
+        clusters = []
+        for x in xs:
+            if clusters and x - clusters[-1][-1] <= 55:
+                clusters[-1].append(x)
+            else:
+                clusters.append([x])
+        want |= {(f"d{d}", f"unknown_{i}", round(min(c) - 28, 6), round(max(c) + 28, 6), round(sum(c) / len(c), 6), round(min(0.75, 0.35 + len(c) / 20), 6)) for i, c in enumerate(clusters, 1) if len(c) > 1}
+        rows += [(f"d{d}", 1, "t", 0.9, x - 5, 0.0, x + 5, 10.0) for x in xs]
+    rng.shuffle(rows)
+    found = Y.infer_columns(spark.createDataFrame(rows, TOKEN).repartition(4))
+    assert {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in found.select("doc_id", "name", "x_min", "x_max", "x_center", "confidence").collect()} == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # --- text ------------------------------------------------------------------------
 
 SLIP = "발주서\n발주번호: PO-2024-0001\n발행일: 2024.03.05  납기일: 2024-04-01\n품목명, 규격, 수량, 단가\n볼트, M8, 10, 5\n너트, M8, 20, 3\n합계\n1,100원\n"
