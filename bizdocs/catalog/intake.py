@@ -19,6 +19,7 @@ from bizdocs.session import checkpoint_dir
 from bizdocs.sources import readers as S
 from bizdocs.sources import views as V
 from bizdocs.streaming import jobs as J
+from bizdocs.streaming import learning as L
 
 
 def uploaded(spark, sf) -> DataFrame:
@@ -162,10 +163,22 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+def stream_learned(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Feedback arrives in four files, one per micro-batch."""
+    root = scratch(spark, "learn")
+    feedback(spark, sf).repartition(4).write.parquet(f"{root}/in")
+    source = J.read_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, files_per_trigger=1)
+    L.stream_learn(source, dict_entries(spark, sf), dict_alias(spark, sf), f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return L.learned(dict_entries(spark, sf), dict_alias(spark, sf), L.read_changes(spark, f"{root}/out"))
+
+
 @query("sr05_stream_learn", sql("""SELECT dictionary_type, canonical_value, bool_or(active) AS active FROM (SELECT dictionary_type, canonical_value, active FROM ent UNION ALL SELECT DISTINCT dictionary_type, canonical_value, true FROM fb) GROUP BY ALL""", DOCS, ENT, FB))
 def _(spark, sf):
-    root = scratch(spark, "learn")
-    feedback(spark, sf).write.parquet(f"{root}/in")
-    source = J.read_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, files_per_trigger=1000)
-    J.stream_learn(source, dict_entries(spark, sf), dict_alias(spark, sf), f"{root}/dict", f"{root}/ckpt").awaitTermination()
-    return J.current(spark, f"{root}/dict/entries").select("dictionary_type", "canonical_value", "active")
+    entries, _ = stream_learned(spark, sf)
+    return entries.select("dictionary_type", "canonical_value", "active")
+
+
+@query("sr05_stream_aliases", sql("""SELECT alias_value, active FROM eal UNION ALL SELECT alias_value, true FROM (SELECT DISTINCT dictionary_type, canonical_value, alias_value FROM fb)""", DOCS, ENT, FB))
+def _(spark, sf):
+    _, aliases = stream_learned(spark, sf)
+    return aliases.select("alias_value", "active")
