@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from bizdocs.catalog.twins import DOCS, LNP, MASTER, sql
 from bizdocs.functions import text as T
 from bizdocs.operators import browse as B
 from bizdocs.operators import resolve as R
+from bizdocs.operators.order_index import indexed_page, page_after, write_order_index
+from bizdocs.session import checkpoint_dir
 from bizdocs.sources import views as V
 
 TODAY = dt.date(1998, 1, 15)
@@ -232,6 +236,20 @@ _page("st01_page_asc", "SELECT document_id, CAST(extracted_date AS VARCHAR) AS k
       sort_by="extracted_date", order="asc", page=2)
 
 
+@query("st01_indexed_page", d("SELECT document_id, CAST(extracted_amount AS VARCHAR) AS k FROM docs ORDER BY extracted_amount DESC NULLS FIRST, document_id LIMIT 25 OFFSET 10000"))
+def _(spark, sf):
+    """Page 401 through an order index."""
+    path = f"{checkpoint_dir(spark)}/order-{uuid4().hex}"
+    docs = V.documents(spark, sf).select("document_id", "extracted_amount")
+    write_order_index(docs, path, "extracted_amount", rows_per_part=4096)
+    return indexed_page(spark, path, docs.schema, "extracted_amount", page=401).select("document_id", F.col("extracted_amount").cast("string").alias("k"))
+
+
+@query("st01_page_after", d("SELECT document_id, CAST(extracted_amount AS VARCHAR) AS k FROM docs WHERE extracted_amount < 150000 OR (extracted_amount = 150000 AND document_id > 0) ORDER BY extracted_amount DESC NULLS FIRST, document_id LIMIT 25"))
+def _(spark, sf):
+    return page_after(V.documents(spark, sf), "extracted_amount", "desc", Decimal(150000), 0).select("document_id", F.col("extracted_amount").cast("string").alias("k"))
+
+
 @query("st01_total", d("SELECT count(*) AS total FROM docs WHERE processing_status = 'ready'"))
 def _(spark, sf):
     return B.total(B.list_documents(V.documents(spark, sf), processing_status="ready"))
