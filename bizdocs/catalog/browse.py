@@ -14,6 +14,7 @@ from bizdocs.functions import text as T
 from bizdocs.operators import browse as B
 from bizdocs.operators import resolve as R
 from bizdocs.operators.order_index import indexed_page, page_after, write_order_index
+from bizdocs.operators.search_index import indexed_search, write_search_index
 from bizdocs.session import checkpoint_dir
 from bizdocs.sources import views as V
 
@@ -50,13 +51,29 @@ def _(spark, sf):
         F.count("*").alias("n"), F.count("extracted_date").alias("dated"), F.sum("extracted_amount").alias("amount"))
 
 
-@query("fl01_search", sql("""SELECT document_id FROM docs WHERE
+SEARCHED = sql("""SELECT document_id FROM docs WHERE
  (title ILIKE '%machinery%' OR vendor_name ILIKE '%machinery%' OR customer_name ILIKE '%machinery%' OR document_number ILIKE '%machinery%' OR original_filename ILIKE '%machinery%' OR category ILIKE '%machinery%' OR merchant_name ILIKE '%machinery%'
    OR document_id IN (SELECT document_id FROM lnp WHERE item_name ILIKE '%machinery%'))
- AND (title ILIKE '%red w%t%' OR document_id IN (SELECT document_id FROM lnp WHERE item_name ILIKE '%red_widget%' OR item_code ILIKE '%red_widget%' OR specification ILIKE '%red_widget%'))""", DOCS, LNP))
+ AND (title ILIKE '%red w%t%' OR document_id IN (SELECT document_id FROM lnp WHERE item_name ILIKE '%red_widget%' OR item_code ILIKE '%red_widget%' OR specification ILIKE '%red_widget%'))""", DOCS, LNP)
+
+
+def _searched(spark, sf):
+    return V.documents(spark, sf), V.lines(spark, sf, with_part=True).select("document_id", "line_index", "item_name", "item_code", "specification")
+
+
+@query("fl01_search", SEARCHED)
+def _(spark, sf):
+    docs, lines = _searched(spark, sf)
+    return B.search(docs, "machinery red_widget", lines).select("document_id")
+
+
+@query("fl01_indexed_search", SEARCHED)
 def _(spark, sf):
-    lines = V.lines(spark, sf, with_part=True).select("document_id", "line_index", "item_name", "item_code", "specification")
-    return B.search(V.documents(spark, sf), "machinery red_widget", lines).select("document_id")
+    """The same through an index of all documents and lines."""
+    path = f"{checkpoint_dir(spark)}/search-{uuid4().hex}"
+    docs, lines = _searched(spark, sf)
+    write_search_index(docs, path, lines)
+    return indexed_search(spark, path, "machinery red_widget").select("document_id")
 
 
 @query("fl02_list_documents", d("""SELECT document_id, CAST(extracted_amount AS DOUBLE) AS extracted_amount FROM docs WHERE document_type = 'invoice' AND processing_status = 'confirmed'
