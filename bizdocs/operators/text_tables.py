@@ -312,18 +312,28 @@ def key_values(df: DataFrame, key: str, col: str = "text", longest: int | None =
 
 
 def carry_sections(df: DataFrame, key: str, col: str = "text", longest_key: int | None = None, longest_value: int | None = None) -> DataFrame:
-    """A section marker applies to the following party keys until the next marker (a fold over the document's lines).
-    Lengths as in ``key_values``."""
-    init = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<section:string,key:string,value:string>>").alias("out"))
-    marker = lambda v: F.nullif(F.regexp_extract(v, f"^({'|'.join(sorted(SECTION_MARKERS, key=len, reverse=True))})(?:\\s|$|[:：])", 1), F.lit(""))
+    """A section marker applies to the following party keys until the next marker. Lengths as in ``key_values``.
 
-    def step(acc, v):
-        section = F.coalesce(marker(v), acc["section"])
-        rows = F.transform(line_key_values(v, longest_key, longest_value), lambda p: F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value")))
-        return F.struct(section.alias("section"), F.concat(acc["out"], rows).alias("out"))
+    A segmented scan: the places of the markers give the lengths of their stretches, so a text costs time in its lines."""
+    marked = f"^({'|'.join(sorted(SECTION_MARKERS, key=len, reverse=True))})(?:\\s|$|[:：])"
+    marker = lambda v: F.nullif(F.regexp_extract(v, marked, 1), F.lit(""))
+
+    def sections(lines):
+        places = F.filter(F.transform(lines, lambda v, i: F.struct(marker(v).alias("section"), i.alias("at"))), lambda m: m["section"].isNotNull())
+
+        def stretches(ms):
+            end = lambda k: F.coalesce(F.get(ms, k + 1)["at"], F.size(lines))
+            filled = F.transform(ms, lambda m, k: F.array_repeat(m["section"], end(k) - m["at"]))
+            lead = F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get(ms, F.lit(0))["at"], F.size(lines)))
+            return F.concat(lead, F.flatten(filled))
+
+        return let(places, stretches)
 
-    folded = F.aggregate(text_lines(col), init, step, lambda acc: acc["out"])
-    rows = df.select(key, F.posexplode(folded).alias("pos", "p"))
+    def pairs(v, section):
+        return F.transform(line_key_values(v, longest_key, longest_value), lambda p: F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value")))
+
+    read = let(text_lines(col), lambda lines: F.flatten(F.zip_with(lines, sections(lines), pairs)))
+    rows = df.select(key, F.posexplode(read).alias("pos", "p"))
     return rows.select(key, "pos", "p.section", F.concat_ws(" ", "p.section", "p.key").alias("key"), "p.value")
 
 
@@ -756,29 +766,48 @@ def missing_columns(headers, required: list[str]) -> Column:
 
 
 def segment_items(df: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """Labelled item blocks: a new item starts at each item-name label once the current one has an identity;
-    unlabelled lines right after the name extend it. A fold over the document's own lines."""
-    item = "struct<item_name:string,item_code:string,specification:string,quantity:string,unit:string,unit_price:string,supply_amount:string,tax_amount:string,line_total:string>"
+    """Labelled item blocks: a new item starts at each item-name label once the current one has an identity (a name or a
+    code that its last label did not leave empty); unlabelled lines right after the name extend it.
+
+    An identity only depends on the lines since the last item-name label, because such a label is reached without a code or
+    starts anew. So the text is cut at the item-name labels, a stretch with an identity ends an item, and every item is read
+    from its own lines: time in the lines, no array that grows."""
     fields = list(LINE_LABELS)
-    blank = F.struct(*[F.lit(None).cast("string").alias(f) for f in fields])
-    init = F.struct(blank.alias("cur"), F.lit(False).alias("seen"), F.lit(None).cast("string").alias("last"), F.array().cast(f"array<{item}>").alias("out"))
+    labelled = r"^\s*([^:：|]+?)\s*[:：]\s*(.*?)\s*$"
     ended = r"(?i)(\[item table|공급가액\s*합계|세액\s*합계|총\s*합계|grand total|invoice total|subtotal total|vat total)"
 
-    def step(acc, v):
-        label, value = F.regexp_extract(v, r"^\s*([^:：|]+?)\s*[:：]\s*(.*?)\s*$", 1), F.trim(F.regexp_extract(v, r"^\s*([^:：|]+?)\s*[:：]\s*(.*?)\s*$", 2))
-        field = F.when(label != "", line_field(label))
-        extend = field.isNull() & (label == "") & (acc["last"] == "item_name") & acc["cur"]["item_name"].isNotNull() & ~v.rlike(ended)
-        extend = F.coalesce(extend, F.lit(False))
-        has_id = acc["cur"]["item_name"].isNotNull() | acc["cur"]["item_code"].isNotNull()
-        new = F.coalesce((field == "item_name") & acc["seen"] & has_id, F.lit(False))
-        base = lambda f: F.when(new, F.lit(None).cast("string")).otherwise(acc["cur"][f])
-        cur = F.struct(*[
-            F.when(F.coalesce(field == f, F.lit(False)), F.nullif(value, F.lit(""))).when(extend & F.lit(f == "item_name"), F.concat_ws(" ", acc["cur"]["item_name"], F.trim(v))).otherwise(base(f)).alias(f) for f in fields])
-        return F.struct(cur.alias("cur"), (acc["seen"] | field.isNotNull()).alias("seen"), F.when(field.isNotNull(), field).otherwise(acc["last"]).alias("last"),
-                        F.when(new, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
-
-    done = lambda acc: F.when(acc["cur"]["item_name"].isNotNull() | acc["cur"]["item_code"].isNotNull(), F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-    return df.select(key, F.posexplode(F.aggregate(text_lines(col), init, step, done)).alias("item_no", "i")).select(key, "item_no", "i.*")
+    def read(v):
+        label = F.regexp_extract(v, labelled, 1)
+        value = F.nullif(F.trim(F.regexp_extract(v, labelled, 2)), F.lit(""))
+        return F.struct(F.when(label != "", line_field(label)).alias("field"), value.alias("value"), F.when((label == "") & ~v.rlike(ended), F.trim(v)).alias("more"))
+
+    last = lambda rows, field: F.try_element_at(F.filter(rows, lambda r: r["field"] == field), F.lit(-1))["value"]
+    known = lambda rows: last(rows, "item_name").isNotNull() | last(rows, "item_code").isNotNull()
+    part = lambda rows, starts, k: F.slice(rows, F.get(starts, k) + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - F.get(starts, k))
+    zero = F.array(F.lit(0))
+
+    def stretches(rows):  # the places of the item-name labels, the beginning before them
+        at = F.filter(F.transform(rows, lambda r, i: F.when(r["field"] == "item_name", i)), lambda i: i.isNotNull())
+        return F.concat(zero, at)
+
+    def starts(rows, cuts):  # where items begin
+        new = F.transform(cuts, lambda at, k: F.when((k > 0) & known(part(rows, cuts, k - 1)), at))
+        return F.concat(zero, F.filter(new, lambda at: at.isNotNull()))
+
+    def name(rows):  # the last item-name label and the unlabelled lines up to the next field
+        def extended(tail):
+            stop = F.array_min(F.filter(F.transform(tail, lambda r, i: F.when(r["field"].isNotNull() & (i > 0), i)), lambda i: i.isNotNull()))
+            more = F.filter(F.transform(F.slice(tail, 1, F.coalesce(stop, F.size(tail))), lambda r: r["more"]), lambda m: m.isNotNull())
+            first = F.get(tail, F.lit(0))["value"]
+            return F.when(first.isNotNull(), F.array_join(F.concat(F.array(first), more), " "))
+
+        at = F.array_max(F.filter(F.transform(rows, lambda r, i: F.when(r["field"] == "item_name", i)), lambda i: i.isNotNull()))
+        return let(at, lambda a: F.when(a.isNotNull(), let(F.slice(rows, F.coalesce(a, F.lit(0)) + 1, F.size(rows)), extended)))
+
+    item = lambda rows: F.struct(*[(name(rows) if f == "item_name" else last(rows, f)).alias(f) for f in fields])
+    items = lambda rows, at: F.filter(F.transform(at, lambda _, k: let(part(rows, at, k), item)), lambda i: i["item_name"].isNotNull() | i["item_code"].isNotNull())
+    found = let(F.transform(text_lines(col), read), lambda rows: let(let(stretches(rows), lambda cuts: starts(rows, cuts)), lambda at: items(rows, at)))
+    return df.select(key, F.posexplode(found).alias("item_no", "i")).select(key, "item_no", "i.*")
 
 
 # --- ranking lines ---------------------------------------------------------------------
