@@ -17,6 +17,7 @@ from bizdocs.operators.order_index import indexed_page, page_after, write_order_
 from bizdocs.operators.search_index import indexed_search, write_search_index
 from bizdocs.session import checkpoint_dir
 from bizdocs.sources import views as V
+from bizdocs.sources.documents import check_documents, quarantine
 
 TODAY = dt.date(1998, 1, 15)
 
@@ -51,6 +52,29 @@ def _(spark, sf):
         F.count("*").alias("n"), F.count("extracted_date").alias("dated"), F.sum("extracted_amount").alias("amount"))
 
 
+@query("sc01_scan_documents", """WITH raw AS (SELECT *, array_to_string(list_filter([CASE WHEN day(o_orderdate) = 31 THEN 'original_filename: missing' END,
+  CASE WHEN month(o_orderdate) = 3 THEN 'mime_type: too long' END, CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'document_type: unknown value' END,
+  CASE WHEN day(o_orderdate) = 7 THEN 'extracted_amount: wrong type' END, CASE WHEN o_orderstatus = 'P' THEN 'tags: wrong type' END], lambda x: x IS NOT NULL), '|') AS reasons FROM orders)
+ SELECT o_orderkey AS document_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'purchase_order' WHEN '2-HIGH' THEN 'quotation' ELSE 'general_document' END AS document_type,
+  CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS amount, o_orderpriority || '|b' AS tags, CASE WHEN o_orderstatus = 'F' THEN 'confirmed' ELSE 'uploaded' END AS status,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, '[]' AS line_items, '' AS reasons FROM raw WHERE reasons = ''
+ UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, reasons FROM raw WHERE reasons <> ''""")
+def _(spark, sf):
+    """A raw table with bad values, missing and extra columns through the declared scan: good and rejected rows."""
+    raw = V.table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS Document_Id", "CASE WHEN day(o_orderdate) <> 31 THEN concat('f', o_orderkey, '.pdf') END AS original_filename", "'/store' AS stored_file_path",
+        "CASE WHEN month(o_orderdate) = 3 THEN repeat('m', 101) ELSE 'application/pdf' END AS mime_type",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'purchase_order' WHEN '2-HIGH' THEN 'quotation' WHEN '3-MEDIUM' THEN NULL ELSE o_orderpriority END AS document_type",
+        "CASE WHEN day(o_orderdate) = 7 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS extracted_amount",
+        "CASE WHEN o_orderstatus = 'F' THEN 'confirmed' END AS processing_status", "CASE WHEN o_orderstatus = 'P' THEN 'no list' ELSE to_json(array(o_orderpriority, 'b')) END AS tags",
+        "o_orderdate AS extracted_date", "o_custkey AS surprise")
+    rows, rejected, _ = quarantine(check_documents(raw), f"{checkpoint_dir(spark)}/scan-{uuid4().hex}")
+    good = rows.select(
+        "document_id", "document_type", F.col("extracted_amount").alias("amount"), F.array_join("tags", "|").alias("tags"), F.col("processing_status").alias("status"),
+        F.col("extracted_date").cast("string").alias("day"), "line_items", F.lit("").alias("reasons"))
+    return good.unionByName(rejected.select("document_id", F.array_join("reasons", "|").alias("reasons")), allowMissingColumns=True)
+
+
 SEARCHED = sql("""SELECT document_id FROM docs WHERE
  (title ILIKE '%machinery%' OR vendor_name ILIKE '%machinery%' OR customer_name ILIKE '%machinery%' OR document_number ILIKE '%machinery%' OR original_filename ILIKE '%machinery%' OR category ILIKE '%machinery%' OR merchant_name ILIKE '%machinery%'
    OR document_id IN (SELECT document_id FROM lnp WHERE item_name ILIKE '%machinery%'))

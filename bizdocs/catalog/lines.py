@@ -294,6 +294,24 @@ def _(spark, sf):
     return X.to_canonical_json(receipts(spark, sf), repeated(spark, sf).drop("copy"))
 
 
+@query("sk04_json_fragments", sql("""SELECT d.document_id, 0::BIGINT AS part, 0::BIGINT AS line, document_number AS text, CAST(extracted_amount AS DOUBLE) AS amount FROM rcp2 d
+ UNION ALL SELECT document_id, (n - 1) // 2 + 1, n, item_name, CAST(supply_amount AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS n FROM dd SEMI JOIN rcp2 USING (document_id))
+ UNION ALL SELECT d.document_id, (coalesce(n, 0) + 1) // 2 + 1, NULL, ']}', NULL FROM rcp2 d LEFT JOIN (SELECT document_id, count(*) AS n FROM dd GROUP BY document_id) USING (document_id)""", *EXPORT_VIEWS))
+def _(spark, sf):
+    """Fragments of two lines each, read back: the head, every line with its place, the end."""
+    parts = X.to_json_fragments(receipts(spark, sf), repeated(spark, sf).drop("copy"), lines_per_part=2)
+    kind = F.when(F.col("part") == 0, "head").when(F.col("json") == "]}", "tail").otherwise("lines")
+    head = F.from_json(F.concat("json", F.lit("]}")), "document struct<document_number string, total string>")
+    lines = F.from_json(F.concat(F.lit("["), F.regexp_replace("json", "^,", ""), F.lit("]")), "array<struct<item_name string, supply_amount string>>")
+    row = lambda line, text, amount: F.struct(line.cast("long").alias("line"), text.alias("text"), amount.cast("double").alias("amount"))
+    none = F.lit(None).cast("string")
+    rows = (
+        F.when(kind == "head", F.array(row(F.lit(0), head["document"]["document_number"], head["document"]["total"])))
+        .when(kind == "tail", F.array(row(none, F.col("json"), none)))
+        .otherwise(F.transform(lines, lambda v, i: row((F.col("part") - 1) * 2 + i + 1, v["item_name"], v["supply_amount"]))))
+    return parts.select("document_id", "part", F.explode(rows).alias("r")).select("document_id", "part", "r.*")
+
+
 @query("sk06_blocked_documents", sql("SELECT document_id, title, processing_status FROM docs WHERE processing_status <> 'confirmed'", DOCS))
 def _(spark, sf):
     return X.blocked_documents(V.documents(spark, sf))

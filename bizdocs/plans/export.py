@@ -192,22 +192,53 @@ def write_by_party(df: DataFrame, path: str, rows_per_file: int = 1_000_000) ->
     out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file).partitionBy("party_tab").csv(path)
 
 
+JSON_LINE_FIELDS = ["item_name", "document_item_code", "specification", "unit", "quantity", "unit_price", "supply_amount", "tax_amount", "line_total"]
+
+
+def _text(name: str) -> Column:
+    return F.col(name).cast("string").alias(name)
+
+
+def _json_line(items: DataFrame) -> Column:
+    return F.struct("line_index", *[_text(c) for c in JSON_LINE_FIELDS if c in items.columns])
+
+
+def _json_head(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "document_id", F.struct(
+            "document_type", "document_number", _text("issue_date"), _text("due_date"), "vendor_name", "customer_name", "currency",
+            _text("subtotal"), _text("tax"), F.col("extracted_amount").cast("string").alias("total")).alias("document"))
+
+
+def _json_policy() -> Column:
+    return F.struct("export_policy", "export_blocked", "export_warning")
+
+
+def to_json_fragments(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None, lines_per_part: int = 4096) -> DataFrame:
+    """(document_id, part, json): the objects of ``to_canonical_json`` in pieces, whose concatenation by ``part`` is the object.
+
+    Part 0 is the head, the next ones hold ``lines_per_part`` lines each, the last one the end. No row, group or task holds
+    a document, so one with any number of lines can be written."""
+    items = number_rows(exportable_items(docs, lines, mapping_lines), "document_id", "line_index", "_n")
+    part = F.floor((F.col("_n") - 1) / lines_per_part) + 1
+    blocks = items.select("document_id", part.alias("part"), F.struct("_n", F.to_json(_json_line(items)).alias("json")).alias("line")).groupBy("document_id", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda v: v["json"]), ",").alias("body"))
+    body = blocks.select("document_id", "part", F.when(F.col("part") > 1, F.concat(F.lit(","), "body")).otherwise(F.col("body")).alias("json"))
+    head = _json_head(docs).join(export_policy(docs, lines), "document_id", "left").select(
+        "document_id", F.lit(0).cast("long").alias("part"), F.concat(F.lit('{"document":'), F.to_json("document"), F.lit(',"policy":'), F.to_json(_json_policy()), F.lit(',"line_items":[')).alias("json"))
+    last = items.groupBy("document_id").agg(F.max(part).alias("last"))
+    tail = docs.select("document_id").join(last, "document_id", "left").select("document_id", (F.coalesce("last", F.lit(0)) + 1).alias("part"), F.lit("]}").alias("json"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def to_canonical_json(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame | None = None) -> DataFrame:
     """One JSON object per document. The nested list is the output format itself, so a
-    document must fit a row; use ``to_erp_rows`` for documents of unbounded size."""
+    document must fit a row; use ``to_json_fragments`` for documents of unbounded size."""
     items = exportable_items(docs, lines, mapping_lines)
-    text = lambda c: F.col(c).cast("string").alias(c)
-    fields = [c for c in ("item_name", "document_item_code", "specification", "unit", "quantity", "unit_price", "supply_amount", "tax_amount", "line_total") if c in items.columns]
-    nested = items.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_index", *[text(c) for c in fields]))).alias("line_items"))
-    policy = export_policy(docs, lines)
-    head = docs.select(
-        "document_id", F.struct(
-            "document_type", "document_number", text("issue_date"), text("due_date"), "vendor_name", "customer_name", "currency",
-            text("subtotal"), text("tax"), F.col("extracted_amount").cast("string").alias("total")).alias("document"))
-    body = head.join(nested, "document_id", "left").join(policy, "document_id", "left")
+    nested = items.groupBy("document_id").agg(F.array_sort(F.collect_list(_json_line(items))).alias("line_items"))
+    body = _json_head(docs).join(nested, "document_id", "left").join(export_policy(docs, lines), "document_id", "left")
     return body.select("document_id", F.to_json(F.struct(
-        "document", F.struct("export_policy", "export_blocked", "export_warning").alias("policy"),
+        "document", _json_policy().alias("policy"),
         F.coalesce("line_items", F.array().cast(nested.schema["line_items"].dataType)).alias("line_items"))).alias("json"))
 
 
