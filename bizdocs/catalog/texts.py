@@ -137,6 +137,16 @@ def _(spark, sf):
     return V.slips(spark, sf).select("slip_id", X.document_number("text").alias("number"))
 
 
+@query("tx14_number_rules", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'RTN-2024-00' || dd WHEN 1 THEN 'TRF-2024-00' || dd WHEN 2 THEN 'PO-2024-00' || dd WHEN 3 THEN 'DN-2024-00' || dd END AS number
+ FROM (SELECT o_orderkey, strftime(o_orderdate, '%d') AS dd FROM orders)""")
+def _(spark, sf):
+    """Returns and transfers first, a number over two lines below its label, references to other documents left out."""
+    text = F.expr("""CASE o_orderkey % 5 WHEN 0 THEN concat('견적서 QT-2023-0001-AB\n반품 RTN-2024-00', dd) WHEN 1 THEN concat('자재 이동 PO-2023-0001-AB\nMV-2023-0001\nTRF 2024 00', dd)
+        WHEN 2 THEN concat('발주 번호:\nPO-2024\n00', dd, '\n비고') WHEN 3 THEN concat('원문서\nINV-2023-0001\nDN-2024-00', dd) ELSE '참조문서: INV-2023-0099\n견적번호: 1' END""")
+    docs = V.table(spark, sf, "orders").withColumn("dd", F.date_format("o_orderdate", "dd")).withColumn("text", text)
+    return docs.select("o_orderkey", X.document_number("text").alias("number"))
+
+
 @query("tx15_labelled_amount", s("SELECT slip_id, CAST(line_total AS DOUBLE) AS amount FROM slips"))
 def _(spark, sf):
     return V.slips(spark, sf).select("slip_id", X.labelled_amount("text", ["합계", "총합계", "합계금액"]).alias("amount"))
@@ -262,7 +272,7 @@ def _(spark, sf):
 # --- ranking lines -----------------------------------------------------------
 
 _W = "len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))"
-_TITLE = f"""CASE WHEN regexp_full_match(lower(v), '(page|slide)\\s+\\d+') THEN -100 WHEN length(v) < 4 OR length(v) > 120 THEN -40 ELSE 30 - 2 * i + CASE WHEN regexp_matches(v, '\\b[A-Z]{{2,5}}[- ]?\\d{{3,4}}[A-Z]?\\b') THEN 30 ELSE 0 END
+_TITLE = f"""CASE WHEN regexp_full_match(lower(v), '(page|slide)\\s+\\d+') OR regexp_full_match(v, '(?:연도|년도)\\s*[.년]\\s*월\\s*[.월]\\s*일\\s*[.일]?') THEN -100 WHEN length(v) < 4 OR length(v) > 120 THEN -40 ELSE 30 - 2 * i - CASE WHEN regexp_full_match(v, '[A-Z][A-Za-z.''-]+(?:\\s+[A-Z][A-Za-z.''-]+){{0,3}}') AND NOT regexp_matches(lower(v), '{"|".join(X.NO_PERSON_WORDS)}') THEN 32 ELSE 0 END + CASE WHEN regexp_matches(v, '\\b[A-Z]{{2,5}}[- ]?\\d{{3,4}}[A-Z]?\\b') THEN 30 ELSE 0 END
   + CASE WHEN regexp_matches(lower(v), '{"|".join(X.TITLE_WORDS)}') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(lower(v), '{"|".join(X.TITLE_PHRASES)}') THEN 30 ELSE 0 END - CASE WHEN contains(v, '|') THEN 14 ELSE 0 END
   + CASE WHEN regexp_matches(v, '^[A-Z][A-Za-z0-9&,''./() -]{{4,}}$') THEN 8 ELSE 0 END - CASE WHEN contains(v, ':') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(lower(v), '^(course description|overview|summary|introduction|objectives?)\\s*:') THEN 28 ELSE 0 END
   - CASE WHEN regexp_matches(lower(v), '^(this|these|students|you will|in this course|the purpose of)\\b') THEN 35 ELSE 0 END - CASE WHEN {_W} > 12 THEN 18 ELSE 0 END - CASE WHEN ends_with(v, '.') THEN 12 ELSE 0 END

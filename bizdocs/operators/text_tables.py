@@ -138,10 +138,25 @@ NUMBER_FORMS = [
     r"\b(?:FAXx?-)?PO0?[-_ ]?\d{4}[-_]?[0O]?\d{3,4}(?:[-_][A-Z0-9]{2,8}){0,2}\b", r"\bQT[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{2,8}){0,2}\b",
     r"\bINV[-_ ]?(?:US[-_ ]?)?\d{4}[-_ ]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\bDN[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b",
     r"\bTS[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\b(?:I?QC|I[O0]C|QC)[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b",
-    r"\b(?:RTN|RCM)[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\b(?:TRF|MV)[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\bI?DOC[-_ ]?[0O]?\d{2,4}\b",
+    r"\b(?:RTN|RCM)[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\bTRF[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b",
+    r"\bMV[-_ ]?\d{4}[-_]?\d{3,4}(?:[-_][A-Z0-9]{1,8}){0,2}\b", r"\bI?DOC[-_ ]?[0O]?\d{2,4}\b",
     r"\b(?:DOC|PM|P[O0]S|RC|PO|QT|INV|DN|TS|IQC|I[O0]C|QC|RTN|RCM|TRF|MV)(?:[-_][A-Z][A-Z0-9]{1,9})*[-_]\d{3,4}(?:[-_][A-Z0-9]*\d[A-Z0-9]*)*(?:[-_][A-Z]{1,10}){0,2}\b",
     r"\bINV(?:[-_ ]+[A-Z]{2,10}){1,3}[-_ ]+\d{3,4}\b",
 ]
+#: Prefixes whose number goes before all others, in this order.
+PREFERRED_PREFIXES = ["RTN", "RCM", "TRF", "MV"]
+#: Misread beginnings of an upper-case number and what they stand for.
+NUMBER_REPAIRS = [
+    (r"^IDOC(?=-)", "DOC"), (r"^FAXX-", "FAX-"), (r"^P0S(?=-)", "POS"), (r"^I[O0]C(?=-)", "IQC"), (r"^PO0-", "PO-"), (r"^QC-", "IQC-"),
+    (r"^S(?=-\d{4}-\d{4}-)", "TS"), (r"^OT(?=-\d{4}-)", "QT"),
+]
+NUMBER_STARTS = r"^(?:DOC|PM|POS|RC|PO|QT|INV|DN|TS|IQC|IOC|QC|RTN|RCM|TRF|MV|FAX)\b"
+NUMBER_TAILS = r"(?i)^(?:\d{2,5}|\d{4}-\d{2,4}(?:-\d{2,5})?|[A-Z]{1,4}-?\d{2,5})$"
+REFERENCE_LINE = r"(?i)(원문서|윗문서|완문서|참조문서|관련문서|Original\s*Invoice|Ref(?:erence)?\s*Invoice|승인번호|카드\s*승인번호|Approval\s*No)"
+REFERENCE_VALUE = r"(?i)\b(?:DOC|PM|POS|RC|PO|QT|INV|DN|TS|IQC|IOC|QC|RTN|RCM|TRF|MV|FAX)[-_ ]?[A-Z0-9]"
+APPROVAL_LINE = r"(?i)(승인번호|카드\s*승인번호|approval\s*(?:no|number))"
+RECEIPT_LABEL = r"(?i)(영수증\s*번호|receipt\s*(?:no|number))"
+CARD_SLIP_WORDS = r"(?i)(거래일시|품목|공급가액|부가세|카드사)"
 NUMBER_PREFIX = "(?i)^(?:DOC|PM|POS|RC|PO|QT|INV|DN|TS|IQC|IOC|QC|RTN|RCM|TRF|MV|FAX-PO)-"
 NUMBER_LABELS = [
     "발주번호", "발주 번호", "견적번호", "견적 번호", "거래명세서번호", "납품번호", "계산서번호", "인보이스번호", "청구서번호", "문서번호",
@@ -161,6 +176,9 @@ DUE_LABELS = {
     "invoice": ["지급기한", "결제기한", "payment due date", "payment due", "due date"],
 }
 DATE_VALUE = r"((?:\d{4}[.\-/년]\s*\d{1,2}[.\-/월]\s*\d{1,2}[일]?)|(?:20\d{2}|19\d{2})\d{2}\d{2})"
+BLANK_DATE = r"^(?:연도|년도)\s*[.년]\s*월\s*[.월]\s*일\s*[.일]?$"
+PERSON_NAME = r"^[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,3}$"
+NO_PERSON_WORDS = ["guide", "manual", "schedule", "tracker", "roadmap", "invoice", "statement", "profile", "syllabus"]
 COMPUTED_NOTE = r"(?i)(실제\s*품목\s*합계|품목\s*합계는|line\s*item\s*(?:sum|total)|computed)"
 AMOUNT_LABEL = r"(?i)(공급\s*[가기궁]액|공급기액|공급액|공급금액|부가세|세액|새액|합계|총합계|결제금액|승인금액|subtotal|supply|vat|tax|total)"
 TOTAL_LABEL = r"(?i)(^|\s)(총\s*합계|합계\s*금액|합계|총액|공급대가|청구금액|결제금액|승인금액|grand\s+total|total\s+due|total\s+amount|amount\s+due|total)(\s|[:：]|$)"
@@ -192,6 +210,21 @@ FIELD_ALIASES = {
 }
 SECTION_KEYS = ["상호", "사업자번호", "담당", "대표자", "주소"]
 SECTION_MARKERS = ["공급자", "공급받는자"]
+#: Labels that stand alone on a line, their value below.
+LONE_LABELS = [
+    "문서번호", "샘플번호", "팸플번호", "생플번호", "생플변호", "생품번호", "생표변호", "생물변호", "참조번호", "관련문서번호", "원문서", "문시빈호", "운서번호", "사업자번호", "사엽자변호",
+    "작성일", "작성임", "발행일", "견적일", "유효기간", "납기일", "요청일", "일자", "매장", "담당", "당당", "상호", "입고창고", "출고창고", "요청부서",
+    "예상합계", "총합계", "송합계", "총함계", "합계금액", "합계", "함계", "합개", "크레딧합계", "크레뒷합계", "반품합계", "조정합계", "차감합계", "실판매금액", "순판매금액", "과세합계",
+    "공급가액", "공급기액", "공급기록", "공급가역", "궁급가액", "부가세", "세액", "세악", "새액", "사물에", "VAT", "V.A.T", "결제합계", "현금합계", "카드합계", "온라인결제", "주문횟수",
+    "매장판매", "매장판애", "배달판매", "배달판마", "평균단가",
+]
+#: Labels that a value may follow without a gap.
+GLUED_LABELS = [
+    "문서번호", "샘플번호", "생플번호", "생플변호", "참조번호", "관련문서번호", "원문서", "작성일", "발행일", "견적일", "납기일", "요청일", "일자", "상호", "담당", "합계금액", "총합계", "송합계",
+    "총함계", "함계", "합개", "크레딧합계", "크레뒷합계", "반품합계", "조정합계", "차감합계",
+]
+SECTION_LINE = "(?i)공급받는자|공급반는지|궁급받는자|고객사|buyer|customer|공급자|공급처|공급지|seller|vendor"
+BROKEN_NUMBER = (r"(?i)^(문서\s*번호|샘플\s*번호|팸플\s*번호)\s*[:：]\s*[A-Za-z]{1,8}$", r"^[-_/]?\s*[A-Za-z0-9]{1,12}$")
 HEADER_ROW_TERMS = ["no", "번호", "품목", "품목명", "품명", "description", "규격", "규격코드", "품목코드", "수량", "단위", "단가", "금액", "공급가액", "세액", "합계", "비고"]
 SUMMARY_ROW = "(?i)(총합계|합계금액|공급가액합계|세액합계|부가세|vat|subtotal|grandtotal|totalamount)"
 SUMMARY_NAMES = ["합계", "총합계", "소계", "공급가액", "세액", "부가세", "vat", "total", "subtotal"]
@@ -278,7 +311,7 @@ AMOUNT_LABELS = r"예상\s*합계|합계\s*금액|총\s*합계|송\s*합계|총\
 
 def line_key_values(line: Column, longest_key: int | None = None, longest_value: int | None = None) -> Column:
     """Key-value pairs of one line: known labels with a colon (several per line), any ``label: value``,
-    a known label and a space, two-space columns, an amount label and a number. Labels of up to 40 characters (30 in
+    a known label and a space, two-space columns, an amount label and a number, a label glued to its value. Labels of up to 40 characters (30 in
     columns) go first, longer ones are read from lines that no form has taken. Pairs with a key above ``longest_key`` or
     a value above ``longest_value`` characters are left out only if these are given."""
     known = rf"(?i)(?:^|\s)({KNOWN_LABELS})\s*[:：]\s*(.*?)(?=\s+(?:{KNOWN_LABELS})\s*[:：]|$)"
@@ -288,6 +321,7 @@ def line_key_values(line: Column, longest_key: int | None = None, longest_value:
         (line.rlike(rf"(?i)(?:^|\s)({KNOWN_LABELS})\s*[:：]"), known), colon("{1,40}"),
         (line.rlike(rf"(?i)^\s*({KNOWN_LABELS})\s+.+$"), rf"(?i)^\s*({KNOWN_LABELS})\s+(.+)\s*$"), columns("{1,30}"),
         (line.rlike(rf"(?i)^\s*({AMOUNT_LABELS})\s*-?[0-9]"), rf"(?i)^\s*({AMOUNT_LABELS})\s*(-?[0-9][0-9,.]*(?:\s+[0-9][0-9,.]*)?)\s*$"),
+        (line.rlike(rf"^\s*(?:{_either(GLUED_LABELS)})\s*(?![:：]).{{2,}}$"), rf"^\s*({_either(GLUED_LABELS)})\s*(?![:：])(.{{2,}}?)\s*$"),
         colon("{1,}"), columns("{1,}"),
     ]
 
@@ -301,14 +335,51 @@ def line_key_values(line: Column, longest_key: int | None = None, longest_value:
     return F.filter(F.coalesce(chosen, F.array().cast("array<struct<key:string,value:string>>")), ok)
 
 
+def _paired_lines(lines: Column, longest_key: int | None, longest_value: int | None) -> Column:
+    """(line, own, below) per line: the pairs it holds, and the one whose label it is with the value on a line below.
+
+    A document number that breaks off after its letters goes on in the next line. The value below is the next line that is
+    more than bars, up to the third, unless a label, a section or a line with pairs of its own comes first."""
+    squeezed = lambda v: F.regexp_replace(v, r"\s+", "")
+    whole = F.transform(lines, lambda v, i: F.when(v.rlike(BROKEN_NUMBER[0]) & F.coalesce(F.get(lines, i + 1).rlike(BROKEN_NUMBER[1]), F.lit(False)), F.concat(v, F.get(lines, i + 1))).otherwise(v))
+
+    def read(v, i):
+        raw = F.get(lines, i)
+        label = F.trim(F.regexp_replace(raw, r"\s*[:：]\s*$", ""))
+        lone = squeezed(label).isin(LONE_LABELS)
+        section = squeezed(raw).rlike(SECTION_LINE)
+        return F.struct(raw.alias("line"), line_key_values(v, longest_key, longest_value).alias("own"), F.when(lone & ~section, label).alias("label"), section.alias("section"))
+
+    def below(rows, i):
+        def choose(k):
+            r = F.get(rows, i + k)
+            value = F.regexp_replace(r["line"], r"^[ |]+|[ |]+$", "")
+            later = choose(k + 1) if k < 3 else F.lit(None).cast("string")
+            return F.when(r.isNull() | r["section"] | r["label"].isNotNull() | (F.size(r["own"]) > 0), F.lit(None).cast("string")).when(value != "", value).otherwise(later)
+
+        return choose(1)
+
+    def lower(rows):
+        def pair(r, i):
+            value = F.when(r["label"].isNotNull(), below(rows, i))
+            fits = lambda c, longest: F.lit(True) if longest is None else F.length(c) <= longest
+            ok = value.isNotNull() & ~value.rlike(r"^[-_./\\|]+$") & fits(r["label"], longest_key) & fits(value, longest_value)
+            return F.struct(r["line"].alias("line"), r["own"].alias("own"), F.when(ok, F.struct(r["label"].alias("key"), value.alias("value"))).alias("below"))
+
+        return F.transform(rows, pair)
+
+    return let(let(whole, lambda w: F.transform(w, read)), lower)
+
+
 def key_values(df: DataFrame, key: str, col: str = "text", longest: int | None = None, longest_key: int | None = None, longest_value: int | None = None) -> DataFrame:
-    """(id, pos, key, value) rows; ``pos`` orders them inside the document. Lines above ``longest``, keys above ``longest_key``
-    and values above ``longest_value`` characters are left out only if these are given."""
+    """(id, pos, key, value) rows; ``pos`` orders them inside the document, pairs over two lines after all others. Lines above
+    ``longest``, keys above ``longest_key`` and values above ``longest_value`` characters are left out only if these are given."""
     if key in ("key", "value", "pos"):
         raise ValueError(f"the id column can't be named {key}, as an output is")
     lines = text_lines(col) if longest is None else F.filter(text_lines(col), lambda v: F.length(v) <= longest)
-    per_line = F.transform(lines, lambda v: line_key_values(v, longest_key, longest_value))
-    return df.select(key, F.posexplode(F.flatten(per_line)).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value")
+    both = lambda rows: F.concat(F.flatten(F.transform(rows, lambda r: r["own"])), F.filter(F.transform(rows, lambda r: r["below"]), lambda p: p.isNotNull()))
+    found = let(lines, lambda ls: let(_paired_lines(ls, longest_key, longest_value), both))
+    return df.select(key, F.posexplode(found).alias("pos", "kv")).select(key, "pos", "kv.key", "kv.value")
 
 
 def carry_sections(df: DataFrame, key: str, col: str = "text", longest_key: int | None = None, longest_value: int | None = None) -> DataFrame:
@@ -329,10 +400,14 @@ def carry_sections(df: DataFrame, key: str, col: str = "text", longest_key: int
 
         return let(places, stretches)
 
-    def pairs(v, section):
-        return F.transform(line_key_values(v, longest_key, longest_value), lambda p: F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value")))
+    def placed(p, section):
+        return F.struct(F.when(p["key"].isin(SECTION_KEYS), section).alias("section"), p["key"].alias("key"), p["value"].alias("value"))
 
-    read = let(text_lines(col), lambda lines: F.flatten(F.zip_with(lines, sections(lines), pairs)))
+    def pairs(r, section):
+        return F.struct(F.transform(r["own"], lambda p: placed(p, section)).alias("own"), F.when(r["below"].isNotNull(), placed(r["below"], section)).alias("below"))
+
+    both = lambda rows: F.concat(F.flatten(F.transform(rows, lambda r: r["own"])), F.filter(F.transform(rows, lambda r: r["below"]), lambda p: p.isNotNull()))
+    read = let(text_lines(col), lambda lines: let(F.zip_with(_paired_lines(lines, longest_key, longest_value), sections(lines), pairs), both))
     rows = df.select(key, F.posexplode(read).alias("pos", "p"))
     return rows.select(key, "pos", "p.section", F.concat_ws(" ", "p.section", "p.key").alias("key"), "p.value")
 
@@ -533,23 +608,88 @@ def spend_context(col, mode: str = "") -> Column:
 
 # --- numbers, amounts, dates ----------------------------------------------------------
 
-def document_number(col) -> Column:
-    """Best-scored number over all prefix forms, the longest on ties; a labelled value as the fallback."""
+def normalize_number(v: Column) -> Column:
+    """A document number in upper case with single hyphens, misread beginnings and letters O among digits repaired; null for none."""
+    raw = F.upper(F.regexp_replace(v, r"^[ \-:：\[\](){}]+|[ \-:：\[\](){}]+$", ""))
+    joined = F.regexp_replace(F.when(raw.rlike(NUMBER_STARTS) & raw.rlike(r"\s"), F.regexp_replace(raw, r"[\s_]+", "-")).otherwise(F.regexp_replace(raw, r"\s+", "")), "[-_]+", "-")
+    fixed = reduce(lambda t, repair: F.regexp_replace(t, *repair), NUMBER_REPAIRS, joined)
+    digits = lambda part, i: (i >= 1) & part.rlike("^[0-9O]{3,4}$") | (i >= 2) & part.rlike("^[0-9O]{2,5}$")
+    parts = F.transform(F.split(fixed, "-"), lambda part, i: F.when(digits(part, i), F.replace(part, F.lit("O"), F.lit("0"))).otherwise(part))
+    return F.nullif(F.array_join(parts, "-"), F.lit(""))
+
+
+def _number_score(v: Column) -> Column:
+    return (_when(v.rlike(NUMBER_PREFIX), 40) + _when(v.rlike("^IQC-"), 4) - _when(v.rlike("^IOC-"), 4) + _when(v.rlike(r"^FAX(?:-[A-Z0-9]{2,10})*-PO-"), 40)
+            + _when(v.rlike(r"\d{4}"), 10) + _when(F.length(v) - F.length(F.replace(v, F.lit("-"), F.lit(""))) >= 2, 8) - _when(v.rlike("[가-힣]"), 35))
+
+
+def _without_lines(lines: Column, named: Column, waits) -> Column:
+    """Lines without the named ones and, where a named one ``waits`` for its value, without the next line if it is not blank.
+
+    One letter per line: a waiting line takes the next one with it from left to right, which a replacement does as well."""
+    def letter(v):
+        blank = F.regexp_replace(v, r"[\s\-:：\[\](){}]", "") == ""
+        return F.when(named(v), F.when(waits(v), "w").otherwise("n")).when(blank, "b").otherwise("x")
+
+    marks = F.regexp_replace(F.array_join(F.transform(lines, letter), ""), "w[wnx]", "dd")
+    return let(F.split(F.regexp_replace(marks, "[wn]", "d"), ""), lambda m: F.filter(lines, lambda v, i: F.get(m, i) != "d"))
+
+
+def _own_lines(t: Column, receipt: Column | None) -> Column:
+    """Lines that can hold the document's own number: no references to other documents; on a receipt no approval numbers."""
+    named = lambda v: v.rlike(REFERENCE_LINE)
+    own = lambda lines: _without_lines(lines, named, lambda v: ~v.rlike(REFERENCE_VALUE))
+    if receipt is not None:
+        approval = lambda v: v.rlike(APPROVAL_LINE) & ~v.rlike(RECEIPT_LABEL)
+        other = own
+        own = lambda lines: F.when(F.coalesce(receipt, F.lit(False)), F.when(t.rlike(CARD_SLIP_WORDS), lines).otherwise(_without_lines(lines, approval, lambda v: ~v.rlike(r"\d")))).otherwise(other(lines))
+    return let(F.split(t, r"\r\n|\n|\r"), own)
+
+
+def _next_line_numbers(lines: Column) -> Column:
+    """(score, -place, number) of numbers below a line that is only a label; up to three more lines may continue one."""
+    labels = _lits(sorted({re.sub(r"[\s:：#]+", "", w.lower()) for w in NUMBER_LABELS}))
+
+    def whole(i):
+        tail = F.transform(F.slice(lines, i + 3, 3), lambda v: F.regexp_replace(F.regexp_replace(v, r"\s+", ""), r"^[ \-:：\[\](){}]+|[ \-:：\[\](){}]+$", ""))
+        runs = let(F.filter(tail, lambda v: v != ""), lambda vs: F.filter(vs, lambda v, k: F.forall(F.slice(vs, 1, k + 1), lambda w: w.rlike(NUMBER_TAILS))))
+        first = normalize_number(F.get(lines, i + 1))
+        return F.when(first.isNotNull(), normalize_number(F.array_join(F.concat(F.array(first), runs), "-")))
+
+    at = F.filter(F.transform(lines, lambda v, i: F.when(F.array_contains(labels, F.regexp_replace(F.lower(v), r"[\s:：#]+", "")) & (i < F.size(lines) - 1), i)), lambda i: i.isNotNull())
+    scored = F.transform(at, lambda i: let(whole(i), lambda v: F.struct(_number_score(v).alias("s"), (-i).alias("o"), v.alias("v"))))
+    return F.filter(scored, lambda r: r["v"].isNotNull() & (r["s"] >= 20))
+
+
+def document_number(col, document_type=None) -> Column:
+    """The document's own number.
+
+    Return, credit and transfer numbers go first, wherever they stand. Otherwise lines that refer to other documents are left
+    out (of a receipt, ``document_type`` 'receipt', those of approvals), then the best-scored number over all prefix forms, the
+    longest on ties, competes with those below a line that is only a label; a labelled value is the fallback."""
     t = F.coalesce(_c(col), F.lit(""))
-    found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(0)) for p in NUMBER_FORMS]))
+    receipt = None if document_type is None else _c(document_type) == "receipt"
+    form = r"(?i)\b%s[-_ ]?\d{4}[-_ ]?\d{3,4}(?:[-_ ][A-Z0-9]{1,8}){0,2}\b"
+    first = lambda prefix: normalize_number(F.nullif(F.regexp_extract(t, form % prefix, 0), F.lit("")))
+    clear = lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)\bP[0O]S(?=[-_ ]?\d{4})", "POS"), r"(?i)\bI[O0]C(?=[-_ ]?\d{4})", "IQC")
+
+    def own(lines):
+        def best(text):
+            found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in NUMBER_FORMS]))
+            ranked = F.transform(found, lambda v: let(normalize_number(v), lambda c: F.struct(_number_score(c).alias("s"), F.length(c).alias("l"), c.alias("v"))))
+            labelled = normalize_number(F.nullif(F.regexp_extract(text, rf"(?i)(?:{_either(NUMBER_LABELS)})\s*[:：#]?\s*([A-Za-z0-9가-힣._/-]+)", 1), F.lit("")))
+            fallback = let(labelled, lambda c: F.when(_number_score(c) >= 20, c))
+
+            def pick(b):
+                strong, below = b["strong"], b["below"]
+                wins = below.isNull() | (strong["s"] > below["s"]) | (strong["l"] > F.length(below["v"]) + 3)
+                return F.when(strong.isNotNull() & wins, strong["v"]).otherwise(F.coalesce(below["v"], fallback))
 
-    def clean(v):
-        return F.regexp_replace(F.regexp_replace(F.upper(F.trim(v)), r"[\s_]+", "-"), "-{2,}", "-")
+            return let(F.struct(F.array_max(ranked).alias("strong"), F.array_max(_next_line_numbers(F.transform(lines, lambda v: F.trim(v)))).alias("below")), pick)
 
-    def score(v):
-        return (_when(v.rlike(NUMBER_PREFIX), 40) + _when(v.rlike("^IQC-"), 4) - _when(v.rlike("^IOC-"), 4) + _when(v.rlike(r"^FAX(?:-[A-Z0-9]{2,10})*-PO-"), 40)
-                + _when(v.rlike(r"\d{4}"), 10) + _when(F.length(v) - F.length(F.replace(v, F.lit("-"), F.lit(""))) >= 2, 8) - _when(v.rlike("[가-힣]"), 35))
+        return let(clear(F.array_join(lines, "\n")), best)
 
-    ranked = F.transform(found, lambda v: let(clean(v), lambda c: F.struct(score(c).alias("s"), F.length(c).alias("l"), c.alias("v"))))
-    strong = F.array_max(ranked)["v"]
-    labelled = F.nullif(F.regexp_extract(t, rf"(?i)(?:{_either(NUMBER_LABELS)})\s*[:：#]?\s*([A-Za-z0-9가-힣._/-]+)", 1), F.lit(""))
-    ok = let(clean(labelled), lambda c: F.when(score(c) >= 20, c))
-    return F.coalesce(strong, F.when(labelled.isNotNull(), ok))
+    return F.coalesce(*map(first, PREFERRED_PREFIXES), let(_own_lines(t, receipt), own))
 
 
 def _amount_value(token: Column) -> Column:
@@ -824,7 +964,8 @@ def title_score(v: Column, i: Column) -> Column:
         - _when(v.contains("|"), 14) + _when(v.rlike("^[A-Z][A-Za-z0-9&,'./() -]{4,}$"), 8) - _when(v.contains(":"), 8)
         - _when(low.rlike(r"^(course description|overview|summary|introduction|objectives?)\s*:"), 28) - _when(low.rlike(r"^(this|these|students|you will|in this course|the purpose of)\b"), 35)
         - _when(_words(v) > 12, 18) - _when(v.endswith("."), 12) - _when(sentence, 22))
-    return F.when(low.rlike(r"^(page|slide)\s+\d+$"), -100).when((F.length(v) < 4) | (F.length(v) > 120), -40).otherwise(score)
+    score = score - _when(v.rlike(PERSON_NAME) & (_contained(low, NO_PERSON_WORDS) == 0), 32)
+    return F.when(low.rlike(r"^(page|slide)\s+\d+$") | low.rlike(BLANK_DATE), -100).when((F.length(v) < 4) | (F.length(v) > 120), -40).otherwise(score)
 
 
 def best_title(col) -> Column:
