@@ -265,6 +265,13 @@ def _(spark, sf):
     return B.master_stats(V.item_master(spark, sf), V.item_alias(spark, sf))
 
 
+@query("ag15_master_times", sql("""SELECT count(*) AS total_items, count(*) FILTER (WHERE active) AS active_items, count(*) FILTER (WHERE NOT active) AS inactive_items, (SELECT count(*) FILTER (WHERE active) FROM alias) AS alias_count,
+ strftime(TIMESTAMP '2024-01-01' + max(item_id) * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS last_uploaded_at, strftime(TIMESTAMP '2024-02-01' + max(item_id % 100) * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS last_updated_at FROM master""", MASTER))
+def _(spark, sf):
+    stamped = V.item_master(spark, sf).selectExpr("*", "timestampadd(MINUTE, item_id, timestamp'2024-01-01') AS last_uploaded_at", "timestampadd(MINUTE, item_id % 100, timestamp'2024-02-01') AS updated_at")
+    return B.master_stats(stamped, V.item_alias(spark, sf))
+
+
 def _page(name, body, **kw):
     @query(name, d(body))
     def _(spark, sf):

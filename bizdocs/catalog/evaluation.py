@@ -13,6 +13,7 @@ from bizdocs.operators import evaluate as E
 from bizdocs.operators import merge as G
 from bizdocs.operators import upsert as U
 from bizdocs.sources import views as V
+from bizdocs.sources.readers import item_master_rows
 
 
 # --- two readings of one document --------------------------------------------
@@ -353,7 +354,16 @@ def _(spark, sf):
 
 @query("up01_upsert_counts", sql("SELECT count(*) FILTER (WHERE unit = 'BOX') AS inserted, count(*) FILTER (WHERE unit = 'EA') AS updated FROM master", MASTER))
 def _(spark, sf):
-    return U.upsert_master(V.item_master(spark, sf), uploads(spark, sf))[1]
+    return U.upsert_master(V.item_master(spark, sf), uploads(spark, sf))[1].drop("skipped")
+
+
+@query("up01_upload_counts", sql("SELECT count(*) FILTER (WHERE item_id % 2 = 1 AND item_id % 7 <> 0) AS inserted, count(*) FILTER (WHERE item_id % 2 = 0 AND item_id % 7 <> 0) AS updated, count(*) FILTER (WHERE item_id % 7 = 0) AS skipped FROM master", MASTER))
+def _(spark, sf):
+    """An uploaded table with new, known and unusable rows."""
+    master = V.item_master(spark, sf)
+    raw = master.selectExpr("concat(IF(item_id % 2 = 1, 'N-', ''), internal_item_code) AS internal_item_code", "IF(item_id % 7 = 0, ' ', item_name) AS item_name", "unit")
+    rows, errors = item_master_rows(raw)
+    return U.upsert_master(master, rows, errors=errors)[1]
 
 
 @query("up03_deactivate", sql("SELECT item_id, active AND item_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0.07 AND l_tax = 0.01) AS active FROM master", MASTER))

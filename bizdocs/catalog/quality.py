@@ -101,6 +101,14 @@ def _(spark, sf):
     return Q.escalation(Q.extraction_quality(signals(spark, sf))).select("document_id", F.col("escalation_reasons").alias("reasons"), "should_escalate")
 
 
+@query("qg10_unparsed_rows", sql("""SELECT document_id, coalesce(document_id % 2 = 0 AND currency = 'USD' AND (contains(extraction_method, 'ocr') OR source_file_type IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'webp')), false) AS unparsed FROM sig0""", DOCS, LNP, RCP, STATS_SQL, SIG.split("sig1 AS")[0].rstrip().rstrip(",")))
+def _(spark, sf):
+    """Scanned documents without lines whose text holds item rows."""
+    df = Q.extraction_quality(signals(spark, sf)).withColumns({
+        "n_lines": F.expr("IF(document_id % 2 = 0, 0, 1)"), "text": F.expr("IF(currency = 'USD', concat('note\n1 Bolt M8 ', document_id, ' EA'), 'a letter\nwithout rows')")})
+    return Q.escalation(df).select("document_id", F.array_contains("escalation_reasons", "ocr_line_item_candidates_not_parsed").alias("unparsed"))
+
+
 @query("qg11_route", sql("""SELECT document_id, CASE WHEN partial_support THEN 'partially_supported_format' WHEN source_file_type = 'md' THEN CASE WHEN structured_density > 0.15 THEN 'structured_text_path' ELSE 'md_direct' END WHEN source_file_type = 'xlsx' THEN 'xlsx_text_extract'
   WHEN extraction_method IN ('pdf_text_extract', 'pdf_scanned_page_ocr') THEN extraction_method
   WHEN is_image AND document_type = 'receipt' THEN CASE WHEN sufficient AND complete AND noise_ratio <= 0.22 AND amount_pattern_count >= 3 AND line_count >= 6 AND c >= 0.72 THEN 'receipt_image_fast_path'

@@ -77,6 +77,14 @@ def _(spark, sf):
     return kv(spark, sf).drop("pos")
 
 
+@query("tx06_glued_and_two_line", """SELECT o_orderkey, unnest(['합계금액', '문서번호', '비고', '발행일', '담당']) AS key,
+ unnest([CAST(o_custkey AS VARCHAR) || '00', 'PO-' || strftime(o_orderdate, '%Y'), o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus]) AS value FROM orders""")
+def _(spark, sf):
+    """A label glued to its value, a number over two lines, labels with the value below (after bars), one without a value."""
+    text = F.expr("""concat('합계금액', o_custkey, '00\n문서번호: PO\n-', date_format(o_orderdate, 'yyyy'), '\n발행일\n', date_format(o_orderdate, 'yyyy-MM-dd'), '\n담당:\n|\n', o_orderstatus, '\n세액\n비고: ', o_orderpriority)""")
+    return X.key_values(V.table(spark, sf, "orders").withColumn("text", text), "o_orderkey").drop("pos")
+
+
 @query("tx08_classify_type", s("SELECT slip_id, document_type AS type FROM slips"))
 def _(spark, sf):
     return V.slips(spark, sf).select("slip_id", X.classify_type("text").alias("type"))

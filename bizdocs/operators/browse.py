@@ -199,11 +199,13 @@ def ocr_metrics(df: DataFrame) -> DataFrame:
 
 
 def master_stats(master: DataFrame, alias: DataFrame) -> DataFrame:
-    rows = master.select(F.lit(True).alias("item"), "active").unionByName(alias.select(F.lit(False).alias("item"), "active"))
+    """Counts, and the latest upload and change where the master has these columns."""
+    times = [c for c in ("last_uploaded_at", "updated_at") if c in master.columns]
+    rows = master.select(F.lit(True).alias("item"), "active", *times).unionByName(alias.select(F.lit(False).alias("item"), "active"), allowMissingColumns=True)
     item, live = F.col("item"), F.col("active")
     return rows.agg(
         F.count_if(item).alias("total_items"), F.count_if(item & live).alias("active_items"), F.count_if(item & ~live).alias("inactive_items"),
-        F.count_if(~item & live).alias("alias_count"))
+        F.count_if(~item & live).alias("alias_count"), *[F.max(c).alias(f"last_{c.removeprefix('last_')}") for c in times])
 
 
 def dictionary_stats(entries: DataFrame) -> DataFrame:

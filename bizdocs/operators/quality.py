@@ -10,6 +10,7 @@ from bizdocs.functions.lines import count_where, line_stats, text_lines
 from bizdocs.functions.text import has_profile
 from bizdocs.operators import line_items as L
 from bizdocs.operators.resolve import present
+from bizdocs.operators.text_tables import has_row_items
 
 # --- fixed values -------------------------------------------------------------
 TRADE_TYPES = ["purchase_order", "quotation", "transaction_statement", "delivery_note", "invoice", "packing_list"]
@@ -211,12 +212,14 @@ def escalation(df: DataFrame) -> DataFrame:
         | (F.col("issue_date").isNull() & F.col("extracted_date").isNull()) | (t.isin("purchase_order", "invoice") & F.col("due_date").isNull()))
     q = F.col("quality_score")
     recommended = image & ((q < dec("0.72")) | (t == "other"))
+    scanned = method.contains("ocr") | method.contains("pdf_scanned") | src.isin(IMAGE_SOURCES)
+    unparsed = F.when(scanned & (F.col("n_lines") == 0), has_row_items("text")) if "text" in df.columns else F.lit(None).cast("boolean")
     table_conf = F.col("table_confidence") if "table_confidence" in df.columns else F.lit(None).cast("double")
     reasons = F.array_compact(F.array(
         F.when(partial, "partial_file_support"), F.when(F.coalesce("n_warnings", F.lit(0)) > 0, "extraction_warnings_present"),
         F.when(F.col("ocr_confidence") < 0.68, "low_ocr_confidence"), F.when(recommended, "quality_gate_escalation_recommended"),
         F.when((q < dec("0.58")) | (visual & (q < dec("0.72"))), "low_extraction_quality_score"),
-        F.when(table_conf < 0.70, "low_table_confidence"), F.when(method.contains("pdf_partial"), "pdf_partial_text"),
+        F.when(table_conf < 0.70, "low_table_confidence"), F.when(unparsed, "ocr_line_item_candidates_not_parsed"), F.when(method.contains("pdf_partial"), "pdf_partial_text"),
         F.when(trade & missing, "missing_required_fields"), F.when(trade & (F.col("n_lines") == 0), "missing_line_items"),
         F.when(trade & (F.when(t == "delivery_note", F.col("incomplete_unpriced")).otherwise(F.col("incomplete")) | F.coalesce("line_warned", F.lit(False))), "incomplete_line_items"),
         F.when(trade & F.col("mismatch_abs"), "amount_mismatch"),

@@ -808,11 +808,19 @@ NUM = r"[-+]?\d[\d,]*(?:\.\d+)?"
 UNITS = "EA|PCS|SET|KG|BOX|CAN|ROLL|PACK|PK|M|개|식|대|매|박스|세트|봉|장|본|통|캔"
 
 
+PRICED_ROW = rf"(?i)^(?:\d{{1,3}} )?(.+?)(?: ({NUM}))? ({UNITS}) ({NUM}) ({NUM}) ({NUM}) ({NUM})$"
+BARE_ROW = rf"(?i)^(?:\d{{1,3}} )?(.+?) ({NUM}) ({UNITS})(?: .*)?$"
+
+
+def has_row_items(col) -> Column:
+    """Does some line of a text read as an item row without a table around it?"""
+    return F.exists(text_lines(col), lambda v: v.rlike(PRICED_ROW) | v.rlike(BARE_ROW))
+
+
 def row_items(df: DataFrame, col: str = "line") -> DataFrame:
     """One-line rows: trailing price, supply, tax and total after a unit, or quantity and unit at the end."""
     line = F.trim(F.regexp_replace(col, r"\s+", " "))
-    priced = rf"(?i)^(?:\d{{1,3}} )?(.+?)(?: ({NUM}))? ({UNITS}) ({NUM}) ({NUM}) ({NUM}) ({NUM})$"
-    bare = rf"(?i)^(?:\d{{1,3}} )?(.+?) ({NUM}) ({UNITS})(?: .*)?$"
+    priced, bare = PRICED_ROW, BARE_ROW
     is_priced, is_bare = line.rlike(priced), line.rlike(bare)
     g = lambda i, j=None: F.nullif(F.when(is_priced, F.regexp_extract(line, priced, i)).when(is_bare & F.lit(j is not None), F.regexp_extract(line, bare, j or 0)), F.lit(""))
     name = g(1, 1)

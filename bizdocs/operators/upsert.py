@@ -9,20 +9,28 @@ from bizdocs.operators.ordering import last_per
 MUTABLE = ["item_name", "spec", "unit", "category", "standard_price", "active", "aliases"]
 
 
-def upsert_master(current: DataFrame, new: DataFrame, mode: str = "upsert") -> tuple[DataFrame, DataFrame]:
-    """(new master, counts). The last row of a code inside one upload wins; ``replace`` empties the master first."""
+def upsert_master(current: DataFrame, new: DataFrame, mode: str = "upsert", errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new master, counts). The last row of a code inside one upload wins; ``replace`` empties the master first.
+
+    ``errors``, the rejected rows of the upload, are counted as skipped."""
+    flags = lambda df, inserted, updated, skipped: df.select(inserted.alias("i"), updated.alias("u"), F.lit(skipped).alias("s"))
+    none = F.lit(False)
+
+    def tally(done):
+        rows = done if errors is None else done.unionByName(flags(errors, none, none, True))
+        return rows.agg(F.count_if("i").alias("inserted"), F.count_if("u").alias("updated"), F.count_if("s").alias("skipped"))
+
     key = "internal_item_code"
     latest = last_per(new, [F.col(key).alias("_k0")], "row_number")
     if mode == "replace":
         out = latest.select(key, *MUTABLE)
-        return out, out.agg(F.count("*").alias("inserted"), F.lit(0).cast("long").alias("updated"))
+        return out, tally(flags(out, F.lit(True), none, False))
     if mode != "upsert":
         raise ValueError(mode)
     n = latest.select(key, F.lit(True).alias("_new"), *[F.col(c).alias(f"n_{c}") for c in MUTABLE])
     joined = current.withColumn("_old", F.lit(True)).join(n, key, "full_outer")
     out = joined.select(key, *[F.when(F.col("_new"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in MUTABLE])
-    counts = joined.agg(F.count_if(F.col("_new") & F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_new") & F.col("_old")).alias("updated"))
-    return out, counts
+    return out, tally(flags(joined, F.col("_new") & F.col("_old").isNull(), F.col("_new") & F.col("_old"), False))
 
 
 def deactivate(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
