@@ -269,6 +269,18 @@ def _(spark, sf):
     return rows.select("document_id", "line_index", "품목명", "공급가액", "문서유형", "고객사", "합계금액", "document_item_code", "export_policy", "export_warning")
 
 
+@query("sk01_mapped_rows", sql("""SELECT d.document_id, coalesce(row_number() OVER (PARTITION BY d.document_id ORDER BY dd.line_index), 1) AS line_index, CASE WHEN fresh THEN 'M-' || d.document_id ELSE d.document_number END AS "문서번호",
+ CASE WHEN NOT conflict THEN CASE WHEN fresh AND d.document_id % 2 = 0 THEN 'EUR' ELSE d.currency END END AS "통화", CAST(approved AS VARCHAR) AS approved,
+ CASE WHEN list_contains(document_profiles, 'return_document') THEN 'return_note' END AS document_subtype, CASE WHEN dd.document_id IS NOT NULL THEN CAST(part_key AS VARCHAR) END AS internal_item_code
+ FROM (SELECT *, NOT review_required AND coalesce(mapping_at >= confirmed_at, false) AS fresh FROM rcp2) d LEFT JOIN dd USING (document_id)""", *EXPORT_VIEWS))
+def _(spark, sf):
+    """Number and currency of a fresh mapping, and columns of the review, the taxonomy and the item match."""
+    mapped = F.col("mapping").withField("fields.document_number", F.concat(F.lit("M-"), "document_id")).withField("fields.currency", F.expr("IF(document_id % 2 = 0, 'EUR', '')"))
+    lines = repeated(spark, sf).drop("copy").withColumn("internal_item_code", F.col("part_key"))
+    rows = X.to_erp_rows(receipts(spark, sf).withColumn("mapping", mapped), lines)
+    return rows.select("document_id", "line_index", "문서번호", "통화", "approved", "document_subtype", "internal_item_code")
+
+
 TEMPLATE = [
     {"header": "번호", "source_field": "document_number"}, {"header": "일자", "source_field": "document_date"}, {"header": "공급사", "source_field": "supplier_name"},
     {"header": "품목", "source_field": "line_items.item_name"}, {"header": "수량", "source_field": "line_items.quantity"}, {"header": "총액", "source_field": "total_amount"},

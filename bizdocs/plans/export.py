@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bizdocs.functions.text import has_profile
 from bizdocs.operators import line_items as L
@@ -89,6 +89,24 @@ def exportable_items(docs: DataFrame, lines: DataFrame, mapping_lines: DataFrame
     return L.dedupe_lines(L.safe_amounts(L.exportable_lines(docs, lines)))
 
 
+#: Export columns taken from nested header fields, and from columns of the lines, as they are.
+HEAD_COLUMNS = {
+    "document_subtype": "taxonomy.document_subtype", "layout_profile": "taxonomy.layout_profile", "taxonomy_evidence": "taxonomy.evidence", "approved": "review.approved",
+    "review_state": "review.state", "reviewed_at": "review.reviewed_at", "approved_at": "review.approved_at", "approval_note": "review.approval_note",
+}
+LINE_COLUMNS = {"internal_item_code": "internal_item_code", "match_status": "item_master_match_status", "match_confidence": "item_master_match_confidence"}
+
+
+def _nested(df: DataFrame, path: str) -> Column:
+    """A nested field as text, lists joined; null where the table does not have it."""
+    at = df.schema
+    for name in path.split("."):
+        if not isinstance(at, T.StructType) or name not in at.names:
+            return F.lit(None).cast("string")
+        at = at[name].dataType
+    return F.array_join(path, ", ") if isinstance(at, T.ArrayType) else F.col(path).cast("string")
+
+
 def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True, mapping_lines: DataFrame | None = None) -> DataFrame:
     """One row per exportable line; a document without one still emits a row."""
     items = exportable_items(docs, lines, mapping_lines)
@@ -96,7 +114,7 @@ def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True, mappin
         items = number_rows(items, "document_id", "line_index", "export_index")
     else:
         items = items.withColumn("export_index", F.col("line_index"))
-    m = lambda f: F.when(export_mapping(), present(f"mapping.fields.{f}"))
+    m = lambda f: F.when(export_mapping(), present(_nested(docs, f"mapping.fields.{f}")))
     conflict = L.return_conflict()
     total = F.when(~conflict, F.coalesce(*map(m, MAPPED_TOTALS), F.col("extracted_amount").cast("string")))
     head = docs.select(
@@ -105,15 +123,15 @@ def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True, mappin
         F.coalesce(m("vendor_name"), present("vendor_name"), "merchant_name").alias("공급업체"),
         F.coalesce(m("customer_name"), "customer_name").alias("고객사"),
         F.coalesce(m("customer_name"), m("vendor_name"), present("customer_name"), present("vendor_name"), present("merchant_name"), F.lit(UNSORTED_PARTY)).alias("party_tab"),
-        F.col("document_number").alias("문서번호"),
+        F.coalesce(m("document_number"), "document_number").alias("문서번호"),
         F.coalesce(m("issue_date"), F.col("issue_date").cast("string"), F.col("extracted_date").cast("string")).alias("발행일"),
         F.col("due_date").cast("string").alias("납기일"),
-        F.when(~conflict, F.col("currency")).alias("통화"),
+        F.when(~conflict, F.coalesce(m("currency"), "currency")).alias("통화"),
         F.when(F.col("review_required"), "검토 필요").otherwise("확정 가능").alias("검토상태"),
         F.col("original_filename").alias("filename"), total.alias("document_total"),
         F.col("taxonomy.document_profile").alias("document_profile"),
         F.array_join("taxonomy.document_profiles", ", ").alias("document_profiles"),
-        "processing_status", "review_required",
+        "processing_status", "review_required", *[_nested(docs, path).alias(name) for name, path in HEAD_COLUMNS.items()],
     )
     names = {
         "item_name": "품목명", "item_code": "품목코드", "specification": "규격", "lot_no": "Lot No", "inspection_result": "검사판정",
@@ -125,7 +143,7 @@ def to_erp_rows(docs: DataFrame, lines: DataFrame, renumber: bool = True, mappin
     body = items.select(
         "document_id", "export_index", *line_cols, F.col("line_total").cast("string").alias("_line_total"),
         F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("document_item_code", "item_code") if c in items.columns]).alias("document_item_code"),
-        F.array_join(F.array_distinct(L.flags()), ", ").alias("line_review_flags"))
+        F.array_join(F.array_distinct(L.flags()), ", ").alias("line_review_flags"), *[_nested(items, path).alias(name) for name, path in LINE_COLUMNS.items()])
     joined = head.join(body, "document_id", "left")
     has_line = F.col("export_index").isNotNull()
     rows = joined.withColumn("합계금액", F.when(has_line, F.col("_line_total")).otherwise(F.col("document_total"))).drop("_line_total")
