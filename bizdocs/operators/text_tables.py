@@ -144,6 +144,11 @@ NUMBER_FORMS = [
     r"\bINV(?:[-_ ]+[A-Z]{2,10}){1,3}[-_ ]+\d{3,4}\b",
 ]
 #: Prefixes whose number goes before all others, in this order.
+#: Letters in any case without which the form of the same place can't match.
+NUMBER_FORM_LETTERS = [
+    ["FAX"], ["PO"], ["QT"], ["INV"], ["DN"], ["TS"], ["QC", "IOC", "I0C"], ["RTN", "RCM"], ["TRF"], ["MV"], ["DOC"],
+    ["DOC", "PM", "PO", "P0S", "RC", "QT", "INV", "DN", "TS", "IOC", "I0C", "QC", "RTN", "TRF", "MV"], ["INV"],
+]
 PREFERRED_PREFIXES = ["RTN", "RCM", "TRF", "MV"]
 #: Misread beginnings of an upper-case number and what they stand for.
 NUMBER_REPAIRS = [
@@ -638,7 +643,7 @@ def _without_lines(lines: Column, named: Column, waits) -> Column:
 def _own_lines(t: Column, receipt: Column | None) -> Column:
     """Lines that can hold the document's own number: no references to other documents; on a receipt no approval numbers."""
     named = lambda v: v.rlike(REFERENCE_LINE)
-    own = lambda lines: _without_lines(lines, named, lambda v: ~v.rlike(REFERENCE_VALUE))
+    own = lambda lines: F.when(t.rlike(REFERENCE_LINE), _without_lines(lines, named, lambda v: ~v.rlike(REFERENCE_VALUE))).otherwise(lines)
     if receipt is not None:
         approval = lambda v: v.rlike(APPROVAL_LINE) & ~v.rlike(RECEIPT_LABEL)
         other = own
@@ -648,7 +653,7 @@ def _own_lines(t: Column, receipt: Column | None) -> Column:
 
 def _next_line_numbers(lines: Column) -> Column:
     """(score, -place, number) of numbers below a line that is only a label; up to three more lines may continue one."""
-    labels = _lits(sorted({re.sub(r"[\s:：#]+", "", w.lower()) for w in NUMBER_LABELS}))
+    labels = sorted({re.sub(r"[\s:：#]+", "", w.lower()) for w in NUMBER_LABELS})
 
     def whole(i):
         tail = F.transform(F.slice(lines, i + 3, 3), lambda v: F.regexp_replace(F.regexp_replace(v, r"\s+", ""), r"^[ \-:：\[\](){}]+|[ \-:：\[\](){}]+$", ""))
@@ -656,7 +661,7 @@ def _next_line_numbers(lines: Column) -> Column:
         first = normalize_number(F.get(lines, i + 1))
         return F.when(first.isNotNull(), normalize_number(F.array_join(F.concat(F.array(first), runs), "-")))
 
-    at = F.filter(F.transform(lines, lambda v, i: F.when(F.array_contains(labels, F.regexp_replace(F.lower(v), r"[\s:：#]+", "")) & (i < F.size(lines) - 1), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(lines, lambda v, i: F.when(F.regexp_replace(F.lower(v), r"[\s:：#]+", "").isin(labels) & (i < F.size(lines) - 1), i)), lambda i: i.isNotNull())
     scored = F.transform(at, lambda i: let(whole(i), lambda v: F.struct(_number_score(v).alias("s"), (-i).alias("o"), v.alias("v"))))
     return F.filter(scored, lambda r: r["v"].isNotNull() & (r["s"] >= 20))
 
@@ -670,12 +675,16 @@ def document_number(col, document_type=None) -> Column:
     t = F.coalesce(_c(col), F.lit(""))
     receipt = None if document_type is None else _c(document_type) == "receipt"
     form = r"(?i)\b%s[-_ ]?\d{4}[-_ ]?\d{3,4}(?:[-_ ][A-Z0-9]{1,8}){0,2}\b"
+    none = F.array().cast("array<string>")
     first = lambda prefix: normalize_number(F.nullif(F.regexp_extract(t, form % prefix, 0), F.lit("")))
+    preferred = F.when(t.rlike(form % f"(?:{'|'.join(PREFERRED_PREFIXES)})"), F.coalesce(*map(first, PREFERRED_PREFIXES)))
     clear = lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)\bP[0O]S(?=[-_ ]?\d{4})", "POS"), r"(?i)\bI[O0]C(?=[-_ ]?\d{4})", "IQC")
 
     def own(lines):
         def best(text):
-            found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in NUMBER_FORMS]))
+            found = let(F.upper(text), lambda up: F.array_distinct(F.flatten(F.array(*[
+                F.when(reduce(lambda a, b: a | b, [up.contains(w) for w in need]), F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0))).otherwise(none)
+                for p, need in zip(NUMBER_FORMS, NUMBER_FORM_LETTERS, strict=True)]))))
             ranked = F.transform(found, lambda v: let(normalize_number(v), lambda c: F.struct(_number_score(c).alias("s"), F.length(c).alias("l"), c.alias("v"))))
             labelled = normalize_number(F.nullif(F.regexp_extract(text, rf"(?i)(?:{_either(NUMBER_LABELS)})\s*[:：#]?\s*([A-Za-z0-9가-힣._/-]+)", 1), F.lit("")))
             fallback = let(labelled, lambda c: F.when(_number_score(c) >= 20, c))
@@ -689,7 +698,7 @@ def document_number(col, document_type=None) -> Column:
 
         return let(clear(F.array_join(lines, "\n")), best)
 
-    return F.coalesce(*map(first, PREFERRED_PREFIXES), let(_own_lines(t, receipt), own))
+    return F.coalesce(preferred, let(_own_lines(t, receipt), own))
 
 
 def _amount_value(token: Column) -> Column:
