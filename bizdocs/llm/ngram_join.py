@@ -29,6 +29,8 @@ from .graph import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LEAST_BITS = 512  # of a parity bitmap
+KNOWN_WORDS = 200_000  # hashes of words that a task remembers
+CHUNK = 1 << 20  # bytes of text cut into words at once
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
@@ -52,7 +54,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Remember(xxhash.xxh64_intdigest, 1_500_000)
+        self.words = Remember(xxhash.xxh64_intdigest, KNOWN_WORDS)
 
     def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [t.lower().split() if t else [] for t in texts]
@@ -81,25 +83,45 @@ class Shingler:
         return h
 
 
+def repeated(grams: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur ``least`` times or more, and how often. The array is sorted in place and only ends of runs are
+    numbered, so the memory beyond it is a byte an element and the runs found."""
+    grams.sort()
+    if least > 1:  # values alone in their run are dropped first
+        same = grams[1:] == grams[:-1]
+        several = np.zeros(len(grams), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        grams = grams[several]
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    df = np.diff(np.append(starts, len(grams)))
+    often = df >= least
+    return grams[starts[often]], df[often].astype(np.int64)
+
+
 META = "doc_id long, n long, digest binary, token long, df long"
 
 
-def describe(docs: DataFrame, width: int, local: int = 2, window: int = 4_000_000) -> DataFrame:
+def describe(docs: DataFrame, width: int, local: int = 2, window: int = 2_000_000) -> DataFrame:
     """Set size and digest of every document, and counts of grams that occur in ``local`` or more different sets
     within a stretch of ``window`` grams (so a gram that all stretches share can't escape, and few common ones do)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, kept, size = Shingler(width), set(), [], 0
 
-        def frequent() -> pa.RecordBatch:
-            tokens, df = np.unique(np.concatenate(kept), return_counts=True)
-            often = df >= local
-            tokens, df = tokens[often].view(np.int64), df[often]
-            none = [pa.nulls(len(df), pa.int64()), pa.nulls(len(df), pa.int64()), pa.nulls(len(df), pa.binary())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(df)], ["doc_id", "n", "digest", "token", "df"])
+        def frequent() -> Iterator[pa.RecordBatch]:
+            grams = np.concatenate(kept)
+            kept.clear()
+            tokens, df = repeated(grams, local)
+            for i in range(0, len(df), 50_000):
+                part, n = tokens[i : i + 50_000].view(np.int64), df[i : i + 50_000]
+                none = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(part), pa.array(n)], ["doc_id", "n", "digest", "token", "df"])
 
         for batch in batches:
-            for start, texts in chunks(batch, 1):
+            for start, texts in chunks(batch, 1, CHUNK):
                 sets = shingler.many(texts)
                 digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 for s, d in zip(sets, digests, strict=True):
@@ -113,10 +135,10 @@ def describe(docs: DataFrame, width: int, local: int = 2, window: int = 4_000_00
                     ["doc_id", "n", "digest", "token", "df"],
                 )
                 if size >= window:
-                    yield frequent()
-                    seen, kept, size = set(), [], 0
+                    yield from frequent()
+                    seen, size = set(), 0
         if kept:
-            yield frequent()
+            yield from frequent()
 
     return docs.mapInArrow(run, META)
 
@@ -142,7 +164,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: list[tuple[int
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(7)]
-            for start, texts in chunks(batch, 1):
+            for start, texts in chunks(batch, 1, CHUNK):
                 for doc_id, s in zip(batch.column(0).slice(start, len(texts)).to_pylist(), shingler.many(texts), strict=True):
                     n = len(s)
                     if not n or doc_id is None:
@@ -270,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, max_freq
         shingler = Shingler(width)
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [s for _, part in chunks(batch, 1) for s in shingler.many(part)]
+            found = [s for _, part in chunks(batch, 1, CHUNK) for s in shingler.many(part)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
             return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "grams"])
 
