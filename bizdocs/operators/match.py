@@ -147,6 +147,18 @@ def rank_candidates(scored: DataFrame, keep: int = 5) -> DataFrame:
     return top_per(scored, ["probe_id"], _order(), keep)
 
 
+def leading_items(master: DataFrame, alike: list[str], keep: int = 6) -> DataFrame:
+    """The first ``keep`` items by id of those that score alike (equal in ``alike``) for every probe: as an equal score goes
+    to the smaller id, no other item can be among the ``keep`` best of a probe."""
+    return top_per(master, alike, [F.col("item_id").asc()], keep, "_place").drop("_place")
+
+
+def leading(scored: DataFrame, keep: int = 6) -> DataFrame:
+    """What ranks, ambiguity and status need of the candidates: per probe the ``keep`` best with and without an alias."""
+    by_alias = F.col("alias_code") | F.col("alias_name")
+    return top_per(scored.withColumn("_by_alias", by_alias), ["probe_id", "_by_alias"], _order(), keep, "_place").drop("_by_alias", "_place")
+
+
 def ambiguity(scored: DataFrame) -> DataFrame:
     """Best candidate per probe with the runner-up's score; within 0.03 is ambiguous."""
     two = top_per(scored, ["probe_id"], _order(), 2)
