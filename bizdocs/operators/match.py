@@ -220,17 +220,21 @@ def resolve_spec_conflict(matched: DataFrame) -> DataFrame:
         keep = keep | (F.coalesce("no_price_document", F.lit(False)) & (has("quantity") | has("requested_quantity") | has("delivered_quantity")))
     if "spec_visible" in names:
         keep = keep | F.coalesce("spec_visible", F.lit(False))
-    keyed = matched.withColumns({"source_spec": normalize_spec("specification"), "target_spec": normalize_spec("master_spec")})
-    scores = spec_scores(keyed.select("source_spec", "target_spec").distinct())
+    # a specification is normalised and scored once, however many lines have it
+    written = matched.select(F.col("specification").alias("_s"), F.col("master_spec").alias("_t")).distinct()
+    written = cut(written.withColumns({"source_spec": normalize_spec("_s"), "target_spec": normalize_spec("_t")}))
+    scores = spec_scores(written.select("source_spec", "target_spec").distinct())
+    scores = written.join(scores, ["source_spec", "target_spec"]).select("_s", "_t", "spec_score")
+    same = F.col("specification").eqNullSafe(F.col("_s")) & F.col("master_spec").eqNullSafe(F.col("_t"))
     both = F.coalesce(F.nullif("specification", F.lit("")), F.lit(None)).isNotNull() & F.nullif(F.col("master_spec"), F.lit("")).isNotNull()
-    df = keyed.join(scores, ["source_spec", "target_spec"], "left").withColumn("spec_conflict", F.coalesce(both & (F.col("spec_score") < 0.45), F.lit(False)))
+    df = matched.join(scores, same, "left").withColumn("spec_conflict", F.coalesce(both & (F.col("spec_score") < 0.45), F.lit(False)))
     suppressed = F.col("spec_conflict") & ~keep
     flag = F.array(F.lit("specification_conflict_with_item_master"))
     add = lambda c: F.when(F.col("spec_conflict"), F.array_union(F.coalesce(c, F.array().cast("array<string>")), flag)).otherwise(F.col(c))
     return df.withColumns({
         "source_specification": F.when(F.col("spec_conflict"), F.col("specification")), "specification": F.when(~suppressed, F.col("specification")),
         "suppressed_reason": F.when(suppressed, "item_master_conflict"), "review_flags": add("review_flags"), "validation_warnings": add("validation_warnings"),
-    }).drop("source_spec", "target_spec")
+    }).drop("_s", "_t")
 
 
 def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
