@@ -51,3 +51,15 @@ def test_lines_are_collapsed_once(spark):
     assert df.select(collapse("t")).first()[0] == re.sub(r"\s+", " ", df.first().t)
     lines = plan(df.select(text_lines("t").alias("x")))
     assert "lambdafunction(trim(regexp_replace" not in lines and lines.count("regexp_replace") == 1
+
+
+def test_amount_below_a_lone_label_with_a_currency(spark):
+    texts = ["합계\n1,100", "합 계 : KRW\n2,200", "총 합계 원\n3,300원", "금액원\n4,400", "합계 5,500 computed", "합계: $ 6,600"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select(X.labelled_amount("text", ["합계", "총합계", "금액원"]).cast("int").alias("a")).collect()
+    assert [r.a for r in got] == [1100, 2200, 3300, None, None, 6600]
+
+
+def test_pairs_of_a_text_are_read_once(spark):
+    read = X.key_values(spark.createDataFrame([(1, "합계 5")], "id int, text string"), "id")
+    lines = read._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [v for v in lines if "Filter" in v and "transform(" in v]
