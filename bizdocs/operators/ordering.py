@@ -24,6 +24,27 @@ def number_rows(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     return numbered.select(*df.columns, (F.col("_off") + F.col("_r")).cast("long").alias(out))
 
 
+WHOLE = 65_536  # rows of a key that one task numbers
+
+
+def number_short(df: DataFrame, key: str, order: str, out: str, rows: DataFrame, whole: int | None = None) -> DataFrame:
+    """``number_rows``, and in ``<out>_of`` the rows of the key, for keys that are mostly short.
+
+    Short keys are numbered where they meet anyway, by hash of the key, so that joins and groups on it move nothing again.
+    Keys of more than ``whole`` (65,536) rows in ``rows`` (a table that has no fewer of any key) are dealt out by ranges as in
+    ``number_rows``; only these are written and moved once more."""
+    of = f"{out}_of"
+    per_key = Window.partitionBy(key)
+    numbered = lambda d: d.withColumns({out: F.row_number().over(per_key.orderBy(order)).cast("long"), of: F.count("*").over(per_key)})
+    large = rows.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") > (whole or WHOLE)).select(key)
+    if large.isEmpty():
+        return numbered(df)
+    large, df = cut(large), cut(df)
+    hot = number_rows(df.join(large, key, "left_semi"), key, order, out)
+    hot = hot.join(df.join(large, key, "left_semi").groupBy(key).agg(F.count("*").alias(of)), key)
+    return numbered(df.join(large, key, "left_anti")).unionByName(hot)
+
+
 def first_per(df: DataFrame, keys: list, order) -> DataFrame:
     """First row per key as an aggregate: partial results are combined before the
     shuffle, so a hot key costs one candidate row per map task."""
