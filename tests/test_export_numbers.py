@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizdocs.catalog import lines as C, load
 from bizdocs.catalog.registry import QUERIES
-from bizdocs.operators import ordering as O
+from bizdocs.operators import line_items as L, ordering as O
 from bizdocs.plans import export as X
 from tests.conftest import SF
 
@@ -42,3 +42,14 @@ def test_fragments_join_to_the_object(spark, monkeypatch):
         got = {r["document_id"]: json.loads(r["j"]) for r in whole.collect()}
         assert got.keys() == want.keys()
         assert all(got[d]["document"] == want[d]["document"] and got[d]["line_items"] == want[d]["line_items"] and got[d]["policy"] == want[d]["policy"] for d in want)
+
+
+def test_collapsed_sets_move_no_unread_columns(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(L, "cut", lambda df: written.append(set(df.columns)) or df)
+    docs, lines = C.doubled(spark, SF)
+    some = L.collapse_duplicate_sets(docs, lines, ["document_id", "line_no", "part_key", "copy"])
+    assert written and not any({"ship_date", "note", "unit", "review_flags"} & w for w in written)
+    every = L.collapse_duplicate_sets(docs, lines)
+    assert every.columns == lines.columns
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(*some.columns).collect()))
